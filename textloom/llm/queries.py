@@ -4,16 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, storage
+from . import ann, brown, decontaminate, line_spread, mixing, storage, token_counts, token_files, toxicity
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def remainder(column: str, divisor: int) -> Column:
+    """crc32 of the number as text, modulo divisor; a null counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % divisor
 
 
 def op1_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return brown.brown_scores(storage.load(spark, sf_dir, "documents"), F.crc32(id_text) % 7 == 2)
+    return brown.brown_scores(storage.load(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
+
+
+def op2_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.suffix_sums(token_counts.length_histogram(storage.load(spark, sf_dir, "documents")))
+
+
+def op3_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(storage.load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = storage.load(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "source", "mix.*")
+
+
+def op5_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.benchmark_matches(storage.load(spark, sf_dir, "documents"), storage.load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_words", "budget", "distance", "first_word")
+
+
+def op6_spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.spread_lines(storage.load(spark, sf_dir, "pages"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = storage.load(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 5) == 0
+    model = toxicity.fit(docs, storage.load(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.with_scores(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = storage.new_path(spark, "tokens")
+    token_files.write_tokens(storage.load(spark, sf_dir, "documents"), path)
+    return token_files.token_digest(spark, path)
+
+
+_QUERIES: list[Query] = [op1_brown_scores, op2_length_histogram, op3_multiprobe_neighbours, op4_pfair_mix, op5_benchmark_matches, op6_spread_lines, op7_toxicity, op9_token_files]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_brown_scores": op1_brown_scores}
+def queries() -> dict[str, Query]:
+    return {q.__name__: q for q in _QUERIES}
