@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, brown, decontaminate, line_spread, mixing, storage, token_counts, token_files, toxicity
+from . import ann, brown, decontaminate, jaccard_join, line_spread, mixing, storage, token_counts, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,13 +51,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.with_component_ids(jaccard_join.near_duplicate_components(storage.load(spark, sf_dir, "documents")))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = storage.new_path(spark, "tokens")
     token_files.write_tokens(storage.load(spark, sf_dir, "documents"), path)
     return token_files.token_digest(spark, path)
 
 
-_QUERIES: list[Query] = [op1_brown_scores, op2_length_histogram, op3_multiprobe_neighbours, op4_pfair_mix, op5_benchmark_matches, op6_spread_lines, op7_toxicity, op9_token_files]
+_QUERIES: list[Query] = [op1_brown_scores, op2_length_histogram, op3_multiprobe_neighbours, op4_pfair_mix, op5_benchmark_matches, op6_spread_lines, op7_toxicity, op8_jaccard_components, op9_token_files]
 
 
 def queries() -> dict[str, Query]:
