@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, brown, decontaminate, jaccard_join, line_spread, mixing, storage, token_counts, token_files, toxicity
+from . import ann, brown, decontaminate, jaccard_join, line_spread, mixing, repeats, storage, token_counts, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,7 +61,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(spark, path)
 
 
-_QUERIES: list[Query] = [op1_brown_scores, op2_length_histogram, op3_multiprobe_neighbours, op4_pfair_mix, op5_benchmark_matches, op6_spread_lines, op7_toxicity, op8_jaccard_components, op9_token_files]
+def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(storage.load(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_QUERIES: list[Query] = [op1_brown_scores, op2_length_histogram, op3_multiprobe_neighbours, op4_pfair_mix, op5_benchmark_matches, op6_spread_lines, op7_toxicity, op8_jaccard_components, op9_token_files, op10_repeated_strings]
 
 
 def queries() -> dict[str, Query]:
