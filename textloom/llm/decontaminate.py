@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ MIN_WORDS = 6
 #: Words of the benchmark that go to the tasks at once. A larger benchmark is matched in several passes.
 WORDS_AT_ONCE = 2_000_000
 _INSIDE = (LOWER >= 128) | ((LOWER >= 48) & (LOWER <= 57)) | ((LOWER >= 97) & (LOWER <= 122))
-_MATCH = "row bigint, doc_id bigint, item_id bigint, n_words bigint, budget bigint, distance bigint, first_word bigint"
+_MATCH = "doc_id bigint, item_id bigint, n_words bigint, budget bigint, distance bigint, first_word bigint"
 
 
 def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,25 +147,46 @@ def _matches(sent) -> Callable:
         items = matcher.items
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
-            ids, keys = batch.column("doc_id"), batch.column("row")
+            ids = batch.column("doc_id")
             for first, _, part, at in chunks(data, offsets):
                 for r, i, distance, word in matcher.find(*plain_words(part, at)):
-                    values = keys[first + r].as_py(), ids[first + r].as_py(), items.ids[i], len(items.words[i]), items.budgets[i], distance, word
-                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in values], ["row", "doc_id", "item_id", "n_words", "budget", "distance", "first_word"])
+                    values = ids[first + r].as_py(), items.ids[i], len(items.words[i]), items.budgets[i], distance, word
+                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in values], ["doc_id", "item_id", "n_words", "budget", "distance", "first_word"])
 
     return run
 
 
-def benchmark_matches(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, min_words: int = MIN_WORDS, at_once: int = WORDS_AT_ONCE) -> DataFrame:
-    """A row for each document and item that it holds within the item's budget, at the best place. `row` numbers the
-    documents' rows as monotonically_increasing_id does."""
-    spark = documents.sparkSession
-    docs = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def _passes(benchmark: DataFrame, rate: float, min_words: int, at_once: int) -> Iterator:
+    """The benchmark's items, sent to the tasks in parts of bounded size."""
+    spark = benchmark.sparkSession
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, -(-int(size) // (2 * at_once)))  # a word has two bytes at least, with what parts it from the next
-    out = None
-    for i in range(passes):
-        own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i) if passes > 1 else benchmark
-        found = docs.mapInArrow(_matches(spark.sparkContext.broadcast(_items(own, rate, min_words))), _MATCH)
-        out = found if out is None else out.unionByName(found)
-    return out
+    parts = max(1, -(-int(size) // (2 * at_once)))  # a word has two bytes at least, with what parts it from the next
+    for i in range(parts):
+        own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) if parts > 1 else benchmark
+        yield spark.sparkContext.broadcast(_items(own, rate, min_words))
+
+
+def benchmark_matches(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, min_words: int = MIN_WORDS, at_once: int = WORDS_AT_ONCE) -> DataFrame:
+    """A row for each document and item that it holds within the item's budget, at the best place."""
+    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return reduce(DataFrame.unionByName, [docs.mapInArrow(_matches(sent), _MATCH) for sent in _passes(benchmark, rate, min_words, at_once)])
+
+
+def _clean(sent) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _Matcher(sent.value)
+        for batch in batches:
+            data, offsets = column_bytes(batch.column("text"))
+            keep = np.ones(batch.num_rows, bool)
+            for first, _, part, at in chunks(data, offsets):
+                keep[[first + r for r, _, _, _ in matcher.find(*plain_words(part, at))]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def without_matches(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, min_words: int = MIN_WORDS, at_once: int = WORDS_AT_ONCE) -> DataFrame:
+    """The documents, with all their columns, that hold no item within its budget."""
+    for sent in _passes(benchmark, rate, min_words, at_once):
+        documents = documents.mapInArrow(_clean(sent), documents.schema)
+    return documents

@@ -302,8 +302,9 @@ def one_of_each(documents: DataFrame, size: int = SIZE, percent: int = PERCENT)
     text among equals); rows without shingles all stay."""
     components = storage.materialize(near_duplicate_components(documents, size, percent), "components")
     best = components.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("key"))).alias("best"))
-    keep = best.select(F.col("best.key").alias("_key"))
-    keyed = documents.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    blank = F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
-    once = keyed.where(~blank).join(keep, "_key", "left_semi").dropDuplicates(["_key"])
-    return once.unionByName(keyed.where(blank)).drop("_key").select(*[f"`{c}`" for c in documents.columns])
+    key, empty = storage.free_name(documents, "_key"), F.coalesce("text", F.lit(""))
+    keep = best.select(F.col("best.key").alias(key))
+    keyed = documents.withColumn(key, F.xxhash64("doc_id", empty))
+    blank = F.trim(F.translate(empty, "\t\n\x0b\x0c\r", "     ")) == ""
+    once = keyed.where(~blank).join(keep, key, "left_semi").dropDuplicates([key])
+    return once.unionByName(keyed.where(blank)).drop(key)

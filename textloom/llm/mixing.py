@@ -49,8 +49,8 @@ def period_slots(spark, parts: list[int]) -> DataFrame:
     return slots.select("slot", "part", F.col("given")[F.col("slot")][F.col("part")].alias("nth"), F.col("given")[F.col("slot")].alias("before"))
 
 
-def mix(documents: DataFrame, weights: dict[str, int] | None = None, others: int = OTHERS, block: int = BLOCK, seed: str = SEED) -> DataFrame:
-    """All columns of the documents (with doc_id and source, and text if there is one) and `mix`: a struct of part (the
+def mix(documents: DataFrame, weights: dict[str, int] | None = None, others: int = OTHERS, block: int = BLOCK, seed: str = SEED, name: str = "mix") -> DataFrame:
+    """All columns of the documents (with doc_id and source, and text if there is one) and `name`: a struct of part (the
     source, or null for others), block, release, deadline, slot and position."""
     spark = documents.sparkSession
     weights = WEIGHTS if weights is None else weights
@@ -79,12 +79,23 @@ def mix(documents: DataFrame, weights: dict[str, int] | None = None, others: int
     rounds = F.floor(F.col("block") / F.col("share"))
     ahead = F.transform(have, lambda n, s: F.least(n, block * (rounds * _ints(parts)[s] + F.col("before")[s])))
     position = F.aggregate(ahead, F.lit(0).cast("bigint"), lambda a, b: a + b) + F.col("place")
-    name = F.when(F.col("part") < len(names), F.array(*[F.lit(n) for n in [*names, None]])[F.col("part")])
+    source = F.when(F.col("part") < len(names), F.array(*[F.lit(n) for n in [*names, None]])[F.col("part")])
     return placed.select(
         "row.*",
         F.struct(
-            name.alias("part"), F.col("block"), F.floor(F.col("block") * period / F.col("share")).alias("release"),
+            source.alias("part"), F.col("block"), F.floor(F.col("block") * period / F.col("share")).alias("release"),
             F.ceil((F.col("block") + 1) * period / F.col("share")).alias("deadline"),
             (rounds * period + F.col("period_slot")).alias("slot"), position.alias("position"),
-        ).alias("mix"),
+        ).alias(name),
     )
+
+
+def in_mixed_order(documents: DataFrame, rows_per_file: int = 5000, **options) -> DataFrame:
+    """The same rows and columns, in the order of the mixture: files written from it hold it in their order."""
+    from .storage import free_name, tasks
+
+    name = free_name(documents, "mix")
+    position = F.col(f"{name}.position")
+    files = tasks(documents.sparkSession, documents.count(), rows_per_file)
+    mixed = mix(documents, name=name, **options).repartitionByRange(files, position).sortWithinPartitions(position)
+    return mixed.drop(name)

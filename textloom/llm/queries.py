@@ -35,8 +35,7 @@ def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.benchmark_matches(storage.load(spark, sf_dir, "documents"), storage.load(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", "n_words", "budget", "distance", "first_word")
+    return decontaminate.benchmark_matches(storage.load(spark, sf_dir, "documents"), storage.load(spark, sf_dir, "benchmark"))
 
 
 def op6_spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

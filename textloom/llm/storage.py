@@ -53,3 +53,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def whole_texts(docs: DataFrame) -> DataFrame:
     """doc_id and the whole text, null texts as empty ones; other columns are left behind."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it while a column of df has that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

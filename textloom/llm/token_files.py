@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,16 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({**{c: batch.column(c) for c in ("doc_id", "start", "file")}, "n_tokens": np.diff(at).astype(np.int64), "ids_crc32": pa.array(crc, pa.int64())})
 
 
+def stored_order(documents: DataFrame) -> list[Column] | None:
+    """The order in which files hold the rows; none if the frame isn't read straight from files."""
+    order = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    try:
+        documents.select(*order).schema  # noqa: B018
+    except AnalysisException:
+        return None
+    return order
+
+
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it in all files), n_tokens and the CRC of the ids, from the files."""
     rows = read_tokens(spark, path).mapInArrow(_digest, "doc_id bigint, start bigint, file int, n_tokens bigint, ids_crc32 bigint")
