@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "daily_distinct_users"
+FLAGSHIP = "bm25_batch"
+_MODULES = ("usage", "search", "conversations", "quality")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import usage
-
-    return dict(usage.QUERIES)
+    found: dict = {}
+    for name in _MODULES:
+        found |= import_module(f".{name}", __package__).QUERIES
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import usage
-
-    return dict(usage.SQL)
+    found: dict = {}
+    for name in _MODULES:
+        found |= import_module(f".{name}", __package__).SQL
+    return found
