@@ -106,7 +106,7 @@ def _evaluated(spark: SparkSession, d: str) -> DataFrame:
     hits = keyword.unionByName(naive, allowMissingColumns=True).select("mode", F.col("query_id").alias("case_id"), "doc_id", "rank")
     results = hits.join(items(spark, d).select("doc_id", "content"), "doc_id").join(bench, "case_id").select("mode", "case_id", "rank", F.contains("content", "text").alias("correct"))
     cases = bench.select("case_id", F.concat(F.lit("length-"), F.floor(F.length("text") / 100).cast("string")).alias("category"), F.lit(False).alias("negative"))
-    return evaluation.score_cases(results, cases, K)
+    return evaluation.score_cases(results, cases, K, ["bm25", "binary"])
 
 
 def recall_mrr_by_mode(spark: SparkSession, d: str) -> DataFrame:
