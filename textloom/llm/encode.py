@@ -13,7 +13,9 @@ import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-CACHE_WORDS = 300_000  # words that a Python worker remembers; then it starts again
+RUN_WORDS = 1000  # new words that the library gets as one text
+SPACE_BYTE = "\u0120"  # how a byte-level vocabulary writes a space
+CACHE_WORDS = 600_000  # words that a Python worker remembers; then it starts again
 _UNSAFE = re.compile(r"\s \s|\s \Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -42,6 +44,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.begins = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE_BYTE)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -52,16 +56,38 @@ class Encoder:
         new, self.words.new = self.words.new, []
         if not new:
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(length.sum())
+        flat, length = self._encode_words(new)
+        total = len(flat)
         while self.used + total > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros(len(self.flat), np.uint32)]
-        self.flat[self.used : self.used + total] = np.fromiter((x for part in ids for x in part), np.uint32, total)
+        self.flat[self.used : self.used + total] = flat
         self.start = np.r_[self.start, self.used + np.cumsum(length) - length]
         self.length = np.r_[self.length, length]
         self.used += total
 
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([x for part in ids for x in part], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _encode_words(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts. Those of a space and something that is no white space are encoded in long runs, for the
+        library takes its time for each text; an id that begins with a space then begins a part."""
+        run = np.array([len(w) > 1 and w[0] == " " and not w[1].isspace() for w in new])
+        flat, length = self._each([w for w, r in zip(new, run, strict=True) if not r])
+        words = [w for w, r in zip(new, run, strict=True) if r]
+        more, _ = self._each(["".join(words[i : i + RUN_WORDS]) for i in range(0, len(words), RUN_WORDS)])
+        first = np.flatnonzero(self.begins[more])
+        if len(first) != len(words):  # a special token with a space in it; no public tokenizer here has one
+            more, sizes = self._each(words)
+        else:
+            sizes = np.diff(np.r_[first, len(more)])
+        lengths = np.zeros(len(new), np.int64)
+        lengths[~run], lengths[run] = length, sizes
+        out = np.zeros(len(flat) + len(more), np.uint32)
+        place = np.repeat(run, lengths)
+        out[~place], out[place] = flat, more
+        return out, lengths
+
     def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The number of each part of each text, and how many parts each text has."""
         if len(self.words) > CACHE_WORDS:
