@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import storage
 from .encode import encoder, text_groups, tokenizer_path
 
 BLOCK = 1024  # lengths whose sums one window holds
@@ -37,7 +38,8 @@ def length_histogram(documents: DataFrame, tokenizer: str | None = None, end_id:
     """n_tokens and docs: how many whole texts have that many ids."""
     docs = documents.select(F.coalesce("text", F.lit("")).alias("text"))
     each = docs.mapInArrow(_lengths(tokenizer or tokenizer_path(), int(end_id)), "n_tokens bigint, docs bigint")
-    return each.groupBy("n_tokens").agg(F.sum("docs").alias("docs"))
+    # a row for each length, which several sums read
+    return storage.materialize(each.groupBy("n_tokens").agg(F.sum("docs").alias("docs")), "lengths")
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
