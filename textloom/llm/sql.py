@@ -1,7 +1,38 @@
-"""DuckDB SQL for those queries whose rows SQL can express."""
+"""DuckDB SQL for those queries whose rows SQL can express. The others hold trained models, a tokenizer, an edit distance,
+components of a similarity graph or all strings of a length; tests/llm compares them with plain versions."""
 
 from __future__ import annotations
 
+from . import line_spread, mixing
+
+_PARTS = [*mixing.WEIGHTS.values(), mixing.OTHERS]
+_K, _H, _B = len(_PARTS), sum(_PARTS), mixing.BLOCK
+
+OP4 = f"""WITH RECURSIVE sched AS (
+SELECT 0 AS t, {[0] * _K} AS given, 0 AS part, false AS placed
+UNION ALL
+SELECT t + 1, list_transform(given, lambda n, i: n + CASE WHEN i - 1 = s THEN 1 ELSE 0 END), s, true FROM (
+SELECT t, given, list_min(list_filter(list_transform(range(0, {_K}), lambda s: CASE WHEN given[s + 1] * {_H} // {_PARTS}[s + 1] <= t THEN CAST(ceil((given[s + 1] + 1) * {_H} / {_PARTS}[s + 1]) AS BIGINT) * 1000 + s END), lambda x: x IS NOT NULL)) % 1000 AS s
+FROM sched WHERE t < {_H})),
+slots AS (SELECT t - 1 AS slot, part, given[part + 1] - 1 AS nth, list_transform(given, lambda n, i: n - CASE WHEN i - 1 = part THEN 1 ELSE 0 END) AS before FROM sched WHERE placed),
+dealt AS (SELECT doc_id, source, coalesce(list_position({list(mixing.WEIGHTS)}, source) - 1, {_K - 1}) AS part, md5('{mixing.SEED}:' || doc_id) AS k FROM documents),
+named AS (SELECT doc_id, source, CASE WHEN part < 0 THEN {_K - 1} ELSE part END AS part, k FROM dealt),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY k, doc_id) - 1 AS pos FROM named),
+have AS (SELECT list_transform(range(0, {_K}), lambda s: len(list_filter(p, lambda x: x = s))) AS have FROM (SELECT list(part) AS p FROM named)),
+blocks AS (SELECT doc_id, source, part, pos, pos // {_B} AS block, {_PARTS}[part + 1] AS share FROM ranked),
+placed AS (SELECT b.*, s.slot, s.before, b.block // share AS rounds FROM blocks b JOIN slots s ON s.part = b.part AND s.nth = b.block % b.share)
+SELECT doc_id, source, {list(mixing.WEIGHTS)}[part + 1] AS part, block, block * {_H} // share AS release, CAST(ceil((block + 1) * {_H} / share) AS BIGINT) AS deadline, rounds * {_H} + slot AS slot,
+CAST(list_sum(list_transform(range(0, {_K}), lambda s: least(have[s + 1], {_B} * (rounds * {_PARTS}[s + 1] + before[s + 1])))) + pos % {_B} AS BIGINT) AS position FROM placed, have"""
+
+OP6 = rf"""WITH t AS (SELECT row_number() OVER () AS row, page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS site,
+regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '[ \t\r\n\f]+', ' ', 'g'),
+'(?i)</?(?:{line_spread.BLOCK_TAGS})(?:[ /][^>]*)?>', chr(10), 'g'), '<[^>]*>', ' ', 'g'), ' *\n *', chr(10), 'g'), ' +', ' ', 'g') AS text FROM pages),
+l AS (SELECT row, site, unnest(list_transform(string_split(text, chr(10)), lambda x: trim(x))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM t),
+f AS (SELECT * FROM l WHERE line <> ''), b AS (SELECT line FROM f GROUP BY line HAVING count(DISTINCT site) >= {line_spread.MIN_SITES}),
+m AS (SELECT f.*, b.line IS NOT NULL AS gone FROM f LEFT JOIN b ON f.line = b.line),
+s AS (SELECT row, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY row)
+SELECT page_id, site, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(kept, '') AS text FROM t LEFT JOIN s USING (row)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_pfair_mix": OP4, "op6_spread_lines": OP6}

@@ -26,9 +26,10 @@ DIMENSIONS = 8
 #: The bounded sample of labelled rows that the classifier is fit on: so many of each class, none longer than so many bytes.
 SAMPLE_PER_CLASS = 3000
 SAMPLE_BYTES = 12_000
-EPOCHS = 7
+EPOCHS = 6
 BATCH = 64
-RATE = 0.05
+RATE = 0.5
+FIRST_SQUARE = 1e-5  # what the sum of squared slopes begins with: rare n-grams take smaller steps
 SCALE = 64.0  # of the mean, so that a single word of a long document can decide
 CACHE_WORDS = 300_000
 TOXIC_WEIGHT = 0.4  # of the loss; toxic documents are rarer than in the sample
@@ -70,43 +71,45 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     seen: dict[str, int] = {}
     docs = [np.array([seen.setdefault(w, len(seen)) for w in sorted(distinct_words(t))], np.int64) for t in texts]
     bags = [word_features(w) for w in seen]
-    flat, size = np.concatenate(bags), np.array([len(b) for b in bags])
+    flat, size = np.concatenate(bags or [np.zeros(0, np.int64)]), np.array([len(b) for b in bags], np.int64)
     start = np.cumsum(size) - size
-    squares = np.full(BUCKETS, 1e-8, np.float32)
-    softmax_squares, bias_squares = np.full_like(softmax, 1e-8), np.full_like(bias, 1e-8)
     weight = np.where(labels == 1, TOXIC_WEIGHT / share, (1 - TOXIC_WEIGHT) / (1 - share))
+    squares, softmax_squares, bias_squares = np.full(BUCKETS, FIRST_SQUARE), np.full(softmax.shape, 1e-4), np.full(2, 1e-4)
+    steps, step = epochs * -(-len(docs) // BATCH), 0
     for _ in range(epochs):
         order = rng.permutation(len(docs))
         for b in range(0, len(order), BATCH):
-            pick = order[b : b + BATCH]
-            words = np.concatenate([docs[i] for i in pick])
-            if not len(words):
+            pick = [i for i in order[b : b + BATCH] if len(docs[i])]
+            rate = RATE * (1 - step / steps)
+            step += 1
+            if not pick:
                 continue
             many = np.array([len(docs[i]) for i in pick])
+            row = np.repeat(np.arange(len(pick)), many)
+            words, place = np.unique(np.concatenate([docs[i] for i in pick]), return_inverse=True)
             n = size[words]
-            feature = flat[np.repeat(start[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            row = np.repeat(np.repeat(np.arange(len(pick)), many), n)
-            share_of = np.repeat(SCALE / (np.repeat(many, many) * n), n).astype(np.float32)
-            mean = np.zeros((len(pick), DIMENSIONS), np.float32)
-            vectors = table[feature]
-            for d in range(DIMENSIONS):
-                mean[:, d] = np.bincount(row, vectors[:, d] * share_of, len(pick))
+            ends = np.cumsum(n)
+            feature = flat[np.repeat(start[words] - (ends - n), n) + np.arange(ends[-1])]
+            vector = np.add.reduceat(table[feature], ends - n) / n[:, None]  # of each word of the batch
+            share_of = SCALE / many[row]
+            mean = np.stack([np.bincount(row, vector[place, d] * share_of, len(pick)) for d in range(DIMENSIONS)], 1)
             logits = mean @ softmax + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(pick)), labels[pick]] -= 1
             p *= weight[pick][:, None] / len(pick)
-            slope = (p @ softmax.T).astype(np.float32)  # of each document's mean vector
-            grad = mean.T @ p
-            touched = np.unique(feature)
-            at = np.searchsorted(touched, feature)
-            change = np.stack([np.bincount(at, slope[row, d] * share_of, len(touched)) for d in range(DIMENSIONS)], 1).astype(np.float32)
-            squares[touched] += (change**2).mean(1)
-            table[touched] -= RATE * change / np.sqrt(squares[touched])[:, None]
-            softmax_squares += grad**2
-            softmax -= RATE * grad / np.sqrt(softmax_squares)
-            bias_squares += p.sum(0) ** 2
-            bias -= RATE * p.sum(0) / np.sqrt(bias_squares)
+            # two classes: every vector's slope lies along the difference of the softmax's columns
+            along = (softmax[:, 1] - softmax[:, 0]).astype(np.float32)
+            by_word = np.bincount(place, p[row, 1] * share_of, len(words)) / n
+            touched, at = np.unique(feature, return_inverse=True)
+            change = np.bincount(at, np.repeat(by_word, n), len(touched))
+            slope, lean = mean.T @ p, p.sum(0)
+            softmax_squares += slope**2
+            softmax -= (rate * slope / np.sqrt(softmax_squares)).astype(np.float32)
+            bias_squares += lean**2
+            bias -= (rate * lean / np.sqrt(bias_squares)).astype(np.float32)
+            squares[touched] += change**2 * float(along @ along)
+            table[touched] -= (rate * change / np.sqrt(squares[touched]))[:, None].astype(np.float32) * along
     return Model(table, softmax, bias)
 
 
