@@ -151,13 +151,12 @@ def searchable_text(source: str) -> str:
         return f"\x00{len(kept) - 1}\x00"
 
     text = re.sub(r"(?is)<math\b.*?</math>", lambda m: keep(f"${mathml_to_latex(m[0])}$"), source)
-    text = re.sub(r"(?is)<table\b.*?</table>", lambda m: keep("\n" + table_to_text(re.sub("\x00(\\d+)\x00", lambda k: html.escape(kept[int(k[1])]), m[0])) + "\n"), text)
+    text = re.sub(r"(?is)<table\b.*?</table>", lambda m: keep("\n\n" + table_to_text(re.sub("\x00(\\d+)\x00", lambda k: html.escape(kept[int(k[1])]), m[0])) + "\n\n"), text)
     text = re.sub(r"(?i)</(?:p|div|li|h[1-6]|section|article)>|<br\s*/?>", "\n\n", text)
     text = html.unescape(re.sub(r"<[^>]+>", " ", text))
     text = re.sub(r"[ \t\r\f\v]+", " ", text)
-    text = re.sub(r" ?\n ?", "\n", text)
-    text = re.sub(r"\n{3,}", "\n\n", text)
-    return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m[1])], text).strip()
+    text = re.sub("\x00(\\d+)\x00", lambda m: kept[int(m[1])], text)
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\n ?", "\n", text)).strip()
 
 
 def _each(function):

@@ -40,7 +40,7 @@ def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             html = html or ""
             found = list(_HEADING.finditer(html))
             taken: set[str] = set()
-            for pos, (m, after) in enumerate(zip(found, [*found[1:], None], strict=True)):
+            for pos, (m, after) in enumerate(zip(found, [*found[1:], None][: len(found)], strict=True)):
                 title = searchable_text(m[3])
                 own = _ID.search(m[2])
                 name = own[1] if own else None

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import match_key
 
@@ -25,7 +26,7 @@ def toc_pages(pages: DataFrame, words: tuple[str, ...] = ("contents", "목차",
     return ends.select("doc_id", "start", F.coalesce(F.col("stop") - 1, F.col("last")).alias("end"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matching characters over all (difflib)."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
