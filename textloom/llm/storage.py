@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +64,32 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+KEY_BITS = 26
+
+
+def key_bits(keys: DataFrame, key: str):
+    """A bit for each key (a hash), broadcast: 2 ** KEY_BITS of them, whatever the number of keys."""
+    bit = F.pmod(F.col(key), F.lit(1 << KEY_BITS))
+    marks = keys.select(F.floor(bit / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int")).alias("bits"))
+    found = marks.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    words = np.zeros(1 << KEY_BITS - 6, np.int64)
+    words[found.word] = found.bits
+    return keys.sparkSession.sparkContext.broadcast(words.view(np.uint64))
+
+
+def maybe_among(df: DataFrame, bits, key: str, among: bool = True) -> DataFrame:
+    """The rows of df whose key may be among the keys of `bits`, or with among=False the rest, surely not among them.
+
+    Spares a join from moving rows that it would drop, while the keys are many fewer than 2 ** KEY_BITS; with very many
+    keys all rows may be among them, and the join alone decides.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(key).to_numpy().view(np.uint64) & np.uint64((1 << KEY_BITS) - 1)
+            hit = bits.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
+            yield batch.filter(pa.array(hit.astype(bool) == among))
+
+    return df.mapInArrow(run, df.schema)
