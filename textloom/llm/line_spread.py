@@ -41,8 +41,8 @@ def spread_lines(pages: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """page_id, site, n_lines, n_removed and text (the kept lines) of every page."""
     keyed = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", site(F.col("url")).alias("site"), lines(F.coalesce("html", F.lit(""))).alias("lines"))
     keyed = storage.materialize(keyed, "page-lines")
-    each = keyed.select("row", "site", F.posexplode("lines").alias("pos", "line")).withColumn("line", F.trim("line"))
-    hashed = each.select("row", "site", "pos", "line", F.xxhash64("line").alias("hash"))
+    each = keyed.select("row", "site", F.posexplode("lines").alias("pos", "line"))
+    hashed = each.select("row", "site", "pos", F.xxhash64(F.trim("line")).alias("hash"))
     # a site's copies of a line are one to its sketch, so they meet before the sketch
     sketches = hashed.groupBy("hash").agg(F.hll_sketch_agg("site", LOG_K).alias("sketch"))
     band = max(1.0, NEAR * min_sites * 1.04 / 2 ** (LOG_K / 2))
@@ -51,9 +51,8 @@ def spread_lines(pages: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     near = spread.where(F.col("sites") <= min_sites + band).select("hash")
     exact = hashed.select("hash", "site").join(near, "hash", "left_semi").groupBy("hash").agg(F.countDistinct("site").alias("sites"))
     boilerplate = spread.where(F.col("sites") > min_sites + band).select("hash").union(exact.where(F.col("sites") >= min_sites).select("hash"))
-    marked = hashed.join(boilerplate.withColumn("removed", F.lit(True)), "hash", "left")
-    kept = marked.groupBy("row").agg(F.count("removed").alias("n_removed"), F.sort_array(F.collect_list(F.when(F.col("removed").isNull(), F.struct("pos", "line")))).alias("kept"))
-    text = F.array_join(F.col("kept.line"), "\n")
-    pages_only = keyed.select("row", "page_id", "site", F.size("lines").alias("n_lines"))
-    return pages_only.join(kept.select("row", "n_removed", text.alias("text")), "row", "left").select(
-        "page_id", "site", F.col("n_lines").cast("bigint").alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("text", F.lit("")).alias("text"))
+    removed = hashed.select("row", "pos", "hash").join(boilerplate, "hash").groupBy("row").agg(F.collect_set("pos").alias("removed"))
+    every = keyed.join(removed, "row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    kept = F.filter("lines", lambda _, i: ~F.array_contains(F.col("removed"), i))
+    text = F.array_join(F.transform(kept, lambda x: F.trim(x)), "\n")
+    return every.select("page_id", "site", F.size("lines").cast("bigint").alias("n_lines"), F.size("removed").cast("bigint").alias("n_removed"), text.alias("text"))
