@@ -119,7 +119,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, learn: Column, per_
     short = documents.where(learn & (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id", "text")
     key = F.xxhash64(F.lit(SEED), "doc_id")
     each = [known.where(F.col("toxic") == c).join(short.select("doc_id"), "doc_id").orderBy(key, "doc_id").limit(per_class) for c in (0, 1)]
-    return short.join(F.broadcast(each[0].union(each[1])), "doc_id").select("doc_id", "text", "toxic")  # 2 * per_class ids
+    found = short.join(F.broadcast(each[0].union(each[1])), "doc_id").select("doc_id", "text", "toxic")  # 2 * per_class ids
+    return found.orderBy(key, "doc_id", F.xxhash64("text")).limit(2 * per_class)  # an id may stand in many rows
 
 
 def fit(documents: DataFrame, labels: DataFrame, learn: Column) -> Model:
