@@ -233,3 +233,20 @@ def test_streamed_visits_are_those_of_the_batch(spark, tmp_path):
     batch = usage.visits(spark.createDataFrame(rows[:-1], "event_id bigint, user_id bigint, ts timestamp"))
     got = sorted((r.user_id, r.first_ts, r.events) for r in spark.table("visits_out").collect())
     assert got == sorted((r.user_id, r.first_ts, r.events) for r in batch.collect())
+
+
+def test_settings_and_paths(spark):
+    from textloom.config import merged
+    from textloom.operators import docx
+
+    assert merged({"a": {"x": 1, "y": 2}, "b": 1}, {"a": {"y": 3}, "c": {}}) == {"a": {"x": 1, "y": 3}, "b": 1, "c": {}}
+    assert one(spark, *[T.is_content_path(F.lit(p)) for p in ("contents/a.html", "contents/../x", "other/a")])[:] == (True, False, False)
+    assert one(spark, T.in_range(F.lit(4), F.lit("3-7")), T.in_range(F.lit(4), F.lit("3")))[:] == (True, False)
+    w = 'xmlns:w="w"'
+    cell = lambda t, p="": f"<w:tc><w:tcPr>{p}</w:tcPr><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    table = f"<w:tbl><w:tr>{cell('a', '<w:vMerge w:val=%srestart%s/>' % (chr(34), chr(34)))}{cell('b', '<w:gridSpan w:val=%s2%s/>' % (chr(34), chr(34)))}</w:tr><w:tr>{cell('', '<w:vMerge/>')}{cell('c')}{cell('d')}</w:tr></w:tbl>"
+    item = lambda t, n: f'<w:p><w:pPr><w:numPr><w:ilvl w:val="{n}"/></w:numPr></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
+    body = f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t>T</w:t></w:r></w:p>{item("x", 0)}{item("y", 1)}{table}</w:body></w:document>'
+    assert docx.body_html(body) == '<h1><strong>T</strong></h1><ul><li>x</li><ul><li>y</li></ul></ul><table><tr><td rowspan="2">a</td><td colspan="2">b</td></tr><tr><td>c</td><td>d</td></tr></table>'
+    heads, places = spark.createDataFrame([(1, "a", 0.0), (1, "b", 50.0)], "doc_id bigint, id string, offset double"), spark.createDataFrame([(1, 49.0), (1, 60.0)], "doc_id bigint, at double")
+    assert {r.at: r.id for r in trees.active_headings(heads, places).collect()} == {49.0: "a", 60.0: "b"}

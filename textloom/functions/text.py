@@ -195,3 +195,15 @@ def resolve_url(base: Column, link: Column) -> Column:
 
 def is_caption_like(text: Column, longest: int = 150) -> Column:
     return (F.length(text) < longest) & F.regexp_like(text, F.lit(r"(?i)^\s*(?:figure|fig\.|table|그림|표)\s*\d+"))
+
+
+def is_content_path(path: Column, root: str = "contents/") -> Column:
+    """Whether a path stands under the content folder and never leaves it."""
+    return F.coalesce(F.startswith(path, F.lit(root)) & ~F.regexp_like(path, F.lit(r"(?:^|/)\.\.(?:/|$)|\\|\x{0}")), F.lit(False))
+
+
+def in_range(page: Column, text: Column) -> Column:
+    """Whether a page is in a range '3' or '3-7'."""
+    first = F.nullif(F.regexp_extract(text, r"^\s*(\d+)", 1), F.lit("")).cast("int")
+    last = F.nullif(F.regexp_extract(text, r"-\s*(\d+)\s*$", 1), F.lit("")).cast("int")
+    return page.between(first, F.coalesce(last, first))

@@ -123,3 +123,9 @@ def split_fixed(nodes: DataFrame, urls: list[str]) -> tuple[DataFrame, DataFrame
 def next_order(folders: DataFrame) -> DataFrame:
     """One more than the largest order among siblings, 0 where there is none."""
     return folders.groupBy("parent_id").agg((F.coalesce(F.max("ord"), F.lit(-1)) + 1).alias("next"))
+
+
+def active_headings(headings: DataFrame, places: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """The last heading (doc_id, id, offset) at or above each scroll position (doc_id, at)."""
+    joined = places.join(headings, "doc_id").where(F.col("offset") <= F.col("at") + threshold)
+    return joined.groupBy("doc_id", "at").agg(F.max_by("id", "offset").alias("id"))
