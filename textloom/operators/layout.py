@@ -44,10 +44,12 @@ def clip_by_captures(regions: DataFrame, captures: DataFrame, drop: float = DROP
     """Text regions without what captured ones (figures, tables) cover: gone if more than a share is covered, else cut at
     the nearer edge, one capture after another, top to bottom; too low ones go."""
 
+    regions_columns = regions.columns
+
     def clip(key, page: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
         out = []
-        taken = taken.sort_values(["y0", "x0"])[_BOX].to_numpy(float)
-        for row in page.to_dict("records"):
+        taken = taken.sort_values(["y0", "x0"])[_BOX].to_numpy(float) if "y0" in taken.columns else []
+        for row in page.to_dict("records") if "y0" in page.columns else []:
             box = np.array([row[c] for c in _BOX], float)
             for cap in taken:
                 area, shared = _areas(box[None])[0], _shared(box, cap[None])[0]
@@ -65,7 +67,7 @@ def clip_by_captures(regions: DataFrame, captures: DataFrame, drop: float = DROP
                     break
             if box is not None:
                 out.append({**row, **dict(zip(_BOX, box, strict=True))})
-        return pd.DataFrame(out, columns=page.columns)
+        return pd.DataFrame(out, columns=regions_columns)
 
     return regions.groupBy("doc_id", "page").cogroup(captures.groupBy("doc_id", "page")).applyInPandas(clip, regions.schema)
 
