@@ -10,6 +10,7 @@ a labelled row of either class every score is the share of toxic labels, 0.5 if
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -37,11 +38,11 @@ SEED = 7
 _WORD = re.compile(r"\w+")
 
 
-def word_features(word: str) -> np.ndarray:
-    """Rows of the vector table for a word: hashes of `<word>` and of each of its n-grams."""
+def word_buckets(word: str) -> list[int]:
+    """Rows of the vector table for a word: hashes of `<word>` and of each of its n-grams, equal ones once."""
     marked = f"<{word}>"
-    grams = {marked} | {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
-    return np.array([zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in sorted(grams)], np.int64)
+    grams = {marked, *(marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1))}
+    return [zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams]
 
 
 def distinct_words(text: str) -> set[str]:
@@ -54,9 +55,9 @@ class Model:
     softmax: np.ndarray  # DIMENSIONS x 2
     bias: np.ndarray
 
-    def word_logit(self, word: str) -> float:
-        """What a word adds to the difference of the classes' logits, before the mean over words."""
-        return float(self.table[word_features(word)].mean(0) @ (self.softmax[:, 1] - self.softmax[:, 0])) * SCALE
+    def bucket_logits(self) -> list[float]:
+        """What each row of the table adds to the difference of the classes' logits, before the means."""
+        return (self.table @ (self.softmax[:, 1] - self.softmax[:, 0]) * SCALE).tolist()
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
@@ -70,7 +71,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
         return Model(table * 0, softmax, bias)
     seen: dict[str, int] = {}
     docs = [np.array([seen.setdefault(w, len(seen)) for w in sorted(distinct_words(t))], np.int64) for t in texts]
-    bags = [word_features(w) for w in seen]
+    bags = [np.array(sorted(word_buckets(w)), np.int64) for w in seen]
     flat, size = np.concatenate(bags or [np.zeros(0, np.int64)]), np.array([len(b) for b in bags], np.int64)
     start = np.cumsum(size) - size
     weight = np.where(labels == 1, TOXIC_WEIGHT / share, (1 - TOXIC_WEIGHT) / (1 - share))
@@ -132,16 +133,21 @@ def _scores(sent, name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
         known: dict[str, float] = {}
-        bias = float(model.bias[1] - model.bias[0])
+        bias, each = float(model.bias[1] - model.bias[0]), model.bucket_logits()
         for batch in batches:
             logits = np.full(batch.num_rows, bias)
             for i, text in enumerate(batch.column("text").to_pylist()):
                 found = distinct_words(text or "")
                 if not found:
                     continue
-                for word in found - known.keys():
-                    known[word] = model.word_logit(word)
-                logits[i] += sum(map(known.__getitem__, found)) / len(found)
+                total = []
+                for word in found:
+                    own = known.get(word)
+                    if own is None:
+                        rows = word_buckets(word)
+                        own = known[word] = math.fsum(each[r] for r in rows) / len(rows)
+                    total.append(own)
+                logits[i] += math.fsum(total) / len(total)  # in any order the same
             if len(known) > CACHE_WORDS:
                 known.clear()
             score = 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
