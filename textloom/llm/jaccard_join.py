@@ -3,11 +3,12 @@
 A document is the set of its distinct shingles of five words. Equal sets are one class. All sets are put in one order:
 shingles with a large share of the corpus last, others by hash. Two sets of similarity t share at least l shingles within
 their prefixes of |x| - ceil(t * |x|) + l shingles; each document takes the l whose estimated cost, postings read plus
-candidates verified, is least, and a pair must share as many as the smaller l of the two. What passes is verified exactly.
+candidates verified, is least, and a pair must share as many as the smaller l of the two. It must also share as many as
+its sizes ask for if all that stands behind the shorter prefix is shared. What passes is verified exactly.
 
-A shingle that many documents hold in their prefixes does not give all pairs: its documents are first compared with one
-of their own and with the next in size, and only those that are then in different components are compared pair by pair, in
-blocks. So copies cost in proportion to their number, and no link between components is lost.
+A shingle that several documents hold in their prefixes does not give all pairs: they are first compared with one of
+them, and only those that are then in different components are compared pair by pair, in blocks. So copies cost in
+proportion to their number, and no link between components is lost.
 
 Null and empty texts have no shingles and are linked with nothing. A text of fewer than five words is one shingle.
 Repeated rows fall in one class. A null doc_id takes part; a component of null ids alone has a null id.
@@ -19,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import storage
@@ -34,9 +35,11 @@ FREQUENT_LEAST = 32
 LOCAL_LEAST = 4  # a task reports shingles that so many of its documents hold
 MAX_MATCHES = 4
 VERIFY_COST = 16.0  # of a candidate, in postings
-FEW = 24  # documents of a prefix shingle that are compared pair by pair at once
+FEW = 3  # sets of a prefix shingle that are compared pair by pair at once
 BLOCK = 256
-_PAIR = "x bigint, y bigint, star int, matches int"
+PIVOTS = 2
+_POSTING = "shingle bigint, node bigint, n int, l int"
+_PAIR = "x bigint, y bigint, matches int, kind int, n int, l int"
 
 
 def least_shared(n: int | np.ndarray, percent: int = PERCENT):
@@ -44,6 +47,18 @@ def least_shared(n: int | np.ndarray, percent: int = PERCENT):
     return (percent * n + 99) // 100
 
 
+def must_share(n_a: np.ndarray, n_b: np.ndarray, l_a: np.ndarray, l_b: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles two similar sets share in their prefixes at least, from their sizes and matches.
+
+    Of two prefixes one ends first in the common order. All that is shared up to its end stands in both prefixes, and of
+    what stands behind it no more than that set's rest can be shared.
+    """
+    n_a, n_b = n_a.astype(np.int64), n_b.astype(np.int64)
+    both = -(-percent * (n_a + n_b) // (100 + percent))
+    rest = [n - np.minimum(n, n - least_shared(n, percent) + l) for n, l in ((n_a, l_a), (n_b, l_b))]
+    return np.maximum(np.minimum(l_a, l_b), both - np.maximum(*rest)).astype(np.int32)
+
+
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row of the batch, its distinct shingle hashes in order)."""
     data, offsets = column_bytes(batch.column("text"))
@@ -55,13 +70,19 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
             yield first + i, np.unique(h[cut[i] : cut[i + 1]])
 
 
+def node_of(own: np.ndarray) -> np.uint64:
+    """A hash of a set: the node that stands for all texts with that set."""
+    sums = own.sum(keepdims=True), mix(own + np.uint64(1)).sum(keepdims=True)
+    return mix(sums[0] + np.array([len(own)], np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mix(sums[1]))[0]
+
+
 def _signatures(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, s1, s2 = (np.zeros(batch.num_rows, t) for t in (np.int64, np.uint64, np.uint64))
+            n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
             for i, own in _sets(batch, size):
-                n[i], s1[i], s2[i] = len(own), own.sum(), mix(own).sum()
-            yield pa.record_batch({"key": batch.column("key"), "doc_id": batch.column("doc_id"), "n": n, "s1": s1.view(np.int64), "s2": s2.view(np.int64)})
+                n[i], node[i] = len(own), node_of(own)
+            yield pa.record_batch({"key": batch.column("key"), "doc_id": batch.column("doc_id"), "n": n, "node": pa.array(node.view(np.int64), mask=n == 0)})
 
     return run
 
@@ -125,64 +146,67 @@ def _prefixes(sent, size: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs = sent.value
         lookup = Lookup(keys)
+        seen: set[int] = set()  # of the task's sets; copies of one give no postings of their own
         for batch in batches:
-            out, n, l = [np.zeros(0, np.int64)] * batch.num_rows, np.zeros(batch.num_rows, np.int32), np.ones(batch.num_rows, np.int32)
-            for i, own in _sets(batch, size):
-                if not len(own):
+            prefix, node, n, l = [], [], [], []
+            for _, own in _sets(batch, size):
+                if not len(own) or (name := int(node_of(own).view(np.int64))) in seen:
                     continue
+                seen.add(name)
                 at = lookup(own)
-                usual = own[at < 0]
-                base = len(own) - least_shared(len(own), percent) + 1
-                n[i] = len(own)
+                usual, often = own[at < 0], own[at >= 0]
+                base, matches = len(own) - least_shared(len(own), percent) + 1, 1
                 if len(usual) >= base:  # nothing in the prefix is frequent: one match is the cheapest
-                    out[i] = usual[:base].view(np.int64)
-                    continue
-                often = own[at >= 0]
-                weight = docs[at[at >= 0]]
-                order = np.lexsort((often, weight))
-                ordered = np.r_[usual, often[order]]
-                cost = np.r_[np.zeros(len(usual)), weight[order] - 1]
-                l[i] = matches_of(cost, base)
-                out[i] = ordered[: base + l[i] - 1].view(np.int64)
-            cut = np.r_[0, np.cumsum([len(x) for x in out])].astype(np.int32)
-            yield pa.record_batch({"key": batch.column("key"), "n": n, "l": l, "prefix": pa.ListArray.from_arrays(cut, pa.array(np.concatenate(out) if len(out) else np.zeros(0, np.int64)))})
+                    ordered = usual
+                else:
+                    weight = docs[at[at >= 0]]
+                    order = np.lexsort((often, weight))
+                    ordered = np.r_[usual, often[order]]
+                    matches = matches_of(np.r_[np.zeros(len(usual)), weight[order] - 1], base)
+                prefix.append(ordered[: base + matches - 1])
+                node.append(name)
+                n.append(len(own))
+                l.append(matches)
+            if prefix:
+                many = np.array([len(p) for p in prefix])
+                each = lambda x, t: np.repeat(np.array(x, t), many)
+                yield pa.record_batch({"shingle": np.concatenate(prefix).view(np.int64), "node": each(node, np.int64), "n": each(n, np.int32), "l": each(l, np.int32)})
 
     return run
 
 
+def _batch(x, y, matches, kind: int, n=None, l=None) -> pa.RecordBatch:
+    zero = np.zeros(len(x), np.int32)
+    return pa.record_batch({"x": x, "y": y, "matches": zero if matches is None else matches.astype(np.int32), "kind": zero + np.int32(kind), "n": zero if n is None else n, "l": zero if l is None else l})
+
+
 def _first_pairs(percent: int) -> Callable:
-    """Of the postings of a partition, sorted by shingle: pairs, and the shingles that have too many documents for all."""
+    """Of the postings of a partition, sorted by shingle: pairs (kind 0: of few, kind 1: with the first of many), and
+    the postings of shingles that have many (kind 2; x: shingle, y: node)."""
+
+    def pairs(shingle, node, n, l):
+        order = np.lexsort((node, shingle))
+        shingle, node, n, l = shingle[order], node[order], n[order], l[order]
+        once = np.r_[True, (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])]
+        shingle, node, n, l = shingle[once], node[once], n[once], l[once]
+        first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+        many = np.diff(np.r_[first, len(shingle)])
+        size, head = np.repeat(many, many), np.repeat(first, many)
+        place = np.arange(len(shingle)) - head
+        few = np.flatnonzero((size <= FEW) & (size > 1))
+        full = np.flatnonzero(size > FEW)
+        found = [(few[place[few] + d < size[few]], d, 0) for d in range(1, FEW)]
+        for a, d, kind in [*found, (full[place[full] > 0], None, 1)]:
+            b = head[a] if d is None else a + d
+            keep = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+            a, b = a[keep], b[keep]
+            yield _batch(np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), must_share(n[a], n[b], l[a], l[b], percent), kind)
+        yield _batch(shingle[full], node[full], None, 2, n[full], l[full])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None  # the postings of the last shingle, which the next batch may continue
-
-        def pairs(shingle, key, n, l):
-            order = np.lexsort((key, n, shingle))
-            shingle, key, n, l = shingle[order], key[order], n[order], l[order]
-            first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
-            many = np.diff(np.r_[first, len(shingle)])
-            size = np.repeat(many, many)
-            place = np.arange(len(shingle)) - np.repeat(first, many)
-            found = []
-            few = size <= FEW
-            for d in range(1, int(min(FEW, many.max()))):  # the d-th next document of the same shingle
-                a = np.flatnonzero(few & (place + d < size))
-                found.append((a, a + d, 0))
-            hot = np.flatnonzero(~few)
-            if len(hot):
-                next_one = hot[place[hot] + 1 < size[hot]]
-                found.append((next_one, next_one + 1, 1))
-                pivot = np.repeat(first + many // 2, many)[hot]
-                found.append((hot[pivot != hot], pivot[pivot != hot], 1))
-            for a, b, star in found:
-                keep = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (key[a] != key[b])
-                a, b = a[keep], b[keep]
-                yield pa.record_batch({"x": np.minimum(key[a], key[b]), "y": np.maximum(key[a], key[b]), "star": np.full(len(a), star, np.int32), "matches": np.minimum(l[a], l[b]).astype(np.int32)})
-            lone = shingle[first[many > FEW]]
-            yield pa.record_batch({"x": lone, "y": lone, "star": np.full(len(lone), 2, np.int32), "matches": np.zeros(len(lone), np.int32)})
-
         for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in ("shingle", "key", "n", "l")]
+            columns = [batch.column(c).to_numpy() for c in ("shingle", "node", "n", "l")]
             if left is not None:
                 columns = [np.r_[a, b] for a, b in zip(left, columns, strict=True)]
             cut = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
@@ -197,13 +221,13 @@ def _first_pairs(percent: int) -> Callable:
 
 def _block_pairs(percent: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        key, n, l, label, block = (table.column(c).to_numpy() for c in ("key", "n", "l", "label", "block"))
+        node, n, l, label, block = (table.column(c).to_numpy() for c in ("node", "n", "l", "label", "block"))
         low, high = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
         a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
         a, b = (x.ravel() for x in np.meshgrid(a, b, indexing="ij"))
-        keep = (label[a] != label[b]) & (key[a] != key[b]) & ((low != high) | (a < b)) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        keep = (label[a] != label[b]) & ((low != high) | (a < b)) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
         a, b = a[keep], b[keep]
-        return pa.table({"x": np.minimum(key[a], key[b]), "y": np.maximum(key[a], key[b]), "star": np.zeros(len(a), np.int32), "matches": np.minimum(l[a], l[b]).astype(np.int32)})
+        return pa.Table.from_batches([_batch(np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), must_share(n[a], n[b], l[a], l[b], percent), 0)])
 
     return run
 
@@ -234,60 +258,71 @@ def _set_rows(size: int) -> Callable:
         for batch in batches:
             found = [own.view(np.int64) for _, own in _sets(batch, size)]
             cut = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
-            yield pa.record_batch({"key": batch.column("key"), "set": pa.ListArray.from_arrays(cut, pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))})
+            yield pa.record_batch({"node": batch.column("node"), "set": pa.ListArray.from_arrays(cut, pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))})
 
     return run
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, size: int, percent: int, name: str) -> DataFrame:
-    """The pairs x, y whose sets are similar; docs: key and text."""
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
-    sets = docs.join(ends, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(_set_rows(size), "key bigint, set array<bigint>")
-    sets = storage.materialize(sets, f"{name}-sets")
-    both = pairs.join(sets.select(F.col("key").alias("x"), F.col("set").alias("x_set")), "x").join(sets.select(F.col("key").alias("y"), F.col("set").alias("y_set")), "y")
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """The pairs x, y whose sets are similar, as a, b."""
+    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("set").alias("x_set")), "x").join(sets.select(F.col("node").alias("y"), F.col("set").alias("y_set")), "y")
     return storage.materialize(both.select("x", "y", "x_set", "y_set").mapInArrow(_verify(percent), "a bigint, b bigint"), f"{name}-links")
 
 
 def _enough(pairs: DataFrame) -> DataFrame:
-    """Pairs that share as many prefix shingles as they must."""
-    sums = pairs.groupBy("x", "y").agg(F.max("star").alias("star"), F.count("*").alias("shared"), F.max("matches").alias("matches"))
-    return sums.where((F.col("star") == 1) | (F.col("shared") >= F.col("matches"))).select("x", "y")
+    """Pairs that share as many prefix shingles as they must. A prefix shingle gives a pair once."""
+    sums = pairs.groupBy("x", "y").agg(F.max("kind").alias("kind"), F.count("*").alias("shared"), F.max("matches").alias("matches"))
+    return sums.withColumn("enough", F.col("shared") >= F.col("matches"))
+
+
+def _spanning(pairs: DataFrame) -> DataFrame:
+    """Pairs to verify first: those that share enough, and each set with those PIVOTS firsts of full shingles that it
+    meets most often. The latter only join what is alike early; pairs that they leave out are found in blocks."""
+    often = Window.partitionBy("y", "kind").orderBy(F.desc("shared"), "x")
+    ranked = _enough(pairs).withColumn("nth", F.row_number().over(often))
+    return ranked.where(F.col("enough") | ((F.col("kind") == 1) & (F.col("nth") <= PIVOTS))).select("x", "y")
 
 
 def near_duplicate_components(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """key, doc_id, n_shingles, component (a hash; null for a document linked with nothing but its own copies) and class
-    of every row. key: the hash of doc_id and text."""
+    """key, doc_id, n_shingles, node and component (hashes; null without shingles) of every row. key: the hash of doc_id
+    and text; node: that of the set, component: the least node of those that links join."""
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     spark = docs.sparkSession
-    signed = storage.materialize(docs.mapInArrow(_signatures(size), "key bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint"), "signatures")
-    classes = storage.materialize(signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("class")), "classes")
-    texts = docs.select("key", "text")
-
-    sent = spark.sparkContext.broadcast(frequent_shingles(texts, size))
-    prefixes = storage.materialize(texts.mapInArrow(_prefixes(sent, size, percent), "key bigint, n int, l int, prefix array<bigint>"), "prefixes")
-    own = prefixes.join(classes.select(F.col("class").alias("key")), "key", "left_semi")
-    postings = own.select("key", "n", "l", F.explode("prefix").alias("shingle")).select("shingle", "key", "n", "l")
+    signed = storage.materialize(docs.mapInArrow(_signatures(size), "key bigint, doc_id bigint, n bigint, node bigint"), "signatures")
+    sent = spark.sparkContext.broadcast(frequent_shingles(docs.select("text"), size))
+    postings = docs.select("text").mapInArrow(_prefixes(sent, size, percent), _POSTING)
     dealt = postings.repartition("shingle").sortWithinPartitions("shingle")
     first = storage.materialize(dealt.mapInArrow(_first_pairs(percent), _PAIR), "pairs")
-    links = _similar(storage.materialize(_enough(first.where("star < 2")), "candidates"), texts, size, percent, "first")
+
+    def similar(pairs: DataFrame, name: str) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+        one = storage.materialize(signed.groupBy("node").agg(F.min("key").alias("key")).join(wanted, "node", "left_semi"), f"{name}-wanted")
+        texts = storage.maybe_among(docs.select("key", "text"), storage.key_bits(one, "key"), "key").join(one, "key").dropDuplicates(["node"]).select("node", "text")
+        sets = storage.materialize(texts.mapInArrow(_set_rows(size), "node bigint, set array<bigint>"), f"{name}-sets")
+        return _similar(pairs, sets, percent, name)
+
+    links = similar(storage.materialize(_spanning(first.where("kind < 2")), "candidates"), "first")
     labels = connected(links)
 
-    full = first.where("star = 2").select(F.col("x").alias("shingle")).distinct()
-    if not full.isEmpty():
-        # what stands in one shingle's postings but in different components, block by block
-        rest = postings.join(full, "shingle", "left_semi").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        rest = storage.materialize(rest.dropDuplicates(["shingle", "key"]), "full-postings")
-        parts = rest.groupBy("shingle").agg(F.count("*").alias("docs"), F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other")
-        parts = parts.select("shingle", F.ceil(F.col("docs") / BLOCK).cast("int").alias("blocks"))
-        dealt = rest.join(parts, "shingle").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
-        more = dealt.select("shingle", "key", "n", "l", "label", "block", "i", "j").groupBy("shingle", "i", "j").applyInArrow(_block_pairs(percent), _PAIR)
-        more = storage.materialize(_enough(more), "more-candidates")
-        if not more.isEmpty():
-            labels = connected(links.union(_similar(more, texts, size, percent, "more")))
-    linked = classes.join(labels.select(F.col("node").alias("class"), F.col("label").alias("component")), "class", "left")
-    return signed.join(linked, ["n", "s1", "s2"], "left").select("key", "doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("component", "class").alias("component"))
+    # what stands in one shingle's postings but in different components, block by block
+    rest = first.where("kind = 2").select(F.col("x").alias("shingle"), F.col("y").alias("node"), "n", "l")
+    rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = rest.groupBy("shingle").agg(F.count("*").alias("sets"), F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other")
+    parts = parts.select("shingle", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks"))
+    dealt = storage.materialize(rest.join(parts, "shingle").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "rest")
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
+    blocks = dealt.select("shingle", "node", "n", "l", "label", "block", "i", "j").groupBy("shingle", "i", "j").applyInArrow(_block_pairs(percent), _PAIR)
+    # a pair may share shingles that few hold and shingles that many hold: they count together
+    more = _enough(blocks.select("x", "y", "matches", "kind").unionByName(first.where("kind = 0").select("x", "y", "matches", "kind"))).where("enough")
+    label_of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    apart = F.coalesce("x_label", "x") != F.coalesce("y_label", "y")
+    more = more.join(label_of("x"), "x", "left").join(label_of("y"), "y", "left").where(apart).select("x", "y")
+    more = storage.materialize(more, "more-candidates")
+    if not more.isEmpty():
+        labels = connected(links.union(similar(more, "more")))
+    named = labels.select("node", F.col("label").alias("component"))
+    return signed.join(named, "node", "left").select("key", "doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component", "node").alias("component"))
 
 
 def with_component_ids(components: DataFrame) -> DataFrame:
