@@ -78,5 +78,54 @@ def test_exchange_finds_blocks():
     assert all(len({at[i] for i in range(12) if i % 3 == k}) == 1 for k in range(3)) and len(set(at)) == 3
 
 
+@pytest.fixture
+def two_kinds(spark):
+    """Rare words that stand either between a and b, as up does, or between c and d, as vex does; all end alike."""
+    rng = np.random.default_rng(1)
+    texts = []
+    for i in range(60):
+        one, two = [f"{'u' if (i + j) % 2 else 'v'}{rng.integers(0, 40)}xx" for j in range(2)]
+        texts.append(" ".join(f"a {w} b" if w[0] == "u" else f"c {w} d" for w in (one, two, "up", "vex") * 3))
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+
+
+@pytest.mark.parametrize("known", [0.02, 2**-18])
+def test_rare_words_are_clustered_by_their_own_neighbours(spark, two_kinds, monkeypatch, known):
+    monkeypatch.setattr(brown, "UNIT_SHARE", 0.02)
+    monkeypatch.setattr(brown, "KNOWN_SHARE", known)
+    counts = brown.word_counts(two_kinds)
+    v = brown.vocabulary(counts)
+    assert v.unit_words == 7  # a to d, up, vex and the end
+    blocks = brown.coded(two_kinds.withColumn("held_out", F.lit(False)), v).cache()
+    _, classes, _ = brown.learn(blocks, v, counts)
+    place = {r["word"]: r["class"] for r in classes.collect()}
+    hashed = lambda w: int(text.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0].view(np.int64)[0])
+    seen = {w for r in two_kinds.collect() for w in r.text.split()}
+    assert set(place) == {hashed(w) for w in seen} | {0}
+    of = lambda kind: {place[hashed(w)] for w in seen if w[0] == kind}
+    assert not of("u") & of("v")
+
+
+def test_best_class_is_that_of_whole_likelihoods():
+    """Each word is moved alone to each class, and the likelihood counted anew."""
+    rng = np.random.default_rng(2)
+    pairs = rng.integers(0, 4, (9, 9)) * rng.integers(0, 2, (9, 9))
+    old = np.arange(9) % 3
+    table = lambda c: np.array([[pairs[np.ix_(c == i, c == j)].sum() for j in range(3)] for i in range(3)], float)
+    word, at, n = [], [], []
+    for w in range(9):
+        left, right = np.zeros(3, int), np.zeros(3, int)
+        for x in set(range(9)) - {w}:
+            right[old[x]] += pairs[w, x]
+            left[old[x]] += pairs[x, w]
+        for kind, count in [*enumerate(right), *((brown.CLASSES + c, x) for c, x in enumerate(left)), (2 * brown.CLASSES, pairs[w, w])]:
+            if count:
+                word.append(w), at.append(kind), n.append(count)
+    got = brown.best_classes(table(old), old, np.array(word), np.array(at), np.array(n))
+    for w in range(9):
+        value = [brown.likelihood(table(np.where(np.arange(9) == w, c, old))) for c in range(3)]
+        assert value[got[w]] == pytest.approx(max(value))
+
+
 def test_empty_table(empty):
     assert brown.brown_scores(empty, F.lit(False)).count() == 0

@@ -1,12 +1,16 @@
 """Brown class-based bigram scores for documents.
 
-Text is cut into words (see text.py) and one end token. Words with a large share of the training tokens are units of
-their own; every other word belongs to the unit of its last two bytes. Exchange clustering moves units between classes
-while the likelihood of the class bigrams rises. The model is
+Text is cut into words (see text.py) and one end token. Every training word has a class of its own. Exchange clustering
+on the driver seeds the classes: there words with a large share of the training tokens are units, and every other word
+goes with the unit of its last two bytes. Then sweeps over all words, as Spark jobs, put each word where the likelihood
+of the class bigrams rises most, by its own counts before and after each class; classes change between sweeps, and a
+sweep after which the likelihood is lower is taken back. The model is
 
     P(word | previous) = P(class | previous class) * P(unit | class) * P(word | unit)
 
-with add-one smoothing in each factor, so the words seen in training and one unseen word for each unit share all mass.
+where the units of a class are its frequent words and one for the rest of its words. Each factor has add-one smoothing,
+so the words seen in training and one unseen word for each class share all mass. An unseen word has the class of its
+last two bytes' unit.
 
 Empty and null texts hold the end token alone. Repeated rows are documents of their own. A null doc_id counts as the
 empty text when it is dealt to training. An empty table gives an empty result.
@@ -15,23 +19,27 @@ empty text when it is dealt to training. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
 from .text import Lookup, chunks, column_bytes, distinct, words
 
-#: A word with at least this share of all training tokens is a unit: 2 ** 11 words at most, in a corpus of any size.
+#: A word with at least this share of all training tokens is a unit of the seed: 2 ** 11 words at most, in a corpus of any size.
 UNIT_SHARE = 2**-11
 #: Counts of words with at least this share go to every task: 2 ** 18 words at most. Others are joined.
 KNOWN_SHARE = 2**-18
 SUFFIX_UNITS = 512
 CLASSES = 64
 SWEEPS = 8
+WORD_SWEEPS = 2  # over all words, after the seed
+BLOCK_BYTES = 1 << 16
+ENTRY = np.dtype([("at", "u1"), ("n", "<i8")])  # how often a word has a class after it (at), before it (CLASSES + at), or itself (2 * CLASSES)
 END = np.uint64(0)  # the hash that stands for the end token
 FLUSH = 1 << 21
 
@@ -91,16 +99,23 @@ class Vocabulary:
     types: int
     known: np.ndarray  # hashes, the most frequent first
     known_n: np.ndarray
+    known_suffix: np.ndarray
     unit_words: int  # so many of them are units
-    rare_tokens: np.ndarray  # of each suffix unit: tokens and types that are no units
-    rare_types: np.ndarray
+    rare_tokens: np.ndarray | None = None  # of each class: tokens and types that are no units
+    rare_types: np.ndarray | None = None
 
     @property
     def units(self) -> int:
         return self.unit_words + SUFFIX_UNITS
 
-    def unit_of(self, at: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-        return np.where((at >= 0) & (at < self.unit_words), at, self.unit_words + suffix)
+    @property
+    def end(self) -> int:
+        return int(np.flatnonzero(self.known == END)[0])
+
+    def seed_units(self) -> np.ndarray:
+        """The seed's unit of each known word."""
+        at = np.arange(len(self.known))
+        return np.where(at < self.unit_words, at, self.unit_words + self.known_suffix)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -108,29 +123,104 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     tokens, types = int(total[0] or 0), int(total[1])
     least_unit, least_known = max(1, tokens * UNIT_SHARE), max(1, tokens * KNOWN_SHARE)
     is_end = F.col("word") == int(END)
-    known = counts.where((F.col("n") >= least_known) | is_end).select("word", "n").toPandas()
+    known = counts.where((F.col("n") >= least_known) | is_end).select("word", "n", "unit").toPandas()
+    if not tokens:
+        known.loc[0] = (int(END), 0, 0)
     known = known.sort_values(["n", "word"], ascending=[False, True])
     unit = (known.n >= least_unit) | (known.word == int(END))
     known = known.assign(rest=~unit).sort_values("rest", kind="stable")
-    rare = counts.where((F.col("n") < least_unit) & ~is_end).groupBy("unit").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas()
-    n, t = np.zeros(SUFFIX_UNITS), np.zeros(SUFFIX_UNITS)
-    n[rare.unit], t[rare.unit] = rare.n, rare.types
-    return Vocabulary(tokens, types, known.word.to_numpy(np.int64).view(np.uint64), known.n.to_numpy(np.int64), int(unit.sum()), n, t)
+    suffix = np.maximum(known.unit.to_numpy(np.int64), 0)
+    return Vocabulary(tokens, types, known.word.to_numpy(np.int64).view(np.uint64), known.n.to_numpy(np.int64), suffix, int(unit.sum()))
+
+
+_CODED = "block bigint, doc_id array<bigint>, held_out array<boolean>, rows binary, codes binary, words array<bigint>, suffix binary"
 
 
-def _bigram_counter(spark_vocabulary) -> Callable:
+def _coder(sent) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = spark_vocabulary.value
-        lookup = Lookup(v.known[: v.unit_words])
-        end_unit = int(np.flatnonzero(v.known[: v.unit_words] == END)[0]) if v.unit_words else 0
-        keys, sums, waiting = [], [], 0
+        v: Vocabulary = sent.value
+        lookup, end_at, block = Lookup(v.known), v.end, TaskContext.get().partitionId() << 33
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
-            for _, _, part, at in chunks(data, offsets):
+            for first, last, part, at in chunks(data, offsets, BLOCK_BYTES):
                 h, rows, start, end = words(part, at)
-                unit, _ = with_end(v.unit_of(lookup(h), suffix_unit(part, start, end)), rows, end_unit)
-                before = np.r_[end_unit, unit[:-1]]  # a document begins after the end of another
-                k, n = distinct(before * v.units + unit)
+                code = lookup(h)
+                rare = np.flatnonzero(code < 0)
+                own, where, back = np.unique(h[rare], return_index=True, return_inverse=True)
+                code[rare] = len(v.known) + back
+                suffix = suffix_unit(part, start[rare[where]], end[rare[where]])
+                code, rows = with_end(code, rows, end_at)
+                whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                yield pa.record_batch({
+                    "block": pa.array([block]), "doc_id": whole(batch.column("doc_id").slice(first, last - first)), "held_out": whole(batch.column("held_out").slice(first, last - first)),
+                    "rows": pa.array([rows.astype(np.int64).tobytes()]), "codes": pa.array([code.astype(np.int32).tobytes()]),
+                    "words": whole(pa.array(own.view(np.int64))), "suffix": pa.array([suffix.astype(np.int16).tobytes()]),
+                })
+                block += 1
+
+    return run
+
+
+def coded(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """Blocks of whole documents (doc_id, text, held_out): each token as its place among the known words, or after
+    them among the block's own `words`."""
+    sent = docs.sparkSession.sparkContext.broadcast(v)
+    return docs.select("doc_id", "text", "held_out").mapInArrow(_coder(sent), _CODED)
+
+
+def resolved(blocks: DataFrame, classes: DataFrame) -> DataFrame:
+    """Blocks with the class and count of each of their own words that training has."""
+    each = blocks.select("block", F.posexplode("words").alias("at", "word"))
+    found = each.join(classes, "word").groupBy("block").agg(F.collect_list(F.struct("at", "class", "n")).alias("found"))
+    return blocks.drop("found").join(found, "block", "left")
+
+
+@dataclass
+class Block:
+    """One block: docs' first tokens, and of each token its code; of each code the suffix, and what is found."""
+
+    rows: np.ndarray
+    codes: np.ndarray
+    held: np.ndarray
+    words: np.ndarray
+    suffix: np.ndarray
+    found_class: np.ndarray  # of own words, -1 where nothing is found
+    found_n: np.ndarray
+
+    def classes(self, known: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        """The class of each code: of known words, and of own words by what is found, else by their suffix."""
+        return np.r_[known, np.where(self.found_class >= 0, self.found_class, suffix[self.suffix])]
+
+    def trained(self) -> np.ndarray:
+        return np.repeat(~self.held, np.diff(self.rows))
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, Block]]:
+    has_found = "found" in batch.schema.names
+    for i in range(len(batch)):
+        raw = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind).astype(np.int64)  # noqa: E731, B023
+        own = batch.column("words")[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+        c, n = np.full(len(own), -1), np.zeros(len(own), np.int64)
+        if has_found and batch.column("found")[i].is_valid:
+            x = batch.column("found")[i].values
+            at = x.field("at").to_numpy(zero_copy_only=False)
+            c[at], n[at] = x.field("class").to_numpy(zero_copy_only=False), x.field("n").to_numpy(zero_copy_only=False)
+        held = batch.column("held_out")[i].values.to_numpy(zero_copy_only=False).astype(bool)
+        yield i, Block(raw("rows", np.int64), raw("codes", np.int32), held, own, raw("suffix", np.int16), c, n)
+
+
+def _bigram_counter(sent) -> Callable:
+    """Counts pairs of classes of tokens that follow each other in training."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, suffix, many, end_at = sent.value
+        keys, sums, waiting = [], [], 0
+        for batch in batches:
+            for _, b in _blocks(batch):
+                c = b.classes(known, suffix)
+                now = c[b.codes[b.trained()]]
+                before = np.r_[c[end_at], now[:-1]]  # a document begins after the end of another
+                k, n = distinct(before * many + now)
                 keys.append(k)
                 sums.append(n)
                 waiting += len(k)
@@ -144,6 +234,14 @@ def _bigram_counter(spark_vocabulary) -> Callable:
     return run
 
 
+def _bigrams(blocks: DataFrame, known: np.ndarray, suffix: np.ndarray, many: int, end_at: int) -> np.ndarray:
+    sent = blocks.sparkSession.sparkContext.broadcast((known, suffix, many, end_at))
+    table = blocks.mapInArrow(_bigram_counter(sent), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros((many, many))
+    out.flat[table.pair.to_numpy(np.int64)] = table.n
+    return out
+
+
 def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """The class of each unit. pairs[i, j]: how often unit j follows unit i.
 
@@ -200,80 +298,214 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return at
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def likelihood(both: np.ndarray) -> float:
+    return float(_xlogx(both).sum() - _xlogx(both.sum(0)).sum() - _xlogx(both.sum(1)).sum())
+
+
+def _context_counter(sent) -> Callable:
+    """word, class, entries: how often each class stands before and after a word, in training."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, known, suffix = sent.value
+        words, olds, ats, sums, waiting = [], [], [], [], 0
+
+        def merged():
+            h, old, at, n = (np.concatenate(x) for x in (words, olds, ats, sums))
+            order = np.lexsort((at, h))
+            h, old, at, n = h[order], old[order], at[order], n[order]
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (at[1:] != at[:-1])])
+            h, old, at, n = h[first], old[first], at[first], np.add.reduceat(n, first)
+            head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            entries = np.empty(len(h), ENTRY)
+            entries["at"], entries["n"] = at, n
+            for i in range(0, len(head), 1 << 14):
+                cut = np.r_[head, len(h)][i : i + (1 << 14) + 1]
+                packed = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(((cut - cut[0]) * ENTRY.itemsize).astype(np.int32)), pa.py_buffer(entries[cut[0] : cut[-1]].tobytes())])
+                yield pa.record_batch({"word": h[cut[:-1]].view(np.int64), "class": old[cut[:-1]].astype(np.int32), "entries": packed})
+
+        for batch in batches:
+            for _, b in _blocks(batch):
+                c = b.classes(known, suffix)
+                now = b.codes[b.trained()]
+                if not len(now):
+                    continue
+                before = np.r_[v.end, now[:-1]]
+                same = before == now
+                at = np.r_[now[~same] * 256 + CLASSES + c[before[~same]], before[~same] * 256 + c[now[~same]], now[same] * 256 + 2 * CLASSES]
+                key, n = distinct(at)
+                code = key >> 8
+                words.append(np.r_[v.known, b.words][code])
+                olds.append(c[code])
+                ats.append(key & 255)
+                sums.append(n)
+                waiting += len(key)
+                if waiting > FLUSH:
+                    yield from merged()
+                    words, olds, ats, sums, waiting = [], [], [], [], 0
+        if waiting:
+            yield from merged()
+
+    return run
+
+
+def best_classes(both: np.ndarray, old: np.ndarray, word: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The best class of each word, every other word staying where it is; a tie leaves a word in its class.
+
+    both: the class bigrams with the words in their old classes. An entry says that `word` (a place in old, ascending)
+    has n neighbours of the kind `at` (see ENTRY).
+    """
+    k, m = len(both), len(old)
+    table = np.bincount(word * (2 * CLASSES + 1) + at, n, m * (2 * CLASSES + 1)).reshape(m, -1)
+    out, into, own = table[:, :k], table[:, CLASSES : CLASSES + k], table[:, -1:]
+    all_words = np.arange(m)
+    gain = np.zeros((m, k))
+    for side, cells, other in ((0, both.T, into), (CLASSES, both, out)):
+        for i in range(0, len(word), 1 << 14):
+            w, j, x = word[i : i + (1 << 14)], at[i : i + (1 << 14)] - side, n[i : i + (1 << 14)].astype(float)
+            mine = (j >= 0) & (j < k)
+            w, j, x = w[mine], j[mine], x[mine]
+            if not len(w):
+                continue
+            base = cells[j]  # of each class the cell that the entry would join, with the word taken out
+            base[np.arange(len(w)), old[w]] -= x
+            its = np.flatnonzero(j == old[w])
+            base[its] -= other[w[its]]
+            base[its, j[its]] -= own[w[its], 0]
+            head = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            gain[w[head]] += np.add.reduceat(_xlogx(base + x[:, None]) - _xlogx(base), head)
+    cell = np.tile(both.diagonal(), (m, 1))
+    cell[all_words, old] -= (out + into)[all_words, old] + own[:, 0]
+    gain += _xlogx(cell + out + into + own) + _xlogx(cell) - _xlogx(cell + out) - _xlogx(cell + into)
+    for margin, size in ((both.sum(1), out.sum(1) + own[:, 0]), (both.sum(0), into.sum(1) + own[:, 0])):
+        rest = np.tile(margin, (m, 1))
+        rest[all_words, old] -= size
+        gain -= _xlogx(rest + size[:, None]) - _xlogx(rest)
+    new = gain.argmax(1)
+    return np.where(gain[all_words, new] > gain[all_words, old] + 1e-6, new, old)
+
+
+def _assigner(sent_both) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = sent_both.value
+        words, olds, lengths, entries = [], [], [], []
+        for batch in batches:
+            packed = batch.column("entries")
+            words.append(batch.column("word").to_numpy())
+            olds.append(batch.column("class").to_numpy())
+            lengths.append(np.array([len(x.as_buffer()) for x in packed]) // ENTRY.itemsize)
+            entries.append(np.frombuffer(b"".join(x.as_buffer() for x in packed), ENTRY))
+        if not words or not sum(map(len, words)):
+            return
+        word, first, at = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
+        old, w, e = np.concatenate(olds)[first], np.repeat(at, np.concatenate(lengths)), np.concatenate(entries)
+        key, n = distinct(w.astype(np.int64) * 256 + e["at"], e["n"])
+        w, kind = key >> 8, key & 255
+        for i in range(0, len(word), 1 << 12):
+            a, b = np.searchsorted(w, [i, i + (1 << 12)])
+            best = best_classes(both, old[i : i + (1 << 12)].astype(np.int64), w[a:b] - i, kind[a:b], n[a:b])
+            yield pa.record_batch({"word": word[i : i + (1 << 12)], "class": best.astype(np.int32)})
+
+    return run
+
+
+def sweep(blocks: DataFrame, v: Vocabulary, known: np.ndarray, suffix: np.ndarray, both: np.ndarray) -> DataFrame:
+    """word, class: the best class of every training word, by its counts against the classes as they are."""
+    context = blocks.sparkSession.sparkContext.broadcast((v, known, suffix))
+    each = blocks.mapInArrow(_context_counter(context), "word bigint, class int, entries binary")
+    dealt = each.repartition(storage.tasks(blocks.sparkSession, v.tokens, 1 << 22), "word")
+    return dealt.mapInArrow(_assigner(blocks.sparkSession.sparkContext.broadcast(both)), "word bigint, class int")
+
+
 @dataclass
 class Model:
     vocabulary: Vocabulary
-    end_unit: int
-    class_of: np.ndarray
+    known_class: np.ndarray
+    suffix_class: np.ndarray  # of words that training has not
+    class_of: np.ndarray  # of each unit: the unit words, then the rest of each class
     transition: np.ndarray  # log10 P(class | previous class)
     emission: np.ndarray  # log10 P(unit | class)
-    rare: np.ndarray  # log10 of what divides c + 1 in a suffix unit
+    rare: np.ndarray  # log10 of what divides n + 1 in the rest of a class
 
 
-def fit(docs: DataFrame, counts: DataFrame) -> Model:
-    """Cluster the units by the bigrams of all rows; counts are the word_counts of the same rows.
+def learn(blocks: DataFrame, v: Vocabulary, counts: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the classes of all training words (word, class, n), and the blocks with those found.
 
-    The bigram table that comes to the driver has at most (2 ** 11 + 1 + SUFFIX_UNITS) ** 2 rows.
+    The seed's bigram table that comes to the driver has at most (2 ** 11 + 1 + SUFFIX_UNITS) ** 2 rows, those of the
+    sweeps CLASSES ** 2; the classes of words that are not known to every task stay in Spark.
     """
-    spark = docs.sparkSession
-    v = vocabulary(counts)
-    sent = spark.sparkContext.broadcast(v)
-    pairs = np.zeros((v.units, v.units))
-    table = docs.select("text").mapInArrow(_bigram_counter(sent), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    pairs.flat[table.pair.to_numpy()] = table.n
-    class_of = exchange(pairs)
-    k = int(class_of.max(initial=0)) + 1
-    member = np.zeros((v.units, k))
-    member[np.arange(v.units), class_of] = 1
-    both = member.T @ pairs @ member
+    seed = exchange(_bigrams(blocks, v.seed_units(), v.unit_words + np.arange(SUFFIX_UNITS), v.units, v.end))
+    k = int(seed.max(initial=0)) + 1
+    suffix = seed[v.unit_words :]
+    known = seed[v.seed_units()]
+    both = _bigrams(blocks, known, suffix, k, v.end)
+    seeds = F.element_at(F.array(*[F.lit(int(c)) for c in suffix]), F.greatest("unit", F.lit(0)) + 1)
+    of_units = blocks.sparkSession.createDataFrame([(int(w), int(c)) for w, c in zip(v.known[: v.unit_words].view(np.int64), known, strict=False)], "word bigint, own int")
+    classes = counts.join(F.broadcast(of_units), "word", "left").select("word", F.coalesce("own", seeds).alias("class"), "n")
+    found = None
+    for _ in range(WORD_SWEEPS):
+        moved = sweep(blocks if found is None else found, v, known, suffix, both)
+        now = storage.materialize(moved.join(counts.select("word", "n"), "word"), "brown-classes")
+        at_known = now.where((F.col("n") >= max(1, v.tokens * KNOWN_SHARE)) | (F.col("word") == int(END))).toPandas()
+        own = known.copy()
+        own[Lookup(v.known)(at_known.word.to_numpy(np.int64).view(np.uint64))] = at_known["class"]
+        next_found = storage.materialize(resolved(blocks, now), "brown-blocks")
+        next_both = _bigrams(next_found, own, suffix, k, v.end)
+        if likelihood(next_both) <= likelihood(both):
+            storage.discard(next_found)
+            break
+        if found is not None:
+            storage.discard(found)
+        found, known, both, classes = next_found, own, next_both, now
+    if found is None:
+        found = storage.materialize(resolved(blocks, classes), "brown-blocks")
+    rest = classes.where((F.col("n") < max(1, v.tokens * UNIT_SHARE)) & (F.col("word") != int(END)))
+    rest = rest.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas()
+    rare_tokens, rare_types = np.zeros(k), np.zeros(k)
+    rare_tokens[rest["class"]], rare_types[rest["class"]] = rest.n, rest.types
+    class_of = np.r_[known[: v.unit_words], np.arange(k)]
+    unit_n = np.r_[v.known_n[: v.unit_words], rare_tokens]
     prior = (both.sum(0) + 1) / (both.sum() + k)
     transition = (both + k * prior[None, :]) / (both.sum(1, keepdims=True) + k)
-    unit_n = pairs.sum(0)
-    emission = (unit_n + 1) / (member.T @ unit_n + member.sum(0))[class_of]
-    end_unit = int(np.flatnonzero(v.known[: v.unit_words] == END)[0]) if v.unit_words else 0
-    return Model(v, end_unit, class_of, np.log10(transition), np.log10(emission), np.log10(v.rare_tokens + v.rare_types + 1))
+    emission = (unit_n + 1) / (np.bincount(class_of, unit_n, k) + np.bincount(class_of, minlength=k))[class_of]
+    model = Model(replace(v, rare_tokens=rare_tokens, rare_types=rare_types), known, suffix, class_of, np.log10(transition), np.log10(emission), np.log10(rare_tokens + rare_types + 1))
+    return model, classes, found
 
 
-_SCORED = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, words array<bigint>, times array<int>"
+def fit(docs: DataFrame, counts: DataFrame) -> Model:
+    """Cluster all words by the bigrams of all rows; counts are the word_counts of the same rows."""
+    counts = storage.materialize(counts, "brown-counts")
+    v = vocabulary(counts)
+    blocks = storage.materialize(coded(docs.withColumn("held_out", F.lit(False)), v), "brown-coded")
+    return learn(blocks, v, counts)[0]
+
+
+_SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
 def _scorer(sent) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
         v = m.vocabulary
-        lookup = Lookup(v.known)
-        log_n = np.log10(v.known_n + 1.0)
         whole = np.log10(v.tokens + v.types + 1.0)
         for batch in batches:
-            data, offsets = column_bytes(batch.column("text"))
-            for first, last, part, at in chunks(data, offsets):
-                h, rows, start, end = words(part, at)
-                suffix = suffix_unit(part, start, end)
-                place = lookup(h)
-                n = np.diff(rows)
-                doc = np.repeat(np.arange(len(n)), n)
-                is_known, is_unit = place >= 0, (place >= 0) & (place < v.unit_words)
-                known_log = np.where(is_known, log_n[np.maximum(place, 0)] if len(log_n) else 0.0, 0.0)
-                inner = np.where(is_unit, 0.0, known_log - m.rare[suffix])
-                unit, rows_end = with_end(v.unit_of(place, suffix), rows, m.end_unit)
-                c = m.class_of[unit]
-                outer = m.transition[np.r_[m.class_of[m.end_unit], c[:-1]], c] + m.emission[unit]
-                sums = lambda x, to, k: np.bincount(to, x, k)
-                docs = len(n)
-                end_log = log_n[lookup(np.array([END]))[0]] if v.unit_words else 0.0
-                score = sums(outer, np.repeat(np.arange(docs), np.diff(rows_end)), docs) + sums(inner, doc, docs)
-                base = sums(known_log, doc, docs) + end_log - (n + 1) * whole
-                known = np.bincount(doc[is_known], minlength=docs) + int(v.unit_words > 0)
-                rare_h, rare_doc = h[~is_known], doc[~is_known]
-                order = np.lexsort((rare_h, rare_doc))
-                rare_h, rare_doc = rare_h[order], rare_doc[order]
-                head = np.flatnonzero(np.r_[True, (rare_h[1:] != rare_h[:-1]) | (rare_doc[1:] != rare_doc[:-1])]) if len(rare_h) else np.zeros(0, np.int64)
-                times = np.diff(np.r_[head, len(rare_h)])
-                cut = np.searchsorted(rare_doc[head], np.arange(docs + 1)).astype(np.int32)
+            for i, b in _blocks(batch):
+                c = b.classes(m.known_class, m.suffix_class)
+                n = np.r_[v.known_n, b.found_n]
+                log_n = np.log10(n + 1.0)
+                unit = np.r_[np.arange(v.unit_words), v.unit_words + c[v.unit_words :]]
+                inner = m.emission[unit] + np.where(np.arange(len(c)) < v.unit_words, 0.0, log_n - m.rare[c])
+                many = np.diff(b.rows)
+                doc = np.repeat(np.arange(len(many)), many)
+                now = c[b.codes]
+                step = m.transition[np.r_[c[v.end], now[:-1]], now] + inner[b.codes]
+                sums = lambda x: np.bincount(doc, x, len(many))  # noqa: E731, B023
                 yield pa.record_batch({
-                    "row": batch.column("row").slice(first, docs), "doc_id": batch.column("doc_id").slice(first, docs), "held_out": batch.column("held_out").slice(first, docs),
-                    "n_tokens": (n + 1).astype(np.int64), "n_known": known.astype(np.int64), "base_score": base, "score": score,
-                    "words": pa.ListArray.from_arrays(cut, pa.array(rare_h[head].view(np.int64))), "times": pa.ListArray.from_arrays(cut, pa.array(times.astype(np.int32))),
+                    "doc_id": batch.column("doc_id")[i].values, "held_out": batch.column("held_out")[i].values, "n_tokens": many.astype(np.int64),
+                    "n_known": sums(n[b.codes] > 0).astype(np.int64), "base_score": sums(log_n[b.codes]) - many * whole, "score": sums(step),
                 })
 
     return run
@@ -283,23 +515,15 @@ def brown_scores(documents: DataFrame, held_out: Column) -> DataFrame:
     """Score every document by the class model and by add-one unigrams, learning from rows where held_out is false.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
-    Counts of words below KNOWN_SHARE come from a join on the word; no table of all words goes to one task.
+    Counts and classes of words below KNOWN_SHARE come from a join on the word; no table of all words goes to one task.
     """
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
-    train = docs.where(~F.col("held_out"))
-    counts = storage.materialize(word_counts(train), "brown-counts")
-    model = fit(train, counts)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    each = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    local = storage.materialize(each.mapInArrow(_scorer(sent), _SCORED), "brown-local")
-    rare = local.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    joined = rare.join(counts.select("word", F.log10(F.col("n") + 1.0).alias("more")), "word")
-    added = joined.groupBy("row").agg(F.sum(F.col("times") * F.col("more")).alias("more"), F.sum("times").alias("also_known"))
-    return local.drop("words", "times").join(added, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also_known", F.lit(0))).alias("n_known"),
-        F.lit(model.vocabulary.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-        F.lit(model.vocabulary.types).cast("bigint").alias("train_types"),
-        F.pow(10.0, -(F.col("score") + F.coalesce("more", F.lit(0.0))) / F.col("n_tokens")).alias("perplexity"),
+    counts = storage.materialize(word_counts(docs.where(~F.col("held_out"))), "brown-counts")
+    v = vocabulary(counts)
+    blocks = storage.materialize(coded(docs, v), "brown-coded")
+    model, _, found = learn(blocks, v, counts)
+    scored = found.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), _SCORED)
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(v.tokens).cast("bigint").alias("train_tokens"), "base_score", "score",
+        F.lit(v.types).cast("bigint").alias("train_types"), F.pow(10.0, -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
