@@ -28,7 +28,7 @@ def corpus_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    return search.postings(items(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).where("df >= 20")
+    return search.postings(items(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 def naive_search(spark: SparkSession, d: str) -> DataFrame:
@@ -88,9 +88,10 @@ def prefix_dedup_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 def decomposed_search(spark: SparkSession, d: str) -> DataFrame:
-    """Each question in two halves, answered apart and joined."""
+    """Each question in two halves of its words, answered apart and joined."""
     words = F.split("text", " ")
-    halves = questions(spark, d).select("query_id", F.posexplode(F.array(F.array_join(F.slice(words, 1, 4), " "), F.array_join(F.slice(words, 5, 4), " "))).alias("part", "text"))
+    half = F.ceil(F.size(words) / 2).cast("int")
+    halves = questions(spark, d).select("query_id", F.posexplode(F.array(F.array_join(F.slice(words, F.lit(1), half), " "), F.array_join(F.slice(words, half + 1, F.size(words)), " "))).alias("part", "text"))
     keyed = halves.select((F.col("query_id") * 2 + F.col("part")).alias("query_id"), "text")
     depth = search.parts_of_query(K, 2)
     hits = search.bm25(items(spark, d), keyed, depth).select(F.floor(F.col("query_id") / 2).alias("query_id"), (F.col("query_id") % 2).alias("part"), "rank", "doc_id")

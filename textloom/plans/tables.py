@@ -17,8 +17,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """benchmark items as queries: their first eight words, and a vector to go with them."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 8), " ").alias("text"))
+    """benchmark items as queries: their whole texts with single spaces."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.split(F.trim("text"), r"\s+"), " ").alias("text"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
