@@ -1,10 +1,11 @@
 """Queries that once read a part of their input, against plain versions over whole small tables."""
 
+import html
 from collections import Counter
 
 import pytest
 
-from textloom.plans import search, tables
+from textloom.plans import pages, search, tables
 
 
 @pytest.fixture
@@ -48,3 +49,9 @@ def test_every_term_has_its_frequencies(spark, folder):
         df.update(set(words))
         tf.update(words)
     assert {(r.term, r.df, r.tf) for r in search.document_frequencies(spark, d).collect()} == {(w, df[w], tf[w]) for w in df}
+
+
+def test_whole_pages_are_escaped(spark, folder):
+    page = "<p class=\"x\">a & b</p>" * 40
+    d = folder(pages=([(1, "http://x/y", page)], "page_id bigint, url string, html string"))
+    assert [r.html for r in pages.escaped_html(spark, d).collect()] == [html.escape(page, quote=False).replace('"', "&quot;")]

@@ -41,7 +41,7 @@ def pretty_html(spark: SparkSession, d: str) -> DataFrame:
 
 
 def escaped_html(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", T.escape_html(F.substring("html", 1, 300)).alias("html"))
+    return table(spark, d, "pages").select("page_id", T.escape_html(F.col("html")).alias("html"))
 
 
 def url_parts(spark: SparkSession, d: str) -> DataFrame:
