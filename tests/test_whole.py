@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from textloom.plans import pages, search, tables
+from textloom.plans import catalog, pages, search, tables
 
 
 @pytest.fixture
@@ -55,3 +55,14 @@ def test_whole_pages_are_escaped(spark, folder):
     page = "<p class=\"x\">a & b</p>" * 40
     d = folder(pages=([(1, "http://x/y", page)], "page_id bigint, url string, html string"))
     assert [r.html for r in pages.escaped_html(spark, d).collect()] == [html.escape(page, quote=False).replace('"', "&quot;")]
+
+
+def test_abbreviations_of_all_documents_are_known(spark, folder):
+    d = folder(documents=documents("the ABC here", "an XY2 and XY2", "ABC of XY2, QRS"))
+    want = {(0, "ABC", 1, "of 0"), (1, "XY2", 2, "of 1"), (2, "ABC", 1, "of 0"), (2, "XY2", 1, "of 1"), (2, "QRS", 1, "of 2")}
+    assert {(r.doc_id, r.abbr, r.n, r.en) for r in catalog.abbreviation_join(spark, d).collect()} == want
+
+
+def test_terms_of_any_letters_have_meanings(spark, folder):
+    d = folder(documents=documents("Été one", "été two", "표준 std", "ab x"))
+    assert {tuple(r) for r in catalog.abbreviation_multimap(spark, d).collect()} == {("ÉTÉ", 2, "one|two"), ("표준", 1, "std"), ("AB", 1, "x")}

@@ -37,14 +37,13 @@ def glossary_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def abbreviation_multimap(spark: SparkSession, d: str) -> DataFrame:
-    plain = glossary.distinct_first(_terms(spark, d)).where(F.regexp_like("abbr", F.lit("^[ -~]+$")))
-    return glossary.multimap(plain).select("abbr", F.size("meanings").alias("n"), F.array_join("meanings", "|").alias("meanings"))
+    return glossary.multimap(glossary.distinct_first(_terms(spark, d))).select("abbr", F.size("meanings").alias("n"), F.array_join("meanings", "|").alias("meanings"))
 
 
 def abbreviation_join(spark: SparkSession, d: str) -> DataFrame:
-    """Abbreviations of the texts; the glossary has those of every third document."""
+    """Abbreviations of the texts; the glossary has those of all documents."""
     docs = table(spark, d, "documents")
-    found = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("pos"), F.explode(F.regexp_extract_all("text", F.lit(glossary.ABBREVIATION), F.lit(1))).alias("abbr"))
+    found = docs.select(F.col("doc_id").alias("pos"), F.explode(F.regexp_extract_all("text", F.lit(glossary.ABBREVIATION), F.lit(1))).alias("abbr"))
     terms = found.groupBy("abbr").agg(F.min("pos").alias("pos")).withColumn("en", F.concat(F.lit("of "), F.col("pos").cast("string")))
     return glossary.in_texts(docs, terms)
 
