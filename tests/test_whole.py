@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from textloom.plans import catalog, pages, search, tables
+from textloom.plans import catalog, pages, search, tables, workspace
 
 
 @pytest.fixture
@@ -66,3 +66,21 @@ def test_abbreviations_of_all_documents_are_known(spark, folder):
 def test_terms_of_any_letters_have_meanings(spark, folder):
     d = folder(documents=documents("Été one", "été two", "표준 std", "ab x"))
     assert {tuple(r) for r in catalog.abbreviation_multimap(spark, d).collect()} == {("ÉTÉ", 2, "one|two"), ("표준", 1, "std"), ("AB", 1, "x")}
+
+
+def test_every_line_is_an_entry_and_a_block(spark, folder):
+    lines = [f"line {i} " + "x" * 70 + f" tail {i} end" for i in range(45)]
+    d = folder(documents=documents("\n".join(lines)))
+    entries, blocks = workspace._contents(spark, d)
+    assert {r.text for r in blocks.collect()} == {r.clean_text for r in entries.collect()} == set(lines)
+    near = {(i, sum(abs(i // 10 - j // 10) <= 2 for j in range(45))) for i in range(45)}
+    assert {(r.pos, r.blocks) for r in workspace.contents_candidates(spark, d).collect()} == near
+    assert {tuple(r) for r in workspace.contents_match_rate(spark, d).collect()} == {(0, 45, 45, 100.0)}
+
+
+def test_every_conversation_has_a_range(spark, folder):
+    turns = [(c, t, "user", "x") for c in range(4) for t in range(3)]
+    d = folder(conversations=(turns, "conv_id bigint, turn bigint, role string, text string"))
+    status = {(r.doc_id, r.page): r.status for r in workspace.page_overlay(spark, d).collect()}
+    assert status == {(c, t): "running" if t else "user" for c in range(4) for t in range(3)}
+    assert {(r.doc_id, r.page) for r in workspace.pages_after_cancel(spark, d).collect()} == {(c, 0) for c in range(4)}

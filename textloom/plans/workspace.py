@@ -66,7 +66,7 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranges(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.lit(1).alias("first"), F.greatest(F.lit(1), F.max("turn").cast("int")).alias("last")).where("doc_id % 3 = 0").withColumn("status", F.lit("running"))
+    return table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.lit(1).alias("first"), F.greatest(F.lit(1), F.max("turn").cast("int")).alias("last")).withColumn("status", F.lit("running"))
 
 
 def page_overlay(spark: SparkSession, d: str) -> DataFrame:
@@ -110,10 +110,10 @@ def memo_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _contents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The first words of lines as entries, with a page number of their own; lines as blocks, ten to a page."""
+    """Lines as entries, with a page number of their own, and as blocks, ten to a page."""
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
-    blocks = lines.select("doc_id", (F.floor(F.col("n") / 10) + 1).cast("int").alias("page"), (F.col("n") % 10).alias("block_idx"), F.substring("text", 1, 60).alias("text"))
-    entries = lines.where("n % 7 = 0").select("doc_id", F.col("n").alias("pos"), F.concat(F.substring("text", 1, 30), F.lit(" ..... "), (F.floor(F.col("n") / 10) + 1).cast("string")).alias("raw"))
+    blocks = lines.select("doc_id", (F.floor(F.col("n") / 10) + 1).cast("int").alias("page"), (F.col("n") % 10).alias("block_idx"), "text")
+    entries = lines.select("doc_id", F.col("n").alias("pos"), F.concat("text", F.lit(" ..... "), (F.floor(F.col("n") / 10) + 1).cast("string")).alias("raw"))
     parsed = entries.select("doc_id", "pos", T.toc_line(F.col("raw")).alias("x")).select("doc_id", "pos", "x.clean_text", "x.page_number")
     return parsed, blocks
 
@@ -124,7 +124,7 @@ def contents_match_rate(spark: SparkSession, d: str) -> DataFrame:
 
 def contents_candidates(spark: SparkSession, d: str) -> DataFrame:
     entries, blocks = _contents(spark, d)
-    return toc.candidates(entries, blocks, 1).groupBy("doc_id", "pos").agg(F.count("*").alias("blocks"))
+    return toc.candidates(entries, blocks).groupBy("doc_id", "pos").agg(F.count("*").alias("blocks"))
 
 
 def streamed_visits(spark: SparkSession, d: str) -> DataFrame:
