@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from textloom.llm import components, decontaminate, jaccard_join, line_spread, repeats
+from textloom.llm import components, decontaminate, jaccard_join, line_spread, repeats, storage, text
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -42,13 +42,14 @@ def test_components_are_those_of_all_pairs(documents, rows):
     assert Counter(map(tuple, got)) == brute_components(rows)
 
 
-@pytest.mark.parametrize("frequent, few", [(2, 3), (1000, 3), (2, 8)])
-def test_hot_groups_lose_no_link(spark, monkeypatch, frequent, few):
-    """Chains of near copies around one text, and texts that share a passage but nothing else, with and without counts."""
-    monkeypatch.setattr(jaccard_join, "FREQUENT_LEAST", frequent)
-    monkeypatch.setattr(jaccard_join, "LOCAL_LEAST", 1)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
-    monkeypatch.setattr(jaccard_join, "FEW", few)
+@pytest.mark.parametrize("frequent, few, salt, batch, best", [(2, 3, 14, 1 << 20, 2), (1000, 3, 14, 2000, 2), (2, 8, 14, 1 << 20, 1), (2, 2, 1, 2000, 1), (2, 1, 3, 500, 1)])
+def test_hot_groups_lose_no_link(spark, monkeypatch, frequent, few, salt, batch, best):
+    """Chains of near copies around one text, and texts that share a passage but nothing else, with and without counts,
+    with dealt lists, and with batches shorter than a list."""
+    for name, value in (("FREQUENT_LEAST", frequent), ("LOCAL_LEAST", 1), ("BLOCK", 7), ("FEW", few), ("SALT_LEVEL", salt), ("BEST", best), ("SEEN", 9)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    monkeypatch.setattr(text, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(storage, "BATCH_BYTES", batch)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(80)]
     rows = []
@@ -58,6 +59,7 @@ def test_hot_groups_lose_no_link(spark, monkeypatch, frequent, few):
             own[rng.randrange(80)] = f"x{rng.randrange(10_000)}"
         rows.append((i, " ".join(own)))
     rows += [(100 + i, " ".join(base[:40]) + " " + " ".join(f"y{i}_{j}" for j in range(40))) for i in range(25)]
+    rows += [(200 + i, " ".join(base[40:]) + f" z{i % 9} z{i % 7} z{i}") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     got = jaccard_join.with_component_ids(jaccard_join.near_duplicate_components(docs)).collect()
     assert Counter(map(tuple, got)) == brute_components(rows)

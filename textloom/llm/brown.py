@@ -39,9 +39,12 @@ CLASSES = 64
 SWEEPS = 8
 WORD_SWEEPS = 2  # over all words, after the seed
 BLOCK_BYTES = 1 << 16
-ENTRY = np.dtype([("at", "u1"), ("n", "<i8")])  # how often a word has a class after it (at), before it (CLASSES + at), or itself (2 * CLASSES)
+#: How often a word has a class after it (at), before it (CLASSES + at), or itself (2 * CLASSES). Those of once go as `at` alone.
+ENTRY = np.dtype([("at", "u1"), ("n", "<i8")])
 END = np.uint64(0)  # the hash that stands for the end token
 FLUSH = 1 << 21
+SWEEP_TOKENS = 1 << 20  # tokens whose contexts a task of a sweep holds
+PACK = "zstd"
 
 
 def suffix_unit(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -133,6 +136,17 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(tokens, types, known.word.to_numpy(np.int64).view(np.uint64), known.n.to_numpy(np.int64), suffix, int(unit.sum()))
 
 
+def _packed(x: np.ndarray) -> pa.Array:
+    """One value: the array's bytes, compressed after their number."""
+    raw = x.tobytes()
+    return pa.array([len(raw).to_bytes(8, "little") + pa.compress(raw, PACK, asbytes=True)])
+
+
+def _unpacked(value: pa.Scalar, kind) -> np.ndarray:
+    raw = value.as_py()
+    return np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), PACK), kind)
+
+
 _CODED = "block bigint, doc_id array<bigint>, held_out array<boolean>, rows binary, codes binary, words array<bigint>, suffix binary"
 
 
@@ -153,8 +167,8 @@ def _coder(sent) -> Callable:
                 whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
                 yield pa.record_batch({
                     "block": pa.array([block]), "doc_id": whole(batch.column("doc_id").slice(first, last - first)), "held_out": whole(batch.column("held_out").slice(first, last - first)),
-                    "rows": pa.array([rows.astype(np.int64).tobytes()]), "codes": pa.array([code.astype(np.int32).tobytes()]),
-                    "words": whole(pa.array(own.view(np.int64))), "suffix": pa.array([suffix.astype(np.int16).tobytes()]),
+                    "rows": _packed(rows.astype(np.int64)), "codes": _packed(code.astype(np.int32)),
+                    "words": whole(pa.array(own.view(np.int64))), "suffix": _packed(suffix.astype(np.int16)),
                 })
                 block += 1
 
@@ -198,7 +212,7 @@ class Block:
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, Block]]:
     has_found = "found" in batch.schema.names
     for i in range(len(batch)):
-        raw = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind).astype(np.int64)  # noqa: E731, B023
+        raw = lambda name, kind: _unpacked(batch.column(name)[i], kind).astype(np.int64)  # noqa: E731, B023
         own = batch.column("words")[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
         c, n = np.full(len(own), -1), np.zeros(len(own), np.int64)
         if has_found and batch.column("found")[i].is_valid:
@@ -236,9 +250,9 @@ def _bigram_counter(sent) -> Callable:
 
 def _bigrams(blocks: DataFrame, known: np.ndarray, suffix: np.ndarray, many: int, end_at: int) -> np.ndarray:
     sent = blocks.sparkSession.sparkContext.broadcast((known, suffix, many, end_at))
-    table = blocks.mapInArrow(_bigram_counter(sent), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    table = blocks.mapInArrow(_bigram_counter(sent), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((many, many))
-    out.flat[table.pair.to_numpy(np.int64)] = table.n
+    out.flat[table.column("pair").to_numpy()] = table.column("n").to_numpy()
     return out
 
 
@@ -307,7 +321,7 @@ def likelihood(both: np.ndarray) -> float:
 
 
 def _context_counter(sent) -> Callable:
-    """word, class, entries: how often each class stands before and after a word, in training."""
+    """word, class, once, more (see ENTRY): how often each class stands before and after a word, in training."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, known, suffix = sent.value
@@ -322,10 +336,18 @@ def _context_counter(sent) -> Callable:
             head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             entries = np.empty(len(h), ENTRY)
             entries["at"], entries["n"] = at, n
+            once = n == 1
+            bounds = np.r_[head, len(h)]
+            before = np.r_[0, np.cumsum(once)]  # of entries of once
+
+            def packed(items, cut):
+                offsets = ((cut - cut[0]) * items.itemsize).astype(np.int32)
+                return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(items[cut[0] : cut[-1]].tobytes())])
+
+            single, more = entries["at"][once], entries[~once]
             for i in range(0, len(head), 1 << 14):
-                cut = np.r_[head, len(h)][i : i + (1 << 14) + 1]
-                packed = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(((cut - cut[0]) * ENTRY.itemsize).astype(np.int32)), pa.py_buffer(entries[cut[0] : cut[-1]].tobytes())])
-                yield pa.record_batch({"word": h[cut[:-1]].view(np.int64), "class": old[cut[:-1]].astype(np.int32), "entries": packed})
+                cut = bounds[i : i + (1 << 14) + 1]
+                yield pa.record_batch({"word": h[cut[:-1]].view(np.int64), "class": old[cut[:-1]].astype(np.int32), "once": packed(single, before[cut]), "more": packed(more, cut - before[cut])})
 
         for batch in batches:
             for _, b in _blocks(batch):
@@ -364,12 +386,19 @@ def best_classes(both: np.ndarray, old: np.ndarray, word: np.ndarray, at: np.nda
     all_words = np.arange(m)
     gain = np.zeros((m, k))
     for side, cells, other in ((0, both.T, into), (CLASSES, both, out)):
-        for i in range(0, len(word), 1 << 14):
-            w, j, x = word[i : i + (1 << 14)], at[i : i + (1 << 14)] - side, n[i : i + (1 << 14)].astype(float)
-            mine = (j >= 0) & (j < k)
-            w, j, x = w[mine], j[mine], x[mine]
-            if not len(w):
-                continue
+        mine = (at >= side) & (at < side + k)
+        each_w, each_j, each_x = word[mine], at[mine] - side, n[mine].astype(float)
+        # a neighbour that stands there once, of another class than the word's own: what it adds to a cell is in a table
+        single = (each_x == 1) & (each_j != old[each_w])
+        once = np.zeros((m, k))
+        once[each_w[single], each_j[single]] = 1
+        its_gain = once @ (_xlogx(cells + 1) - _xlogx(cells))
+        without = _xlogx(cells) - _xlogx(np.maximum(cells - 1, 0))
+        its_gain[all_words, old] = (once * without[:, old].T).sum(1)
+        gain += its_gain
+        each_w, each_j, each_x = each_w[~single], each_j[~single], each_x[~single]
+        for i in range(0, len(each_w), 1 << 14):
+            w, j, x = each_w[i : i + (1 << 14)], each_j[i : i + (1 << 14)], each_x[i : i + (1 << 14)]
             base = cells[j]  # of each class the cell that the entry would join, with the word taken out
             base[np.arange(len(w)), old[w]] -= x
             its = np.flatnonzero(j == old[w])
@@ -391,18 +420,22 @@ def best_classes(both: np.ndarray, old: np.ndarray, word: np.ndarray, at: np.nda
 def _assigner(sent_both) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = sent_both.value
-        words, olds, lengths, entries = [], [], [], []
+        words, olds, lengths, entries = [], [], {"once": [], "more": []}, {"once": [], "more": []}
         for batch in batches:
-            packed = batch.column("entries")
             words.append(batch.column("word").to_numpy())
             olds.append(batch.column("class").to_numpy())
-            lengths.append(np.array([len(x.as_buffer()) for x in packed]) // ENTRY.itemsize)
-            entries.append(np.frombuffer(b"".join(x.as_buffer() for x in packed), ENTRY))
+            for name, kind in (("once", np.dtype("u1")), ("more", ENTRY)):
+                data, offsets = column_bytes(batch.column(name))
+                lengths[name].append(np.diff(offsets) // kind.itemsize)
+                entries[name].append(np.frombuffer(data.tobytes(), kind))
         if not words or not sum(map(len, words)):
             return
         word, first, at = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
-        old, w, e = np.concatenate(olds)[first], np.repeat(at, np.concatenate(lengths)), np.concatenate(entries)
-        key, n = distinct(w.astype(np.int64) * 256 + e["at"], e["n"])
+        old = np.concatenate(olds)[first]
+        w = np.r_[np.repeat(at, np.concatenate(lengths["once"])), np.repeat(at, np.concatenate(lengths["more"]))]
+        single, more = np.concatenate(entries["once"]), np.concatenate(entries["more"])
+        kind, times = np.r_[single, more["at"]], np.r_[np.ones(len(single), np.int64), more["n"]]
+        key, n = distinct(w.astype(np.int64) * 256 + kind, times)
         w, kind = key >> 8, key & 255
         for i in range(0, len(word), 1 << 12):
             a, b = np.searchsorted(w, [i, i + (1 << 12)])
@@ -415,8 +448,8 @@ def _assigner(sent_both) -> Callable:
 def sweep(blocks: DataFrame, v: Vocabulary, known: np.ndarray, suffix: np.ndarray, both: np.ndarray) -> DataFrame:
     """word, class: the best class of every training word, by its counts against the classes as they are."""
     context = blocks.sparkSession.sparkContext.broadcast((v, known, suffix))
-    each = blocks.mapInArrow(_context_counter(context), "word bigint, class int, entries binary")
-    dealt = each.repartition(storage.tasks(blocks.sparkSession, v.tokens, 1 << 22), "word")
+    each = blocks.mapInArrow(_context_counter(context), "word bigint, class int, once binary, more binary")
+    dealt = each.repartition(storage.tasks(blocks.sparkSession, v.tokens, SWEEP_TOKENS), "word")
     return dealt.mapInArrow(_assigner(blocks.sparkSession.sparkContext.broadcast(both)), "word bigint, class int")
 
 
@@ -452,7 +485,7 @@ def learn(blocks: DataFrame, v: Vocabulary, counts: DataFrame) -> tuple[Model, D
         at_known = now.where((F.col("n") >= max(1, v.tokens * KNOWN_SHARE)) | (F.col("word") == int(END))).toPandas()
         own = known.copy()
         own[Lookup(v.known)(at_known.word.to_numpy(np.int64).view(np.uint64))] = at_known["class"]
-        next_found = storage.materialize(resolved(blocks, now), "brown-blocks")
+        next_found = storage.materialize(resolved(blocks if found is None else found, now), "brown-blocks")
         next_both = _bigrams(next_found, own, suffix, k, v.end)
         if likelihood(next_both) <= likelihood(both):
             storage.discard(next_found)
@@ -517,6 +550,7 @@ def brown_scores(documents: DataFrame, held_out: Column) -> DataFrame:
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
     Counts and classes of words below KNOWN_SHARE come from a join on the word; no table of all words goes to one task.
     """
+    storage.small_batches(documents.sparkSession)
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
     counts = storage.materialize(word_counts(docs.where(~F.col("held_out"))), "brown-counts")
     v = vocabulary(counts)

@@ -1,14 +1,18 @@
 """Near duplicates by the Jaccard similarity of word shingles, with adaptive multi-match prefixes.
 
 A document is the set of its distinct shingles of five words. Equal sets are one class. All sets are put in one order:
-shingles with a large share of the corpus last, others by hash. Two sets of similarity t share at least l shingles within
-their prefixes of |x| - ceil(t * |x|) + l shingles; each document takes the l whose estimated cost, postings read plus
-candidates verified, is least, and a pair must share as many as the smaller l of the two. It must also share as many as
-its sizes ask for if all that stands behind the shorter prefix is shared. What passes is verified exactly.
-
-A shingle that several documents hold in their prefixes does not give all pairs: they are first compared with one of
-them, and only those that are then in different components are compared pair by pair, in blocks. So copies cost in
-proportion to their number, and no link between components is lost.
+rare shingles first, by levels of an estimate of how many documents hold them, then by hash. Two sets of similarity t share
+at least l shingles within their prefixes of |x| - ceil(t * |x|) + l shingles; each document takes the l whose estimated
+cost, postings read plus candidates verified, is least, and a pair must share as many as the smaller l of the two. It must
+also share as many as its sizes ask for if all that stands behind the shorter prefix is shared. What passes is verified
+exactly, on whole texts.
+
+A shingle that several documents hold in their prefixes does not give all pairs. Round one verifies, for each document,
+the one partner that it meets most often: in short lists, or the first of long ones. Long lists whose documents of like
+size are then in different components are compared in blocks, where the shared prefix shingles of a pair are counted in
+place, so a pair comes out only if it passes, and of the first shingle alone: in round two the best few of each document
+in a block, and in round three, after the components of round two, all that are left between different components. So
+copies cost in proportion to their number, and no link between components is lost.
 
 Null and empty texts have no shingles and are linked with nothing. A text of fewer than five words is one shingle.
 Repeated rows fall in one class. A null doc_id takes part; a component of null ids alone has a null id.
@@ -25,20 +29,23 @@ from pyspark.sql import functions as F
 
 from . import storage
 from .components import connected
-from .text import Lookup, chunks, column_bytes, mix, shingles, words
+from .text import chunks, column_bytes, distinct, mix, shingles, words
 
 SIZE = 5
 PERCENT = 80
-#: Shingles with at least this share of all have their number of documents known to every task: 2 ** 18 of them at most.
-FREQUENT_SHARE = 2**-18
-FREQUENT_LEAST = 32
-LOCAL_LEAST = 4  # a task reports shingles that so many of its documents hold
-MAX_MATCHES = 4
-VERIFY_COST = 16.0  # of a candidate, in postings
+#: Every task knows, for each of so many slots of shingle hashes, the level (bits of the count) of its most frequent one.
+SLOT_BITS = 24
+LOCAL_LEAST = 2  # a task reports shingles that so many of its documents hold
+FREQUENT_LEAST = 4  # of all reports of a shingle, to have a level
+RUN = 1 << 22  # shingles that a task counts at a time
+VERIFY_COST = 4.0  # of a candidate, in postings
 FEW = 3  # sets of a prefix shingle that are compared pair by pair at once
+SALT_LEVEL = 14  # lists of shingles of a higher level are dealt to several tasks
 BLOCK = 256
-PIVOTS = 2
-_POSTING = "shingle bigint, node bigint, n int, l int"
+BEST = 2  # partners of each set in a block that round two verifies
+COLUMNS = 4096  # shingles of a block that are counted at a time
+SEEN = 1 << 16  # sets that a task remembers, to leave out copies
+_POSTING = "shingle bigint, salt bigint, node bigint, n int, l int"
 _PAIR = "x bigint, y bigint, matches int, kind int, n int, l int"
 
 
@@ -59,9 +66,9 @@ def must_share(n_a: np.ndarray, n_b: np.ndarray, l_a: np.ndarray, l_b: np.ndarra
     return np.maximum(np.minimum(l_a, l_b), both - np.maximum(*rest)).astype(np.int32)
 
 
-def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row of the batch, its distinct shingle hashes in order)."""
-    data, offsets = column_bytes(batch.column("text"))
+def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row of the column, its distinct shingle hashes in order)."""
+    data, offsets = column_bytes(column)
     for first, last, part, at in chunks(data, offsets):
         word, rows, _, _ = words(part, at)
         h, row, _ = shingles(word, rows, size)
@@ -80,7 +87,7 @@ def _signatures(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
-            for i, own in _sets(batch, size):
+            for i, own in _sets(batch.column("text"), size):
                 n[i], node[i] = len(own), node_of(own)
             yield pa.record_batch({"key": batch.column("key"), "doc_id": batch.column("doc_id"), "n": n, "node": pa.array(node.view(np.int64), mask=n == 0)})
 
@@ -89,198 +96,333 @@ def _signatures(size: int) -> Callable:
 
 def _local_frequent(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, waiting = [], [], 0
-
-        def merged():
-            k, c = np.concatenate(keys), np.concatenate(counts)
-            order = np.argsort(k, kind="stable")
-            k, c = k[order], c[order]
-            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            return k[first], np.add.reduceat(c, first)
+        keys, waiting = [], 0
 
         def report():
-            k, c = merged()
+            k, c = distinct(np.concatenate(keys))
             keep = c >= LOCAL_LEAST
-            return pa.record_batch({"shingle": k[keep].view(np.int64), "docs": c[keep].astype(np.int64), "total": np.zeros(keep.sum(), np.int64)})
+            return pa.record_batch({"shingle": k[keep].view(np.int64), "docs": c[keep].astype(np.int64)})
 
-        total = 0
         for batch in batches:
-            for _, own in _sets(batch, size):
-                total += len(own)
+            for _, own in _sets(batch.column("text"), size):
                 waiting += len(own)
-                if len(own):
-                    keys.append(own)
-                    counts.append(np.ones(len(own), np.int64))
-                if waiting > 1 << 22:
+                keys.append(own)
+                if waiting > RUN:
                     yield report()
-                    keys, counts, waiting = [], [], 0
+                    keys, waiting = [], 0
         if keys:
             yield report()
-        yield pa.record_batch({"shingle": pa.array([0], pa.int64()), "docs": pa.array([0], pa.int64()), "total": pa.array([total], pa.int64())})
 
     return run
 
 
-def frequent_shingles(docs: DataFrame, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles with a large share of all, and about how many documents hold each.
+def shingle_levels(docs: DataFrame, size: int = SIZE) -> np.ndarray:
+    """For each slot of shingle hashes the bits of the count of the most frequent shingle in it, 0 for rare ones.
 
-    A run of 2 ** 22 shingles in a task leaves out those that fewer than LOCAL_LEAST of its documents hold, a quarter of
-    the least share at most; only the cost of the join depends on that.
+    A run of RUN shingles in a task leaves out those that fewer than LOCAL_LEAST of its documents hold. The order of
+    shingles, which all tasks take from here, decides the cost of the join and not its result. 2 ** SLOT_BITS bytes.
     """
-    each = docs.mapInArrow(_local_frequent(size), "shingle bigint, docs bigint, total bigint")
-    sums = storage.materialize(each.groupBy("shingle").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total")), "frequent")
-    total = sums.agg(F.sum("total")).first()[0] or 0
-    rows = sums.where(F.col("docs") >= max(FREQUENT_LEAST, total * FREQUENT_SHARE)).select("shingle", "docs").toPandas()
-    return rows.shingle.to_numpy(np.int64).view(np.uint64), rows.docs.to_numpy(np.float64)
+    each = docs.mapInArrow(_local_frequent(size), "shingle bigint, docs bigint")
+    sums = each.groupBy("shingle").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= FREQUENT_LEAST)
+    slot = F.pmod(F.col("shingle"), F.lit(1 << SLOT_BITS))
+    level = sums.groupBy(slot.alias("slot")).agg((F.floor(F.log2(F.max("docs"))) + 1).cast("bigint").alias("level"))
+    bits = F.call_function("shiftleft", F.col("level"), (F.col("slot") % 8 * 8).cast("int"))
+    found = level.select(F.floor(F.col("slot") / 8).cast("int").alias("word"), bits.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << SLOT_BITS - 3, "<i8")
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint8)
 
 
-def matches_of(cost: np.ndarray, base: int) -> int:
-    """The number of matches l in 1..MAX_MATCHES with the least cost; cost: of each shingle's other postings, in order."""
-    sums = np.cumsum(cost[: base + MAX_MATCHES - 1])
-    many = min(MAX_MATCHES, len(cost) - base + 1)
-    at = sums[base - 1 : base - 1 + many]
-    return int(np.argmin(at + VERIFY_COST * at / np.arange(1, many + 1))) + 1
+def matches_of(cost: np.ndarray, base: int, most: int) -> int:
+    """The number of matches l in 1..most with the least cost; cost: of each shingle's other postings, in order."""
+    sums = np.cumsum(cost[: base + most - 1])
+    at = sums[base - 1 :]
+    return int(np.argmin(at + VERIFY_COST * at / np.arange(1, len(at) + 1))) + 1
 
 
 def _prefixes(sent, size: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs = sent.value
-        lookup = Lookup(keys)
-        seen: set[int] = set()  # of the task's sets; copies of one give no postings of their own
+        levels = sent.value
+        seen: set[int] = set()  # copies of one set give no postings of their own, or few
         for batch in batches:
-            prefix, node, n, l = [], [], [], []
-            for _, own in _sets(batch, size):
+            prefix, salt, node, n, l = [], [], [], [], []
+            for _, own in _sets(batch.column("text"), size):
                 if not len(own) or (name := int(node_of(own).view(np.int64))) in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(name)
-                at = lookup(own)
-                usual, often = own[at < 0], own[at >= 0]
-                base, matches = len(own) - least_shared(len(own), percent) + 1, 1
+                level = levels[(own & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)]
+                least = least_shared(len(own), percent)
+                base, matches, often = len(own) - least + 1, 1, level > 0
+                usual = own[~often]
                 if len(usual) >= base:  # nothing in the prefix is frequent: one match is the cheapest
-                    ordered = usual
+                    prefix.append(usual[:base])
+                    salt.append(np.zeros(base, np.int64))
                 else:
-                    weight = docs[at[at >= 0]]
-                    order = np.lexsort((often, weight))
-                    ordered = np.r_[usual, often[order]]
-                    matches = matches_of(np.r_[np.zeros(len(usual)), weight[order] - 1], base)
-                prefix.append(ordered[: base + matches - 1])
+                    order = np.argsort(level, kind="stable")
+                    ordered, high = own[order], level[order].astype(np.int64)
+                    matches = matches_of(np.where(high > 0, 2.0**high, 0.0), base, least)
+                    end = base + matches - 1
+                    prefix.append(ordered[:end])
+                    split = np.minimum(np.maximum(high[:end] - SALT_LEVEL, 0), 30)
+                    salt.append(np.where(split > 0, (name & ((1 << split) - 1)) + 1, 0).astype(np.int64))
                 node.append(name)
                 n.append(len(own))
                 l.append(matches)
             if prefix:
                 many = np.array([len(p) for p in prefix])
                 each = lambda x, t: np.repeat(np.array(x, t), many)
-                yield pa.record_batch({"shingle": np.concatenate(prefix).view(np.int64), "node": each(node, np.int64), "n": each(n, np.int32), "l": each(l, np.int32)})
+                yield pa.record_batch({"shingle": np.concatenate(prefix).view(np.int64), "salt": np.concatenate(salt), "node": each(node, np.int64), "n": each(n, np.int32), "l": each(l, np.int32)})
 
     return run
 
 
 def _batch(x, y, matches, kind: int, n=None, l=None) -> pa.RecordBatch:
     zero = np.zeros(len(x), np.int32)
-    return pa.record_batch({"x": x, "y": y, "matches": zero if matches is None else matches.astype(np.int32), "kind": zero + np.int32(kind), "n": zero if n is None else n, "l": zero if l is None else l})
+    return pa.record_batch({"x": x, "y": y, "matches": zero + np.int32(matches) if np.isscalar(matches) else matches.astype(np.int32), "kind": zero + np.int32(kind), "n": zero if n is None else n, "l": zero if l is None else l})
 
 
-def _first_pairs(percent: int) -> Callable:
-    """Of the postings of a partition, sorted by shingle: pairs (kind 0: of few, kind 1: with the first of many), and
-    the postings of shingles that have many (kind 2; x: shingle, y: node)."""
+def _first_pairs(percent: int, few: int) -> Callable:
+    """Of the postings of a partition, sorted by shingle, salt and node: pairs (kind 0: of few, kind 1: with the first of
+    many), and the postings of shingles that several hold (kind 2; x: shingle, y: node, matches: 0 of few, 1 of many).
+    Of a long list no more than its first is kept from batch to batch."""
+
+    def pairs(a, b, node, n, l, kind):
+        keep = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (node[a] != node[b])
+        a, b = a[keep], b[keep]
+        return _batch(np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), must_share(n[a], n[b], l[a], l[b], percent), kind)
 
-    def pairs(shingle, node, n, l):
-        order = np.lexsort((node, shingle))
-        shingle, node, n, l = shingle[order], node[order], n[order], l[order]
-        once = np.r_[True, (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])]
-        shingle, node, n, l = shingle[once], node[once], n[once], l[once]
-        first = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+    def lists(rows, few):
+        """Whole lists, or the last of them so far if it is long: rows of kind 0, 1 and 2."""
+        shingle, salt, node, n, l = rows
+        first = np.flatnonzero(np.r_[True, (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1])])
         many = np.diff(np.r_[first, len(shingle)])
         size, head = np.repeat(many, many), np.repeat(first, many)
         place = np.arange(len(shingle)) - head
-        few = np.flatnonzero((size <= FEW) & (size > 1))
-        full = np.flatnonzero(size > FEW)
-        found = [(few[place[few] + d < size[few]], d, 0) for d in range(1, FEW)]
-        for a, d, kind in [*found, (full[place[full] > 0], None, 1)]:
-            b = head[a] if d is None else a + d
-            keep = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-            a, b = a[keep], b[keep]
-            yield _batch(np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), must_share(n[a], n[b], l[a], l[b], percent), kind)
-        yield _batch(shingle[full], node[full], None, 2, n[full], l[full])
+        short = np.flatnonzero((size <= few) & (size > 1))
+        long = np.flatnonzero(size > few)
+        for d in range(1, few):
+            a = short[place[short] + d < size[short]]
+            yield pairs(a, a + d, node, n, l, 0)
+        b = long[place[long] > 0]
+        yield pairs(head[b], b, node, n, l, 1)
+        yield _batch(shingle[short], node[short], 0, 2, n[short], l[short])
+        yield _batch(shingle[long], node[long], 1, 2, n[long], l[long])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None  # the postings of the last shingle, which the next batch may continue
-        for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in ("shingle", "node", "n", "l")]
-            if left is not None:
-                columns = [np.r_[a, b] for a, b in zip(left, columns, strict=True)]
-            cut = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
-            left = [c[cut:] for c in columns]
+        names = ("shingle", "salt", "node", "n", "l")
+        left = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        head = None  # the first posting of a long list that goes on, and its last node
+
+        def cut_lists(rows, last):
+            nonlocal left, head
+            shingle, salt, node = rows[:3]
+            once = np.r_[True, (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1]) | (node[1:] != node[:-1])]
+            rows = [c[once] for c in rows]
+            shingle, salt, node = rows[:3]
+            if head is not None:
+                goes_on = int(np.argmin(np.r_[(shingle == head[0][0][0]) & (salt == head[0][1][0]), False]))
+                more = [c[:goes_on] for c in rows]
+                if goes_on and more[2][0] == head[1]:
+                    more = [c[1:] for c in more]
+                if len(more[0]):
+                    node, n, l = (np.r_[h, c] for h, c in zip(head[0][2:], more[2:], strict=True))
+                    at = np.arange(1, len(node))
+                    yield pairs(0 * at, at, node, n, l, 1)
+                    yield _batch(more[0], more[2], 1, 2, more[3], more[4])
+                    head = head[0], int(more[2][-1])
+                if goes_on == len(shingle) and not last:
+                    left = [c[:0] for c in rows]
+                    return
+                rows, head = [c[goes_on:] for c in rows], None
+                shingle, salt, node = rows[:3]
+            if not len(shingle):
+                left = rows
+                return
+            cut = len(shingle)
+            if not last:
+                cut = int(np.flatnonzero(np.r_[True, (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1])])[-1])
+                if len(shingle) - cut > few:  # it is long, and what comes of it is compared with its first
+                    head = [c[cut : cut + 1] for c in rows], int(node[-1])
+                    cut = len(shingle)
+            left = [c[cut:] for c in rows]
             if cut:
-                yield from pairs(*[c[:cut] for c in columns])
-        if left is not None and len(left[0]):
-            yield from pairs(*left)
-
-    return run
+                rows = [c[:cut] for c in rows]
+                dealt = rows[1] > 0  # parts of lists: long ones, however many are in the part
+                for part, least in ((~dealt, few), (dealt, 0)):
+                    if part.any():
+                        yield from lists([c[part] for c in rows], least)
 
-
-def _block_pairs(percent: int) -> Callable:
-    def run(table: pa.Table) -> pa.Table:
-        node, n, l, label, block = (table.column(c).to_numpy() for c in ("node", "n", "l", "label", "block"))
-        low, high = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
-        a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        a, b = (x.ravel() for x in np.meshgrid(a, b, indexing="ij"))
-        keep = (label[a] != label[b]) & ((low != high) | (a < b)) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
-        a, b = a[keep], b[keep]
-        return pa.Table.from_batches([_batch(np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), must_share(n[a], n[b], l[a], l[b], percent), 0)])
+        for batch in batches:
+            if batch.num_rows:
+                yield from cut_lists([np.r_[a, batch.column(c).to_numpy()] for a, c in zip(left, names, strict=True)], False)
+        if len(left[0]):
+            yield from cut_lists(left, True)
 
     return run
 
 
-def _verify(percent: int) -> Callable:
-    """Of rows with a set, and rows that ask for pairs with another's set, the pairs that are similar."""
+def _groups(each: Callable) -> Callable:
+    """What `each` makes of the rows of one shingle, sizes, i and j, of batches that are sorted by them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
         for batch in batches:
-            x, y = batch.column("x_set"), batch.column("y_set")
-            xs, ys = x.offsets.to_numpy(), y.offsets.to_numpy()
-            xv, yv = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
-            good = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                p, q = xv[xs[i] : xs[i + 1]], yv[ys[i] : ys[i + 1]]
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                good[i] = 100 * shared >= percent * (len(p) + len(q) - shared)
-            at = pa.array(np.flatnonzero(good))
-            yield pa.record_batch({"a": batch.column("x").take(at), "b": batch.column("y").take(at)})
+            rows = pa.Table.from_batches([batch])
+            if left is not None:
+                rows = pa.concat_tables([left, rows])
+            keys = [rows.column(c).to_numpy() for c in ("shingle", "sizes", "i", "j")]
+            ends = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], 0)) + 1
+            for first, end in zip(np.r_[0, ends[:-1]].tolist() if len(ends) else [], ends.tolist(), strict=False):
+                yield from each(rows.slice(first, end - first))
+            left = rows.slice(int(ends[-1])) if len(ends) else rows
+        if left is not None and left.num_rows:
+            yield from each(left)
 
     return run
 
 
-def _set_rows(size: int) -> Callable:
+def _two_blocks(rows: pa.Table, percent: int):
+    """The places of either block's rows, what a pair of them must share, and whether it may be similar by labels and sizes."""
+    n, l, label, block = (rows.column(c).to_numpy() for c in ("n", "l", "label", "block"))
+    a, b = (np.flatnonzero(block == int(rows.column(c)[0].as_py())) for c in ("i", "j"))
+    na, nb, la, lb = n[a][:, None], n[b][None, :], l[a][:, None], l[b][None, :]
+    keep = (label[a][:, None] != label[b][None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+    return a, b, must_share(na, nb, la, lb, percent), keep
+
+
+def _possible(percent: int) -> Callable:
+    """The rows that have a partner in the other block with which they may share as many prefix shingles as they must,
+    if this shingle is the first that the two share in long lists (later: how many a set has from here on)."""
+
+    def each(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        a, b, least, keep = _two_blocks(rows, percent)
+        later, few = rows.column("later").to_numpy(), rows.column("few").to_numpy()
+        keep &= np.minimum(later[a][:, None], later[b][None, :]) + np.minimum(few[a][:, None], few[b][None, :]) >= least
+        if keep.any():
+            stay = np.union1d(a[keep.any(1)], b[keep.any(0)])
+            yield from rows.take(pa.array(stay)).combine_chunks().to_batches()
+
+    return _groups(each)
+
+
+def _block_pairs(percent: int, best: int) -> Callable:
+    """Of rows sorted by shingle, sizes, i and j: the pairs of different labels, one of either block, that share as many
+    prefix shingles as they must, this one first. best: only so many for each set; 0: all."""
+
+    def columns_of(rows: pa.Table, name: str, a: np.ndarray, b: np.ndarray):
+        """Parts of 0-1 matrices of either block's rows, a column for each shingle of the list column that rows share."""
+        lists = rows.column(name).combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        token, place, times = np.unique(lists.values.to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+        shared = times > 1
+        hit = shared[place]
+        row, place = np.repeat(np.arange(rows.num_rows), size)[hit], (np.cumsum(shared) - 1)[place[hit]]
+        order = np.argsort(place, kind="stable")
+        row, place, token = row[order], place[order], token[shared]
+        spots = []
+        for block in (a, b):
+            spot = np.full(rows.num_rows, -1)
+            spot[block] = np.arange(len(block))
+            spots.append(spot)
+        for first in range(0, len(token), COLUMNS):
+            x, y = np.searchsorted(place, (first, first + COLUMNS))
+            own = token[first : first + COLUMNS]
+            out = []
+            for block, spot in zip((a, b), spots, strict=True):
+                matrix = np.zeros((len(block), len(own)), np.float32)
+                r = spot[row[x:y]]
+                matrix[r[r >= 0], place[x:y][r >= 0] - first] = 1
+                out.append(matrix)
+            yield own, *out
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, shingle = rows.column("node").to_numpy(), int(rows.column("shingle")[0].as_py())
+        a, b, least, keep = _two_blocks(rows, percent)
+        if not keep.any():
+            return
+        both, before = np.zeros((2, len(a), len(b)), np.float32)
+        for token, left, right in columns_of(rows, "many", a, b):
+            both += left @ right.T
+            earlier = token < shingle
+            if earlier.any():
+                before += left[:, earlier] @ right[:, earlier].T
+        for _, left, right in columns_of(rows, "few", a, b):
+            both += left @ right.T
+        over = both - least
+        keep &= (over >= 0) & (before == 0)
+        if best:
+            ranked = np.where(keep, over, -1.0)
+            chosen = np.zeros_like(keep)
+            for axis in (0, 1):
+                k = min(best, ranked.shape[axis])
+                top = np.argpartition(-ranked, k - 1, axis)
+                np.put_along_axis(chosen, top[:k] if axis == 0 else top[:, :k], True, axis)
+            keep &= chosen
+        p, q = np.nonzero(keep)
+        p, q = node[a[p]], node[b[q]]
+        if len(p):
+            yield pa.record_batch({"x": np.minimum(p, q), "y": np.maximum(p, q)})
+
+    return _groups(pairs)
+
+
+def _verify(size: int, percent: int) -> Callable:
+    """Of pairs with both texts, those that are similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [own.view(np.int64) for _, own in _sets(batch, size)]
-            cut = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
-            yield pa.record_batch({"node": batch.column("node"), "set": pa.ListArray.from_arrays(cut, pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))})
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                x = batch.column("x").to_numpy()
+                first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+                of = np.cumsum(np.r_[True, x[1:] != x[:-1]]) - 1
+                xs = [own for _, own in _sets(batch.column("x_text").take(pa.array(first)), size)]
+                good = np.zeros(batch.num_rows, bool)
+                for i, q in _sets(batch.column("y_text"), size):
+                    p = xs[of[i]]
+                    both = np.concatenate([p, q])
+                    both.sort(kind="stable")
+                    shared = int((both[1:] == both[:-1]).sum())
+                    good[i] = 100 * shared >= percent * (len(p) + len(q) - shared)
+                good = pa.array(good)
+                yield pa.record_batch({"a": batch.column("x").filter(good), "b": batch.column("y").filter(good)})
 
     return run
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs x, y whose sets are similar, as a, b."""
-    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("set").alias("x_set")), "x").join(sets.select(F.col("node").alias("y"), F.col("set").alias("y_set")), "y")
-    return storage.materialize(both.select("x", "y", "x_set", "y_set").mapInArrow(_verify(percent), "a bigint, b bigint"), f"{name}-links")
+_MEMBER = "shingle bigint, sizes int, i int, j int, node bigint, n int, l int, later int, few int, label bigint, block int"
 
 
-def _enough(pairs: DataFrame) -> DataFrame:
-    """Pairs that share as many prefix shingles as they must. A prefix shingle gives a pair once."""
-    sums = pairs.groupBy("x", "y").agg(F.max("kind").alias("kind"), F.count("*").alias("shared"), F.max("matches").alias("matches"))
-    return sums.withColumn("enough", F.col("shared") >= F.col("matches"))
+def _dealt(rows: DataFrame) -> DataFrame:
+    keys = ("shingle", "sizes", "i", "j")
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
-def _spanning(pairs: DataFrame) -> DataFrame:
-    """Pairs to verify first: those that share enough, and each set with those PIVOTS firsts of full shingles that it
-    meets most often. The latter only join what is alike early; pairs that they leave out are found in blocks."""
-    often = Window.partitionBy("y", "kind").orderBy(F.desc("shared"), "x")
-    ranked = _enough(pairs).withColumn("nth", F.row_number().over(often))
-    return ranked.where(F.col("enough") | ((F.col("kind") == 1) & (F.col("nth") <= PIVOTS))).select("x", "y")
+def _blocks_between_labels(info: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Of long lists that hold several labels, the rows of each two blocks to compare: those of one shingle, sizes, i, j.
+
+    A list is cut by sizes: sets of similar size are in one class of sizes or in neighbouring ones, so each class forms a
+    list with the one below it. Lists of the same sets are compared once. Sets of the label that most of a list have are
+    compared with the others alone, not with each other.
+    """
+    many = info.select("node", "n", "l", F.size("few").alias("few"), F.size("many").alias("size"), F.posexplode("many").alias("at", "shingle"))
+    labelled = many.join(labels, "node").withColumn("later", F.col("size") - F.col("at")).withColumn("class", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n"))
+    labelled = labelled.withColumn("sizes", F.explode(F.array("class", F.col("class") + 1)))
+    key = ["shingle", "sizes"]
+    by_label = labelled.groupBy(*key, "label").agg(F.count("*").alias("sets"), F.max("class").alias("class"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("h2"))
+    lists = by_label.groupBy(*key).agg(F.sum("sets").alias("sets"), F.max("class").alias("class"), F.max("sets").alias("most"), F.max_by("label", F.struct("sets", "label")).alias("main"), F.count("*").alias("labels"), F.sum("h1").alias("h1"), F.bit_xor("h2").alias("h2"))
+    lists = lists.where((F.col("labels") > 1) & (F.col("class") == F.col("sizes"))).groupBy("sizes", "sets", "most", "main", "h1", "h2").agg(F.min("shingle").alias("shingle"))
+    lists = lists.select(*key, "main", F.ceil((F.col("sets") - F.col("most")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("most") / BLOCK).cast("int").alias("mains"))
+    h = F.xxhash64("node")
+    block = F.when(F.col("label") == F.col("main"), F.col("others") + F.pmod(h, F.col("mains"))).otherwise(F.pmod(h, F.col("others"))).cast("int")
+    rows = labelled.join(lists, key).withColumn("block", block)
+    last = F.when(F.col("block") < F.col("others"), F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.select(*key, F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "n", "l", "later", "few", "label", "block")
+    rows = storage.materialize(_dealt(rows).mapInArrow(_possible(percent), _MEMBER), "members")
+    return _dealt(rows.drop("few", "later").join(info.select("node", "many", "few"), "node"))
 
 
 def near_duplicate_components(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -288,39 +430,52 @@ def near_duplicate_components(documents: DataFrame, size: int = SIZE, percent: i
     and text; node: that of the set, component: the least node of those that links join."""
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     spark = docs.sparkSession
+    storage.small_batches(spark)
     signed = storage.materialize(docs.mapInArrow(_signatures(size), "key bigint, doc_id bigint, n bigint, node bigint"), "signatures")
-    sent = spark.sparkContext.broadcast(frequent_shingles(docs.select("text"), size))
-    postings = docs.select("text").mapInArrow(_prefixes(sent, size, percent), _POSTING)
-    dealt = postings.repartition("shingle").sortWithinPartitions("shingle")
-    first = storage.materialize(dealt.mapInArrow(_first_pairs(percent), _PAIR), "pairs")
+    sent = spark.sparkContext.broadcast(shingle_levels(docs.select("text"), size))
+    dealt = docs.select("text").mapInArrow(_prefixes(sent, size, percent), _POSTING).repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "node")
+    first = storage.materialize(dealt.mapInArrow(_first_pairs(percent, FEW), _PAIR), "pairs")
 
     def similar(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+        """The pairs x, y whose sets are similar, as a, b."""
+        wanted = pairs.select(F.col("x").alias("node")).distinct().union(pairs.select(F.col("y").alias("node")).distinct()).distinct()
         one = storage.materialize(signed.groupBy("node").agg(F.min("key").alias("key")).join(wanted, "node", "left_semi"), f"{name}-wanted")
         texts = storage.maybe_among(docs.select("key", "text"), storage.key_bits(one, "key"), "key").join(one, "key").dropDuplicates(["node"]).select("node", "text")
-        sets = storage.materialize(texts.mapInArrow(_set_rows(size), "node bigint, set array<bigint>"), f"{name}-sets")
-        return _similar(pairs, sets, percent, name)
-
-    links = similar(storage.materialize(_spanning(first.where("kind < 2")), "candidates"), "first")
-    labels = connected(links)
-
-    # what stands in one shingle's postings but in different components, block by block
-    rest = first.where("kind = 2").select(F.col("x").alias("shingle"), F.col("y").alias("node"), "n", "l")
-    rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    parts = rest.groupBy("shingle").agg(F.count("*").alias("sets"), F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other")
-    parts = parts.select("shingle", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks"))
-    dealt = storage.materialize(rest.join(parts, "shingle").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "rest")
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
-    blocks = dealt.select("shingle", "node", "n", "l", "label", "block", "i", "j").groupBy("shingle", "i", "j").applyInArrow(_block_pairs(percent), _PAIR)
-    # a pair may share shingles that few hold and shingles that many hold: they count together
-    more = _enough(blocks.select("x", "y", "matches", "kind").unionByName(first.where("kind = 0").select("x", "y", "matches", "kind"))).where("enough")
-    label_of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    apart = F.coalesce("x_label", "x") != F.coalesce("y_label", "y")
-    more = more.join(label_of("x"), "x", "left").join(label_of("y"), "y", "left").where(apart).select("x", "y")
-    more = storage.materialize(more, "more-candidates")
-    if not more.isEmpty():
-        labels = connected(links.union(similar(more, "more")))
+        texts = storage.materialize(texts, f"{name}-texts")
+        both = pairs.join(texts.select(F.col("node").alias("y"), F.col("text").alias("y_text")), "y").join(texts.select(F.col("node").alias("x"), F.col("text").alias("x_text")), "x")
+        links = storage.materialize(both.select("x", "y", "x_text", "y_text").mapInArrow(_verify(size, percent), "a bigint, b bigint"), f"{name}-links")
+        storage.discard(texts)
+        return links
+
+    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        return pairs.join(of("x"), "x").join(of("y"), "y").where("x_label <> y_label").select("x", "y")
+
+    def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """The labels after more links between nodes."""
+        ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("p")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("q")), "b")
+        to = connected(ends.select(F.col("p").alias("a"), F.col("q").alias("b")))
+        out = labels.join(to.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+        return storage.materialize(out.select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+    # a prefix shingle gives a pair once; of a long list only pairs with its first are met
+    sums = first.where("kind < 2").groupBy("x", "y").agg(F.sum(1 - F.col("kind")).alias("few"), F.count("*").alias("shared"), F.max("matches").alias("matches"))
+    met = storage.materialize(sums.where(F.col("shared") >= F.col("matches")), "met")
+    often = Window.partitionBy("y").orderBy(F.desc("shared"), "x")
+    candidates = storage.materialize(met.withColumn("nth", F.row_number().over(often)).where("nth = 1").select("x", "y"), "candidates")
+    of = lambda is_many: F.collect_list(F.when(F.col("matches") == is_many, F.col("x")))
+    info = first.where("kind = 2").groupBy(F.col("y").alias("node")).agg(F.max("n").alias("n"), F.max("l").alias("l"), F.array_sort(of(1)).alias("many"), of(0).alias("few"))
+    info = storage.materialize(info, "info")  # of a set the shingles of its prefix that other prefixes hold
+    labels = joined(info.select("node", F.col("node").alias("label")), similar(candidates, "first"))
+
+    # a similar pair that no long list holds has met often enough in short ones; others come out of blocks
+    enough = apart(met.where("few >= matches").select("x", "y"), labels)
+    for name, best in (("second", BEST), ("third", 0)):
+        more = _blocks_between_labels(info, labels, percent).mapInArrow(_block_pairs(percent, best), "x bigint, y bigint")
+        more = storage.materialize((more.unionByName(enough) if best else more).distinct().join(candidates, ["x", "y"], "left_anti"), f"{name}-candidates")
+        if not more.isEmpty():
+            labels = joined(labels, similar(more, name))
+        candidates = candidates.unionByName(more)
     named = labels.select("node", F.col("label").alias("component"))
     return signed.join(named, "node", "left").select("key", "doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component", "node").alias("component"))
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20  # numpy works on so much text at a time; a longer document is a chunk of its own
+CHUNK_BYTES = 1 << 18  # numpy works on so much text at a time; a longer document is a chunk of its own
 
 _BYTES = np.arange(256, dtype=np.uint8)
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
@@ -21,6 +21,7 @@ _RNG = np.random.Generator(np.random.PCG64(20240101))
 RANDOM_OF_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER_RANDOM = RANDOM_OF_BYTE[LOWER]
 BASE = 0x9E3779B97F4A7C17  # odd, so it has an inverse modulo 2 ** 64
+KEPT_POWERS = 1 << 21
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -28,7 +29,10 @@ def _grown(name: str, base: int, n: int) -> np.ndarray:
     if len(_POWERS.get(name, ())) < n:
         steps = np.full(max(n, CHUNK_BYTES) + 1, base % (1 << 64), dtype=np.uint64)
         steps[0] = 1
-        _POWERS[name] = np.multiply.accumulate(steps)
+        grown = np.multiply.accumulate(steps)
+        if n > KEPT_POWERS:  # of a very long text: not kept
+            return grown[:n]
+        _POWERS[name] = grown
     return _POWERS[name][:n]
 
 
@@ -64,9 +68,9 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of whole rows of about `limit` bytes."""
-    first, n = 0, len(offsets) - 1
+def chunks(data: np.ndarray, offsets: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of whole rows of about `limit` bytes, CHUNK_BYTES unless given."""
+    first, n, limit = 0, len(offsets) - 1, limit or CHUNK_BYTES
     while first < n:
         end = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
         end = min(n, max(first + 1, end))
