@@ -117,8 +117,8 @@ SQL = {
     "letter_histogram": f"WITH {_TERMS}, {_ONCE}, l AS (SELECT {_LETTER} AS letter, abbr, pos FROM once) SELECT letter, count(*) AS terms, array_to_string((list(abbr ORDER BY pos))[1:3], ', ') AS preview FROM l GROUP BY letter",
     "glossary_filter": f"WITH {_TERMS}, {_ONCE} SELECT pos, abbr, en, ko FROM once WHERE contains(lower(abbr), 'the') OR contains(lower(en), 'the') OR contains(ko, 'The')",
     "glossary_lookup": f"WITH {_TERMS}, {_ONCE} SELECT pos, abbr, en, ko, count(*) OVER () AS total FROM once WHERE contains(lower(abbr), 'the') OR contains(lower(en), 'the') OR contains(ko, 'the') ORDER BY lower(abbr) <> 'the', pos LIMIT 5",
-    "abbreviation_multimap": f"WITH {_TERMS}, {_ONCE} SELECT upper(abbr) AS abbr, CAST(count(*) AS INTEGER) AS n, coalesce(string_agg(en, '|' ORDER BY pos), '') AS meanings FROM once WHERE length(abbr) >= 2 AND regexp_matches(abbr, '^[ -~]+$') GROUP BY 1",
-    "abbreviation_join": r"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b([A-Z][A-Z0-9]+)\b', 1)) AS abbr FROM documents), g AS (SELECT abbr, 'of ' || min(doc_id) AS en FROM f WHERE doc_id % 3 = 0 GROUP BY abbr)
+    "abbreviation_multimap": f"WITH {_TERMS}, {_ONCE} SELECT upper(replace(abbr, 'ß', 'ss')) AS abbr, CAST(count(*) AS INTEGER) AS n, coalesce(string_agg(en, '|' ORDER BY pos), '') AS meanings FROM once WHERE length(abbr) >= 2 GROUP BY 1",
+    "abbreviation_join": r"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b([A-Z][A-Z0-9]+)\b', 1)) AS abbr FROM documents), g AS (SELECT abbr, 'of ' || min(doc_id) AS en FROM f GROUP BY abbr)
 SELECT doc_id, abbr, count(*) AS n, any_value(en) AS en FROM f JOIN g USING (abbr) GROUP BY doc_id, abbr""",
     "menu_flatten": _TREE + "SELECT url, array_to_string(labels, ' > ') AS path FROM flat WHERE url IS NOT NULL",
     "section_counts": _TREE + "SELECT root, count(*) FILTER (WHERE url IS NOT NULL AND NOT starts_with(url, 'glossary:')) AS documents FROM flat GROUP BY root",

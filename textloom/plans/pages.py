@@ -107,7 +107,7 @@ s AS (SELECT page_id, pos, {_slug('title')} AS slug FROM t), n AS (SELECT *, row
 SELECT page_id, CAST(pos AS INTEGER) AS pos, slug || CASE WHEN nth > 0 THEN '-' || nth ELSE '' END AS section_id FROM n""",
     "heading_slugs": f"WITH t AS (SELECT page_id, {_TITLE} AS title FROM pages) SELECT page_id, {_slug('title')} AS slug FROM t",
     "pretty_html": rf"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?i)(<(?:{_BLOCK})(?: [^>]*)?>)', chr(10) || '\1', 'g'), '(?i)(</(?:{_BLOCK})>)', '\1' || chr(10), 'g'), '\n+', chr(10), 'g'), ' ') AS html FROM pages",
-    "escaped_html": "SELECT page_id, replace(replace(replace(replace(substring(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html FROM pages",
+    "escaped_html": "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html FROM pages",
     "url_parts": r"""WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '([^/]+)/?$', 1), '\.html?$', '') AS name, list_filter(list_transform(string_split(regexp_extract(url, '^[a-z]+://([^#?]+)', 1), '/'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM pages)
 SELECT page_id, name, coalesce(parts[1], '') AS doc_category, CAST(len(parts) AS INTEGER) AS depth, CASE WHEN len(parts) >= 3 THEN parts[len(parts) - 1] END AS parent_doc FROM p""",
     "empty_content_filter": f"WITH i AS ({_ITEM.format(t=_TITLE, n=500)}) SELECT page_id, title || chr(10) || title || chr(10) || content AS text FROM i WHERE trim(content) <> ''",

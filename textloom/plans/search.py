@@ -23,8 +23,7 @@ def bm25_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_statistics(spark: SparkSession, d: str) -> DataFrame:
-    posted = search.postings(items(spark, d))
-    return posted.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"))
+    return search.lengths(items(spark, d)).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def document_frequencies(spark: SparkSession, d: str) -> DataFrame:
@@ -101,9 +100,9 @@ def decomposed_search(spark: SparkSession, d: str) -> DataFrame:
 def _evaluated(spark: SparkSession, d: str) -> DataFrame:
     """Cases: a question is answered by documents that hold its text; one without such a document is negative."""
     bench = table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), "text")
-    asked = questions(spark, d)
-    keyword = search.bm25(items(spark, d), asked, K).withColumn("mode", F.lit("bm25"))
-    naive = search.top(search.bm25(items(spark, d), asked, 50, k1=0.0).select("query_id", "doc_id", "score"), K).withColumn("mode", F.lit("binary"))
+    asked, corpus = questions(spark, d), search.corpus_of(items(spark, d))
+    keyword = search.bm25(items(spark, d), asked, K, corpus=corpus).withColumn("mode", F.lit("bm25"))
+    naive = search.top(search.bm25(items(spark, d), asked, 50, k1=0.0, corpus=corpus).select("query_id", "doc_id", "score"), K).withColumn("mode", F.lit("binary"))
     hits = keyword.unionByName(naive, allowMissingColumns=True).select("mode", F.col("query_id").alias("case_id"), "doc_id", "rank")
     results = hits.join(items(spark, d).select("doc_id", "content"), "doc_id").join(bench, "case_id").select("mode", "case_id", "rank", F.contains("content", "text").alias("correct"))
     cases = bench.select("case_id", F.concat(F.lit("length-"), F.floor(F.length("text") / 100).cast("string")).alias("category"), F.lit(False).alias("negative"))
@@ -160,7 +159,7 @@ SQL = {
     "bm25_batch": _sql(ITEMS_SQL, QUESTIONS_SQL, _POSTED, _bm25_sql("questions", K), select="SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM hits"),
     "bm25_search": _sql(ITEMS_SQL, "one AS (SELECT CAST(0 AS BIGINT) AS query_id, 'the reention onthe worthless' AS text)", _POSTED, _bm25_sql("one", 20), select="SELECT doc_id, score, CAST(rank AS INTEGER) AS rank FROM hits"),
     "corpus_statistics": _sql(ITEMS_SQL, _POSTED, select="SELECT n, round(avgdl, 6) AS avgdl FROM stats"),
-    "document_frequencies": _sql(ITEMS_SQL, _POSTED, select="SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM posted GROUP BY term HAVING count(*) >= 20"),
+    "document_frequencies": _sql(ITEMS_SQL, _POSTED, select="SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM posted GROUP BY term"),
     "naive_search": _sql(ITEMS_SQL, select=f"SELECT doc_id, score FROM (SELECT doc_id, {_PRESENT} AS score FROM items) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50"),
     "page_term_count_search": _sql(
         ITEMS_SQL, select=f"SELECT doc_id, score, {_SNIPPET.format(a=60, b=60, n=4, h=120)} AS snippet FROM (SELECT *, {_COUNTED} AS score, instr(lower(content), '{TERMS[0]}') AS pos FROM items) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50"),
@@ -185,7 +184,7 @@ s AS (SELECT *, CASE WHEN len(qt) > 0 THEN round(len(list_filter(qt, lambda x: l
     "prefix_dedup_first": _sql(ITEMS_SQL, select="SELECT doc_id, title FROM (SELECT *, row_number() OVER (PARTITION BY substring(content, 1, 200) ORDER BY doc_id) AS n FROM items) WHERE n = 1"),
     "decomposed_search": _sql(
         ITEMS_SQL, QUESTIONS_SQL,
-        "w AS (SELECT query_id, string_split(text, ' ') AS w FROM questions), halves AS (SELECT query_id * 2 AS query_id, array_to_string(w[1:4], ' ') AS text FROM w UNION ALL SELECT query_id * 2 + 1, array_to_string(w[5:8], ' ') FROM w)",
+        "w AS (SELECT query_id, string_split(text, ' ') AS w FROM questions), halves AS (SELECT query_id * 2 AS query_id, array_to_string(w[1:(len(w) + 1) // 2], ' ') AS text FROM w UNION ALL SELECT query_id * 2 + 1, array_to_string(w[(len(w) + 1) // 2 + 1:], ' ') FROM w)",
         _POSTED, _bm25_sql("halves", 6),
         "p AS (SELECT query_id // 2 AS query_id, query_id % 2 AS part, rank, doc_id, content FROM hits JOIN items USING (doc_id)), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, substring(content, 1, 200) ORDER BY part, rank) AS nth FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY part, rank) AS place FROM o WHERE nth = 1)",
         select=f"SELECT query_id, doc_id, part, CAST(place AS INTEGER) AS place FROM n WHERE place <= {K}"),

@@ -26,4 +26,4 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ITEMS_SQL = "items AS (SELECT doc_id, substring(split_part(text, chr(10), 1), 1, 80) AS title, text AS content, lang, source FROM documents)"
-QUESTIONS_SQL = "questions AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split_regex(trim(text), '\\s+'), 1, 8), ' ') AS text FROM benchmark)"
+QUESTIONS_SQL = "questions AS (SELECT item_id AS query_id, array_to_string(string_split_regex(trim(text), '\\s+'), ' ') AS text FROM benchmark)"

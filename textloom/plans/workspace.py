@@ -143,7 +143,7 @@ def streamed_visits(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (regions_kept, regions_clipped, blocks_outside_tables, reading_order, overlapping_pairs, dominant_sizes, valid_sessions, page_overlay, pages_after_cancel, translated_counts, structure_profile, sequence_numbers, nearest_figures, memo_search, contents_match_rate, contents_candidates, streamed_visits)}
-_STORED = "stored AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS page, role AS status FROM conversations), ranges AS (SELECT conv_id AS doc_id, greatest(1, CAST(max(turn) AS INTEGER)) AS last FROM conversations WHERE conv_id % 3 = 0 GROUP BY conv_id), active AS (SELECT doc_id, CAST(unnest(range(1, last + 1)) AS INTEGER) AS page FROM ranges)"
+_STORED = "stored AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS page, role AS status FROM conversations), ranges AS (SELECT conv_id AS doc_id, greatest(1, CAST(max(turn) AS INTEGER)) AS last FROM conversations GROUP BY conv_id), active AS (SELECT doc_id, CAST(unnest(range(1, last + 1)) AS INTEGER) AS page FROM ranges)"
 SQL = {
     "blocks_outside_tables": f"WITH {_BOXES} SELECT own, nth FROM boxes a WHERE nth > 1 AND NOT EXISTS (SELECT 1 FROM boxes t WHERE t.nth = 1 AND t.doc_id = a.doc_id AND t.page = a.page AND a.x0 < t.x1 AND a.x1 > t.x0 AND a.y0 < t.y1 AND a.y1 > t.y0)",
     "reading_order": f"WITH {_BOXES} SELECT own, nth, CASE WHEN x1 - x0 > 60 THEN 'full' WHEN (x0 + x1) / 2 < 50 THEN 'left' ELSE 'right' END AS \"column\" FROM boxes WHERE nth <= 4",
@@ -161,6 +161,6 @@ SELECT doc_id, category, pos, CAST(greatest(coalesce(max(explicit - n) OVER (PAR
     "nearest_figures": """WITH n AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, l_returnflag = 'R' AS fig, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL))
 SELECT a.doc_id, a.pos, arg_min(b.pos, abs(b.i - a.i) * 2 + CASE WHEN b.i > a.i THEN 1 ELSE 0 END) AS figure FROM n a LEFT JOIN n b ON a.doc_id = b.doc_id AND b.fig AND b.i <> a.i AND abs(b.i - a.i) <= 3 GROUP BY a.doc_id, a.pos""",
     "memo_search": """SELECT conv_id AS doc_id, turn AS id, CAST(1 AS INTEGER) AS page, CASE WHEN length(text) > 120 THEN substring(text, 1, 120) || '...' ELSE text END AS snippet FROM conversations WHERE contains(lower(text), 'tion') OR contains(lower(text), 'ther')""",
-    "contents_candidates": """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents), e AS (SELECT doc_id, n AS pos, n // 10 AS page FROM l WHERE n % 7 = 0)
-SELECT e.doc_id, CAST(e.pos AS INTEGER) AS pos, count(*) AS blocks FROM e JOIN l ON l.doc_id = e.doc_id AND l.n // 10 BETWEEN e.page - 1 AND e.page + 1 GROUP BY e.doc_id, e.pos""",
+    "contents_candidates": """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents), e AS (SELECT doc_id, n AS pos, n // 10 AS page FROM l)
+SELECT e.doc_id, CAST(e.pos AS INTEGER) AS pos, count(*) AS blocks FROM e JOIN l ON l.doc_id = e.doc_id AND l.n // 10 BETWEEN e.page - 2 AND e.page + 2 GROUP BY e.doc_id, e.pos""",
 }
