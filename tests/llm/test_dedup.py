@@ -166,6 +166,13 @@ def test_matches_are_those_of_all_windows(spark):
     assert decontaminate.benchmark_matches(frames[0], frames[1].limit(0)).count() == 0
 
 
+def test_where_a_match_begins_and_short_items(spark):
+    items = spark.createDataFrame([(0, "a b c d e f g h i j"), (1, "short one"), (2, "word")], "item_id bigint, text string")
+    docs = [(0, "x y z a b NEW c d e f g h i j k"), (1, "p a b c e f g h i j q"), (2, "q short, one r"), (3, "short x one words"), (4, "Word")]
+    got = decontaminate.benchmark_matches(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance, r.first_word) for r in got) == [(0, 0, 1, 3), (1, 0, 1, 1), (2, 1, 0, 1), (4, 2, 0, 0)]
+
+
 def test_spread_lines_are_those_of_exact_counts(spark):
     rng = random.Random(4)
     pages = []

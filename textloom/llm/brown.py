@@ -32,13 +32,13 @@ from .text import Lookup, chunks, column_bytes, distinct, words
 
 #: A word with at least this share of all training tokens is a unit of the seed: 2 ** 11 words at most, in a corpus of any size.
 UNIT_SHARE = 2**-11
-#: Counts of words with at least this share go to every task: 2 ** 18 words at most. Others are joined.
-KNOWN_SHARE = 2**-18
+#: Counts of words with at least this share go to every task: 2 ** 20 words at most, of 24 bytes. Others are joined.
+KNOWN_SHARE = 2**-20
 SUFFIX_UNITS = 512
 CLASSES = 64
 SWEEPS = 8
-WORD_SWEEPS = 2  # over all words, after the seed
-BLOCK_BYTES = 1 << 16
+WORD_SWEEPS = 1  # over all words, after the seed; all move at once, so that more sweeps hardly gain or lose
+BLOCK_BYTES = 1 << 18
 #: How often a word has a class after it (at), before it (CLASSES + at), or itself (2 * CLASSES). Those of once go as `at` alone.
 ENTRY = np.dtype([("at", "u1"), ("n", "<i8")])
 END = np.uint64(0)  # the hash that stands for the end token
@@ -126,7 +126,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     tokens, types = int(total[0] or 0), int(total[1])
     least_unit, least_known = max(1, tokens * UNIT_SHARE), max(1, tokens * KNOWN_SHARE)
     is_end = F.col("word") == int(END)
-    known = counts.where((F.col("n") >= least_known) | is_end).select("word", "n", "unit").toPandas()
+    known = counts.where((F.col("n") >= least_known) | is_end).select("word", "n", "unit").toArrow().to_pandas()
     if not tokens:
         known.loc[0] = (int(END), 0, 0)
     known = known.sort_values(["n", "word"], ascending=[False, True])
@@ -482,7 +482,7 @@ def learn(blocks: DataFrame, v: Vocabulary, counts: DataFrame) -> tuple[Model, D
     for _ in range(WORD_SWEEPS):
         moved = sweep(blocks if found is None else found, v, known, suffix, both)
         now = storage.materialize(moved.join(counts.select("word", "n"), "word"), "brown-classes")
-        at_known = now.where((F.col("n") >= max(1, v.tokens * KNOWN_SHARE)) | (F.col("word") == int(END))).toPandas()
+        at_known = now.where((F.col("n") >= max(1, v.tokens * KNOWN_SHARE)) | (F.col("word") == int(END))).toArrow().to_pandas()
         own = known.copy()
         own[Lookup(v.known)(at_known.word.to_numpy(np.int64).view(np.uint64))] = at_known["class"]
         next_found = storage.materialize(resolved(blocks if found is None else found, now), "brown-blocks")
@@ -490,8 +490,7 @@ def learn(blocks: DataFrame, v: Vocabulary, counts: DataFrame) -> tuple[Model, D
         if likelihood(next_both) <= likelihood(both):
             storage.discard(next_found)
             break
-        if found is not None:
-            storage.discard(found)
+        storage.discard(blocks if found is None else found)
         found, known, both, classes = next_found, own, next_both, now
     if found is None:
         found = storage.materialize(resolved(blocks, classes), "brown-blocks")

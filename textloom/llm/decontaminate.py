@@ -5,8 +5,8 @@ may differ by k = floor(rate * n) words put in, left out or changed. Cut into k
 unchanged in the document (pigeonhole), so exact hits of pieces give all candidates. Around each hit the least edit
 distance of the whole item is found with one bit for each of its words.
 
-Items of fewer than min_words words, null and empty ones take no part: such phrases stand in clean text too. Null and
-empty documents match nothing. Repeated items and repeated documents give rows of their own; null ids stay null.
+Items of fewer than exact_words words have no budget: they match as they are, as a sequence of whole words. Null and empty
+items take no part. Null and empty documents match nothing. Repeated items and repeated documents give rows of their own; null ids stay null.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .text import LOWER, LOWER_RANDOM, Lookup, bounds, chunks, column_bytes, mix, prefix_hashes, range_hashes
 
 RATE = 0.2
-MIN_WORDS = 6
+EXACT_WORDS = 6
 #: Words of the benchmark that go to the tasks at once. A larger benchmark is matched in several passes.
 WORDS_AT_ONCE = 2_000_000
 _INSIDE = (LOWER >= 128) | ((LOWER >= 48) & (LOWER <= 57)) | ((LOWER >= 97) & (LOWER <= 122))
@@ -40,8 +40,9 @@ def piece_bounds(n: int, budget: int) -> list[tuple[int, int]]:
     return list(zip(cut[:-1], cut[1:], strict=True))
 
 
-def least_distance(masks: dict[int, int], n: int, text: list[int]) -> tuple[int, int]:
-    """The least edit distance of a pattern of n words to any run of `text`, and the end of the first such run (Myers)."""
+def least_distance(masks: dict[int, int], n: int, text: list[int], anchored: bool = False) -> tuple[int, int]:
+    """The least edit distance of a pattern of n words to any run of `text`, and the end of the first such run (Myers).
+    anchored: to runs from the start of `text` alone."""
     full, high = (1 << n) - 1, 1 << n - 1
     up, down, score, best, at = full, 0, n, n, 0
     for i, word in enumerate(text, 1):
@@ -53,7 +54,7 @@ def least_distance(masks: dict[int, int], n: int, text: list[int]) -> tuple[int,
             score += 1
         elif shrink & high:
             score -= 1
-        grow, shrink = grow << 1 & full, shrink << 1 & full
+        grow, shrink = (grow << 1 | anchored) & full, shrink << 1 & full
         up, down = shrink | (full & ~(vertical | grow)), grow & vertical
         if score < best:
             best, at = score, i
@@ -67,17 +68,17 @@ class Items:
     budgets: list[int]
 
 
-def _items(benchmark: DataFrame, rate: float, min_words: int) -> Items:
+def _items(benchmark: DataFrame, rate: float, exact_words: int) -> Items:
     rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).toArrow()
     data, offsets = column_bytes(rows.column("text"))
     word, at = plain_words(data, offsets)
     found = Items([], [], [])
     for i, item in enumerate(rows.column("item_id").to_pylist()):
         own = word[at[i] : at[i + 1]]
-        if len(own) >= min_words:
+        if len(own):
             found.ids.append(item)
             found.words.append(own)
-            found.budgets.append(int(rate * len(own)))
+            found.budgets.append(int(rate * len(own)) if len(own) >= exact_words else 0)
     return found
 
 
@@ -96,15 +97,15 @@ class _Matcher:
             keys = np.array([h for h, _, _ in found], np.uint64)
             distinct, first = np.unique(keys, return_index=True)
             self.pieces[length] = Lookup(distinct), np.r_[first, len(found)], found
-        self.masks: dict[int, dict[int, int]] = {}
+        self.masks: dict[tuple[int, bool], dict[int, int]] = {}
 
-    def mask(self, i: int) -> dict[int, int]:
-        if i not in self.masks:
+    def mask(self, i: int, backwards: bool = False) -> dict[int, int]:
+        if (i, backwards) not in self.masks:
             own: dict[int, int] = {}
-            for at, word in enumerate(self.items.words[i].tolist()):
+            for at, word in enumerate(self.items.words[i].tolist()[:: -1 if backwards else 1]):
                 own[word] = own.get(word, 0) | 1 << at
-            self.masks[i] = own
-        return self.masks[i]
+            self.masks[i, backwards] = own
+        return self.masks[i, backwards]
 
     def find(self, word: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, distance, first word of the best window) for each item that a row holds."""
@@ -135,9 +136,11 @@ class _Matcher:
             for a, b in merged:
                 distance, end = least_distance(self.mask(i), n, word[a:b].tolist())
                 if distance <= self.items.budgets[i] and (best is None or distance < best[0]):
-                    best = distance, max(0, a + end - n - int(rows[r]))
+                    best = distance, a, end
             if best is not None:
-                out.append((r, i, *best))
+                distance, a, end = best
+                _, back = least_distance(self.mask(i, True), n, word[a : a + end].tolist()[::-1], True)  # from the run's end
+                out.append((r, i, distance, a + end - back - int(rows[r])))
         return out
 
 
@@ -156,20 +159,20 @@ def _matches(sent) -> Callable:
     return run
 
 
-def _passes(benchmark: DataFrame, rate: float, min_words: int, at_once: int) -> Iterator:
+def _passes(benchmark: DataFrame, rate: float, exact_words: int, at_once: int) -> Iterator:
     """The benchmark's items, sent to the tasks in parts of bounded size."""
     spark = benchmark.sparkSession
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-int(size) // (2 * at_once)))  # a word has two bytes at least, with what parts it from the next
     for i in range(parts):
         own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) if parts > 1 else benchmark
-        yield spark.sparkContext.broadcast(_items(own, rate, min_words))
+        yield spark.sparkContext.broadcast(_items(own, rate, exact_words))
 
 
-def benchmark_matches(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, min_words: int = MIN_WORDS, at_once: int = WORDS_AT_ONCE) -> DataFrame:
+def benchmark_matches(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, exact_words: int = EXACT_WORDS, at_once: int = WORDS_AT_ONCE) -> DataFrame:
     """A row for each document and item that it holds within the item's budget, at the best place."""
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return reduce(DataFrame.unionByName, [docs.mapInArrow(_matches(sent), _MATCH) for sent in _passes(benchmark, rate, min_words, at_once)])
+    return reduce(DataFrame.unionByName, [docs.mapInArrow(_matches(sent), _MATCH) for sent in _passes(benchmark, rate, exact_words, at_once)])
 
 
 def _clean(sent) -> Callable:
@@ -185,8 +188,8 @@ def _clean(sent) -> Callable:
     return run
 
 
-def without_matches(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, min_words: int = MIN_WORDS, at_once: int = WORDS_AT_ONCE) -> DataFrame:
+def without_matches(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, exact_words: int = EXACT_WORDS, at_once: int = WORDS_AT_ONCE) -> DataFrame:
     """The documents, with all their columns, that hold no item within its budget."""
-    for sent in _passes(benchmark, rate, min_words, at_once):
+    for sent in _passes(benchmark, rate, exact_words, at_once):
         documents = documents.mapInArrow(_clean(sent), documents.schema)
     return documents

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,12 +44,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs stay until the driver, Python first and then the JVM, has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lost executors need not recompute it."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # shuffle files of finished jobs stay until the driver collects its garbage
+    collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
