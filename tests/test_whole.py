@@ -5,6 +5,8 @@ from collections import Counter
 
 import pytest
 
+from textloom.operators import validation
+from textloom.operators import workspace as operators_workspace
 from textloom.plans import catalog, pages, search, tables, workspace
 
 
@@ -84,3 +86,15 @@ def test_every_conversation_has_a_range(spark, folder):
     status = {(r.doc_id, r.page): r.status for r in workspace.page_overlay(spark, d).collect()}
     assert status == {(c, t): "running" if t else "user" for c in range(4) for t in range(3)}
     assert {(r.doc_id, r.page) for r in workspace.pages_after_cancel(spark, d).collect()} == {(c, 0) for c in range(4)}
+
+
+def test_repeated_sentences_have_their_own_places(spark):
+    sentence = "a long sentence that stands twice."
+    rows = spark.createDataFrame([(1, 0, f"{sentence} {sentence}")], "doc_id bigint, paragraph_index int, text string")
+    got = validation.sentence_length(rows, "suggestion", 10).collect()
+    assert sorted((r.char_start, r.char_end) for r in got) == [(0, 34), (35, 69)]
+
+
+def test_low_explicit_numbers_leave_the_counter(spark):
+    rows = spark.createDataFrame([(1, "c", i, e) for i, e in enumerate([None, None, 1, None, 9, None])], "doc_id bigint, category string, pos int, explicit int")
+    assert [r.number for r in operators_workspace.sequence_numbers(rows).orderBy("pos").collect()] == [1, 2, 1, 3, 9, 10]

@@ -115,11 +115,14 @@ def inconsistent_terms(paragraphs: DataFrame, severity: str, groups: list[list[s
 
 
 def sentence_length(paragraphs: DataFrame, severity: str, max_chars: int) -> DataFrame:
-    """Sentences longer than max_chars without the white space around them; offsets count what stands before."""
-    parts = T.sentences(F.col("text"))
-    each = paragraphs.select("doc_id", "paragraph_index", "text", F.posexplode(parts).alias("nth", "sentence")).withColumn("sentence", F.trim("sentence"))
-    long = each.where(F.length("sentence") > max_chars)
-    return _issues(long, "sentence_length", "readability", severity, F.instr("text", F.col("sentence")) - 1, F.instr("text", F.col("sentence")) - 1 + F.length("sentence"), F.length("sentence").cast("string"))
+    """Sentences longer than max_chars without the white space around them. A sentence stands at its first place behind
+    the characters of the sentences before it."""
+    split = paragraphs.select("doc_id", "paragraph_index", "text", T.sentences(F.col("text")).alias("parts"))
+    each = split.select("doc_id", "paragraph_index", "text", "parts", F.posexplode("parts").alias("nth", "sentence")).withColumn("sentence", F.trim("sentence"))
+    before = F.aggregate(F.slice("parts", F.lit(1), F.col("nth")), F.lit(0), lambda n, x: n + F.length(x))
+    long = each.where(F.length("sentence") > max_chars).withColumn("before", before)
+    start = F.instr(F.substring(F.col("text"), F.col("before") + 1, F.length("text")), F.col("sentence")) - 1 + F.col("before")
+    return _issues(long, "sentence_length", "readability", severity, start, start + F.length("sentence"), F.length("sentence").cast("string"))
 
 
 RULES: dict[str, Callable] = {

@@ -79,10 +79,12 @@ def structure_profile(paragraphs: DataFrame) -> DataFrame:
 
 
 def sequence_numbers(fields: DataFrame) -> DataFrame:
-    """Numbers of SEQ fields (doc_id, category, pos, explicit): one more than the largest before, or the explicit one."""
-    own = Window.partitionBy("doc_id", "category").orderBy("pos")
-    jump = F.max(F.col("explicit") - F.col("n")).over(own.rowsBetween(Window.unboundedPreceding, 0))
-    return fields.withColumn("n", F.row_number().over(own)).withColumn("number", F.greatest(F.coalesce(jump, F.lit(0)), F.lit(0)) + F.col("n")).drop("n")
+    """Numbers of SEQ fields (doc_id, category, pos, explicit): the explicit one, or one more than the counter, which an
+    explicit number raises and never lowers. What the counter is ahead of the fields without a number only grows."""
+    own = Window.partitionBy("doc_id", "category").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    counted = fields.withColumn("n", F.count_if(F.col("explicit").isNull()).over(own).cast("int"))
+    ahead = F.greatest(F.coalesce(F.max(F.col("explicit") - F.col("n")).over(own), F.lit(0)), F.lit(0))
+    return counted.withColumn("number", F.coalesce("explicit", ahead + F.col("n"))).drop("n")
 
 
 def nearest_figure(nodes: DataFrame, reach: int = 3) -> DataFrame:

@@ -44,14 +44,15 @@ QUERIES = {f.__name__: f for f in (forbidden_term_hits, term_preference, long_se
 _PARAGRAPHS = "p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS paragraph_index FROM documents)"
 _HITS = """s AS (SELECT doc_id, paragraph_index, term, string_split(text, term) AS parts, generate_subscripts(string_split(text, term), 1) AS i FROM p, (VALUES {0}) t(term) WHERE contains(text, term)),
 h AS (SELECT doc_id, paragraph_index, term, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(term) AS BIGINT) AS pos FROM s WHERE i < len(parts))"""
-_SENTENCES = r"""q AS (SELECT doc_id, paragraph_index, text, unnest(string_split(regexp_replace(text, '([.!?。])\s*', '\1' || chr(1), 'g'), chr(1))) AS sentence FROM p),
-l AS (SELECT doc_id, paragraph_index, text, trim(sentence) AS sentence FROM q)"""
+_SENTENCES = r"""w AS (SELECT *, string_split(regexp_replace(text, '([.!?。])\s*', '\1' || chr(1), 'g'), chr(1)) AS parts FROM p),
+q AS (SELECT doc_id, paragraph_index, text, parts, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS i FROM w),
+l AS (SELECT doc_id, paragraph_index, text, trim(sentence) AS sentence, coalesce(CAST(list_sum(list_transform(parts[1:i - 1], lambda x: length(x))) AS BIGINT), 0) AS before FROM q)"""
 SQL = {
     "forbidden_term_hits": f"WITH {_PARAGRAPHS}, {_HITS.format(', '.join(repr((t,)).replace(',)', ')') for t in FORBIDDEN))} SELECT doc_id, paragraph_index, pos AS char_start, pos + length(term) AS char_end, term || ' > ' || CASE term WHEN 'ther' THEN 'there' ELSE 'one' END AS detail FROM h",
     "term_preference": f"""WITH {_PARAGRAPHS}, {_HITS.format("('tion'), ('ther'), ('onen'), ('elle'), ('eau')")}, n AS (SELECT doc_id, term, count(*) AS n, CASE WHEN term IN ('elle', 'eau') THEN 1 ELSE 0 END AS grp, list_position(['tion', 'ther', 'onen', 'elle', 'eau'], term) AS place FROM h GROUP BY doc_id, term),
 u AS (SELECT doc_id, grp, arg_max(term, n * 10 - place) AS preferred, list(term) AS terms FROM n GROUP BY doc_id, grp HAVING count(*) > 1)
 SELECT doc_id, grp, preferred, array_to_string(list_sort(list_filter(terms, lambda x: x <> preferred)), ',') AS others FROM u""",
-    "long_sentences": f"WITH {_PARAGRAPHS}, {_SENTENCES} SELECT doc_id, paragraph_index, instr(text, sentence) - 1 AS char_start, instr(text, sentence) - 1 + length(sentence) AS char_end FROM l WHERE length(sentence) > {MAX_CHARS}",
+    "long_sentences": f"WITH {_PARAGRAPHS}, {_SENTENCES} SELECT doc_id, paragraph_index, place AS char_start, place + length(sentence) AS char_end FROM (SELECT *, before + instr(substring(text, before + 1), sentence) - 1 AS place FROM l) WHERE length(sentence) > {MAX_CHARS}",
     "document_scores": f"""WITH {_PARAGRAPHS}, {_HITS.format("('worthless'), ('idiot')")}, {_SENTENCES}, e AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id), g AS (SELECT doc_id, count(*) AS n FROM l WHERE length(sentence) > 200 GROUP BY doc_id)
 SELECT d.doc_id, coalesce(e.n, 0) AS error, CAST(0 AS BIGINT) AS warning, coalesce(g.n, 0) AS suggestion, greatest(0, 100 - 10 * coalesce(e.n, 0) - coalesce(g.n, 0)) AS score FROM documents d LEFT JOIN e USING (doc_id) LEFT JOIN g USING (doc_id)""",
 }

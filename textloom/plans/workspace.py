@@ -156,8 +156,10 @@ SELECT own, round(s / (t - s), 6) AS iou FROM p""",
     "translated_counts": "SELECT conv_id AS doc_id, count(*) AS pages, count(*) FILTER (WHERE role = 'user') AS done FROM conversations GROUP BY conv_id",
     "structure_profile": """SELECT conv_id AS doc_id, count(*) FILTER (WHERE role = 'user') AS paragraphs, count(*) FILTER (WHERE role NOT IN ('user', 'system')) AS tables, CAST(0 AS BIGINT) AS images, count(*) FILTER (WHERE role = 'system') AS headings, count(*) FILTER (WHERE role = 'system') AS h1,
 CASE WHEN count(*) FILTER (WHERE role = 'system') = 0 THEN 'no h1' WHEN count(*) FILTER (WHERE role = 'system') > 1 THEN 'several h1' END AS warning, array_to_string(list_sort(list_distinct(list(role))), ',') AS styles FROM conversations GROUP BY conv_id""",
-    "sequence_numbers": """WITH f AS (SELECT l_orderkey AS doc_id, l_returnflag AS category, l_linenumber AS pos, CASE WHEN l_quantity > 45 THEN l_linenumber + 3 END AS explicit, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS n FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL))
-SELECT doc_id, category, pos, CAST(greatest(coalesce(max(explicit - n) OVER (PARTITION BY doc_id, category ORDER BY pos), 0), 0) + n AS INTEGER) AS number FROM f""",
+    "sequence_numbers": """WITH f AS (SELECT l_orderkey AS doc_id, l_returnflag AS category, list(l_linenumber ORDER BY l_linenumber) AS poss, list({'c': 0, 'e': CAST(CASE WHEN l_quantity > 45 THEN l_linenumber + 3 END AS INTEGER), 'o': CAST([] AS INTEGER[])} ORDER BY l_linenumber) AS xs
+FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) GROUP BY ALL),
+r AS (SELECT doc_id, category, poss, list_reduce(list_prepend({'c': 0, 'e': CAST(NULL AS INTEGER), 'o': CAST([] AS INTEGER[])}, xs), lambda a, x: {'c': CASE WHEN x.e IS NULL THEN a.c + 1 ELSE greatest(a.c, x.e) END, 'e': CAST(NULL AS INTEGER), 'o': list_append(a.o, CASE WHEN x.e IS NULL THEN a.c + 1 ELSE x.e END)}).o AS numbers FROM f)
+SELECT doc_id, category, unnest(poss) AS pos, unnest(numbers) AS number FROM r""",
     "nearest_figures": """WITH n AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, l_returnflag = 'R' AS fig, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL))
 SELECT a.doc_id, a.pos, arg_min(b.pos, abs(b.i - a.i) * 2 + CASE WHEN b.i > a.i THEN 1 ELSE 0 END) AS figure FROM n a LEFT JOIN n b ON a.doc_id = b.doc_id AND b.fig AND b.i <> a.i AND abs(b.i - a.i) <= 3 GROUP BY a.doc_id, a.pos""",
     "memo_search": """SELECT conv_id AS doc_id, turn AS id, CAST(1 AS INTEGER) AS page, CASE WHEN length(text) > 120 THEN substring(text, 1, 120) || '...' ELSE text END AS snippet FROM conversations WHERE contains(lower(text), 'tion') OR contains(lower(text), 'ther')""",
