@@ -41,9 +41,12 @@ WORD_SWEEPS = 2  # over all words, after the seed
 BLOCK_BYTES = 1 << 18
 #: How often a word has a class after it (at), before it (CLASSES + at), or itself (2 * CLASSES). Those of once go as `at` alone.
 ENTRY = np.dtype([("at", "u1"), ("n", "<i8")])
+NONE = 255  # the class of a word that training has not
 END = np.uint64(0)  # the hash that stands for the end token
 FLUSH = 1 << 21
 SWEEP_TOKENS = 1 << 20  # tokens whose contexts a task of a sweep holds
+TABLED = 32  # of fewer neighbours the gains are in a table
+PART_TOKENS = 1 << 21  # tokens for each part of the word hashes
 PACK = "zstd"
 
 
@@ -182,11 +185,68 @@ def coded(docs: DataFrame, v: Vocabulary) -> DataFrame:
     return docs.select("doc_id", "text", "held_out").mapInArrow(_coder(sent), _CODED)
 
 
-def resolved(blocks: DataFrame, classes: DataFrame) -> DataFrame:
-    """Blocks with the class and count of each of their own words that training has."""
-    each = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    found = each.join(classes, "word").groupBy("block").agg(F.collect_list(F.struct("at", "class", "n")).alias("found"))
-    return blocks.drop("found").join(found, "block", "left")
+def _part(word: np.ndarray, bits: int) -> np.ndarray:
+    return (word >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int32)
+
+
+def _asker(bits: int) -> Callable:
+    """Of each block its own words by parts of the hashes; words are in the order of hashes, so each part is a run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                own = batch.column("words")[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                part, first = np.unique(_part(own, bits), return_index=True)
+                ends = np.r_[first[1:], len(own)]
+                asked = [own[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=False)]
+                yield pa.record_batch({"part": part, "block": pa.array([batch.column("block")[i].as_py()] * len(part), pa.int64()), "words": pa.array(asked, pa.binary())})
+
+    return run
+
+
+def _classes_by_part(bits: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = _part(batch.column("word").to_numpy().view(np.uint64), bits)
+            yield pa.record_batch({"part": part, "word": batch.column("word"), "class": batch.column("class"), "n": batch.column("n")})
+
+    return run
+
+
+def _answer(asked: pa.Table, classes: pa.Table) -> pa.Table:
+    """The class (NONE if training has not the word) and the count of each asked word of one part of the hashes."""
+    word = classes.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(word)
+    word, own_class, own_n = word[order], classes.column("class").to_numpy()[order], classes.column("n").to_numpy()[order]
+    found_class, found_n = [], []
+    for raw in asked.column("words").to_pylist():
+        h = np.frombuffer(raw, np.uint64)
+        c, n = np.full(len(h), NONE, np.uint8), np.zeros(len(h), np.int64)
+        if len(word):
+            at = np.minimum(np.searchsorted(word, h), len(word) - 1)
+            has = word[at] == h
+            c[has], n[has] = own_class[at[has]], own_n[at[has]]
+        found_class.append(c.tobytes())
+        found_n.append(n.tobytes())
+    return pa.table({"part": asked.column("part"), "block": asked.column("block"), "class": pa.array(found_class, pa.binary()), "n": pa.array(found_n, pa.binary())})
+
+
+def resolved(blocks: DataFrame, classes: DataFrame, tokens: int) -> DataFrame:
+    """Blocks with the class and count of each of their own words that training has.
+
+    Blocks ask each part of the word hashes for a run of words, and the answers, a byte and a number for each, come back
+    in the order of parts. The parts grow in number with the tokens.
+    """
+    spark = blocks.sparkSession
+    bits = max(1, int(np.ceil(np.log2(storage.tasks(spark, tokens, PART_TOKENS)))))
+    asked = blocks.select("block", "words").mapInArrow(_asker(bits), "part int, block bigint, words binary")
+    dealt = classes.select("word", "class", "n").mapInArrow(_classes_by_part(bits), "part int, word bigint, class int, n bigint")
+    answers = asked.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(_answer, "part int, block bigint, class binary, n binary")
+    answers = storage.materialize(answers, "brown-answers")
+    found = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "class", "n"))).alias("found"))
+    out = storage.materialize(blocks.drop("found").join(found, "block", "left"), "brown-blocks")
+    storage.discard(answers)
+    return out
 
 
 @dataclass
@@ -217,8 +277,9 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, Block]]:
         c, n = np.full(len(own), -1), np.zeros(len(own), np.int64)
         if has_found and batch.column("found")[i].is_valid:
             x = batch.column("found")[i].values
-            at = x.field("at").to_numpy(zero_copy_only=False)
-            c[at], n[at] = x.field("class").to_numpy(zero_copy_only=False), x.field("n").to_numpy(zero_copy_only=False)
+            c = np.frombuffer(b"".join(x.field("class").to_pylist()), np.uint8).astype(np.int64)
+            c[c == NONE] = -1
+            n = np.frombuffer(b"".join(x.field("n").to_pylist()), np.int64)
         held = batch.column("held_out")[i].values.to_numpy(zero_copy_only=False).astype(bool)
         yield i, Block(raw("rows", np.int64), raw("codes", np.int32), held, own, raw("suffix", np.int16), c, n)
 
@@ -374,31 +435,40 @@ def _context_counter(sent) -> Callable:
     return run
 
 
-def best_classes(both: np.ndarray, old: np.ndarray, word: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+def gain_tables(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What x more of a neighbour of class j add to each class's sum, and what x fewer take: [x * k + j, class], x < TABLED."""
+    k = len(cells)
+    x = np.arange(TABLED)[:, None, None]
+    add, less = _xlogx(cells + x) - _xlogx(cells), _xlogx(cells) - _xlogx(np.maximum(cells - x, 0))
+    return add.reshape(-1, k), less.reshape(-1, k)
+
+
+def best_classes(both: np.ndarray, old: np.ndarray, word: np.ndarray, at: np.ndarray, n: np.ndarray, tables: list | None = None) -> np.ndarray:
     """The best class of each word, every other word staying where it is; a tie leaves a word in its class.
 
     both: the class bigrams with the words in their old classes. An entry says that `word` (a place in old, ascending)
-    has n neighbours of the kind `at` (see ENTRY).
+    has n neighbours of the kind `at` (see ENTRY). tables: gain_tables of both.T and of both.
     """
     k, m = len(both), len(old)
+    tables = tables or [gain_tables(both.T), gain_tables(both)]
     table = np.bincount(word * (2 * CLASSES + 1) + at, n, m * (2 * CLASSES + 1)).reshape(m, -1)
     out, into, own = table[:, :k], table[:, CLASSES : CLASSES + k], table[:, -1:]
     all_words = np.arange(m)
     gain = np.zeros((m, k))
-    for side, cells, other in ((0, both.T, into), (CLASSES, both, out)):
+    for side, cells, other, (add, less) in ((0, both.T, into, tables[0]), (CLASSES, both, out, tables[1])):
         mine = (at >= side) & (at < side + k)
-        each_w, each_j, each_x = word[mine], at[mine] - side, n[mine].astype(float)
-        # a neighbour that stands there once, of another class than the word's own: what it adds to a cell is in a table
-        single = (each_x == 1) & (each_j != old[each_w])
-        once = np.zeros((m, k))
-        once[each_w[single], each_j[single]] = 1
-        its_gain = once @ (_xlogx(cells + 1) - _xlogx(cells))
-        without = _xlogx(cells) - _xlogx(np.maximum(cells - 1, 0))
-        its_gain[all_words, old] = (once * without[:, old].T).sum(1)
-        gain += its_gain
-        each_w, each_j, each_x = each_w[~single], each_j[~single], each_x[~single]
-        for i in range(0, len(each_w), 1 << 14):
-            w, j, x = each_w[i : i + (1 << 14)], each_j[i : i + (1 << 14)], each_x[i : i + (1 << 14)]
+        each_w, each_j, each_x = word[mine], at[mine] - side, n[mine]
+        # few neighbours, of another class than the word's own: what they add to a cell is in a table
+        few = (each_x < TABLED) & (each_j != old[each_w])
+        few_w, key = each_w[few], each_x[few] * k + each_j[few]
+        for i in range(0, len(key), 1 << 12):
+            w = few_w[i : i + (1 << 12)]
+            head = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            gain[w[head]] += np.add.reduceat(add[key[i : i + (1 << 12)]], head)
+        gain[all_words, old] += np.bincount(few_w, less[key, old[few_w]] - add[key, old[few_w]], m)
+        each_w, each_j, each_x = each_w[~few], each_j[~few], each_x[~few].astype(float)
+        for i in range(0, len(each_w), 1 << 12):
+            w, j, x = each_w[i : i + (1 << 12)], each_j[i : i + (1 << 12)], each_x[i : i + (1 << 12)]
             base = cells[j]  # of each class the cell that the entry would join, with the word taken out
             base[np.arange(len(w)), old[w]] -= x
             its = np.flatnonzero(j == old[w])
@@ -406,13 +476,15 @@ def best_classes(both: np.ndarray, old: np.ndarray, word: np.ndarray, at: np.nda
             base[its, j[its]] -= own[w[its], 0]
             head = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
             gain[w[head]] += np.add.reduceat(_xlogx(base + x[:, None]) - _xlogx(base), head)
-    cell = np.tile(both.diagonal(), (m, 1))
-    cell[all_words, old] -= (out + into)[all_words, old] + own[:, 0]
-    gain += _xlogx(cell + out + into + own) + _xlogx(cell) - _xlogx(cell + out) - _xlogx(cell + into)
+    w, c = np.nonzero(((out > 0) & (into > 0)) | (own > 0))  # where a class meets itself in more ways than one
+    o, i, self = out[w, c], into[w, c], own[w, 0]
+    cell = both[c, c] - np.where(c == old[w], o + i + self, 0)
+    gain[w, c] += _xlogx(cell + o + i + self) + _xlogx(cell) - _xlogx(cell + o) - _xlogx(cell + i)
     for margin, size in ((both.sum(1), out.sum(1) + own[:, 0]), (both.sum(0), into.sum(1) + own[:, 0])):
-        rest = np.tile(margin, (m, 1))
-        rest[all_words, old] -= size
-        gain -= _xlogx(rest + size[:, None]) - _xlogx(rest)
+        sizes, of = np.unique(size, return_inverse=True)
+        gain -= (_xlogx(margin + sizes[:, None]) - _xlogx(margin))[of]
+        mine = margin[old]
+        gain[all_words, old] -= 2 * _xlogx(mine) - _xlogx(mine - size) - _xlogx(mine + size)
     new = gain.argmax(1)
     return np.where(gain[all_words, new] > gain[all_words, old] + 1e-6, new, old)
 
@@ -420,6 +492,7 @@ def best_classes(both: np.ndarray, old: np.ndarray, word: np.ndarray, at: np.nda
 def _assigner(sent_both) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = sent_both.value
+        tables = [gain_tables(both.T), gain_tables(both)]
         words, olds, lengths, entries = [], [], {"once": [], "more": []}, {"once": [], "more": []}
         for batch in batches:
             words.append(batch.column("word").to_numpy())
@@ -437,20 +510,22 @@ def _assigner(sent_both) -> Callable:
         kind, times = np.r_[single, more["at"]], np.r_[np.ones(len(single), np.int64), more["n"]]
         key, n = distinct(w.astype(np.int64) * 256 + kind, times)
         w, kind = key >> 8, key & 255
+        as_second = kind >= CLASSES  # each token of a word has one before it
+        count = np.bincount(w[as_second], n[as_second], len(word)).astype(np.int64)
         for i in range(0, len(word), 1 << 12):
             a, b = np.searchsorted(w, [i, i + (1 << 12)])
-            best = best_classes(both, old[i : i + (1 << 12)].astype(np.int64), w[a:b] - i, kind[a:b], n[a:b])
-            yield pa.record_batch({"word": word[i : i + (1 << 12)], "class": best.astype(np.int32)})
+            best = best_classes(both, old[i : i + (1 << 12)].astype(np.int64), w[a:b] - i, kind[a:b], n[a:b], tables)
+            yield pa.record_batch({"word": word[i : i + (1 << 12)], "class": best.astype(np.int32), "n": count[i : i + (1 << 12)]})
 
     return run
 
 
 def sweep(blocks: DataFrame, v: Vocabulary, known: np.ndarray, suffix: np.ndarray, both: np.ndarray) -> DataFrame:
-    """word, class: the best class of every training word, by its counts against the classes as they are."""
+    """word, class, n: the best class of every training word, by its counts against the classes as they are."""
     context = blocks.sparkSession.sparkContext.broadcast((v, known, suffix))
     each = blocks.mapInArrow(_context_counter(context), "word bigint, class int, once binary, more binary")
     dealt = each.repartition(storage.tasks(blocks.sparkSession, v.tokens, SWEEP_TOKENS), "word")
-    return dealt.mapInArrow(_assigner(blocks.sparkSession.sparkContext.broadcast(both)), "word bigint, class int")
+    return dealt.mapInArrow(_assigner(blocks.sparkSession.sparkContext.broadcast(both)), "word bigint, class int, n bigint")
 
 
 @dataclass
@@ -481,11 +556,11 @@ def learn(blocks: DataFrame, v: Vocabulary, counts: DataFrame) -> tuple[Model, D
     found = None
     for _ in range(WORD_SWEEPS):
         moved = sweep(blocks if found is None else found, v, known, suffix, both)
-        now = storage.materialize(moved.join(counts.select("word", "n"), "word"), "brown-classes")
+        now = storage.materialize(moved, "brown-classes")
         at_known = now.where((F.col("n") >= max(1, v.tokens * KNOWN_SHARE)) | (F.col("word") == int(END))).toArrow().to_pandas()
         own = known.copy()
         own[Lookup(v.known)(at_known.word.to_numpy(np.int64).view(np.uint64))] = at_known["class"]
-        next_found = storage.materialize(resolved(blocks if found is None else found, now), "brown-blocks")
+        next_found = resolved(blocks if found is None else found, now, v.tokens)
         next_both = _bigrams(next_found, own, suffix, k, v.end)
         if likelihood(next_both) <= likelihood(both):
             storage.discard(next_found)
@@ -493,7 +568,7 @@ def learn(blocks: DataFrame, v: Vocabulary, counts: DataFrame) -> tuple[Model, D
         storage.discard(blocks if found is None else found)
         found, known, both, classes = next_found, own, next_both, now
     if found is None:
-        found = storage.materialize(resolved(blocks, classes), "brown-blocks")
+        found = resolved(blocks, classes, v.tokens)
     rest = classes.where((F.col("n") < max(1, v.tokens * UNIT_SHARE)) & (F.col("word") != int(END)))
     rest = rest.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas()
     rare_tokens, rare_types = np.zeros(k), np.zeros(k)
