@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,26 @@ def test_best_class_is_that_of_whole_likelihoods():
 
 def test_empty_table(empty):
     assert brown.brown_scores(empty, F.lit(False)).count() == 0
+
+
+def test_gains_of_few_and_many_neighbours_are_one_formula(monkeypatch):
+    rng = np.random.default_rng(3)
+    k, m = 5, 40
+    old = rng.integers(0, k, m)
+    both = rng.integers(5000, 9000, (k, k)).astype(float)
+    word, at = (x.ravel() for x in np.meshgrid(np.arange(m), np.r_[:k, brown.CLASSES : brown.CLASSES + k, 2 * brown.CLASSES], indexing="ij"))
+    n = rng.integers(1, 60, len(word))
+    some = brown.best_classes(both, old, word, at, n)
+    monkeypatch.setattr(brown, "TABLED", 1)
+    assert (some == brown.best_classes(both, old, word, at, n)).all()
+    assert (some != old).any()
+
+
+def test_answers_stand_in_the_order_of_what_is_asked():
+    h = np.array([3, 9, 1 << 63], np.uint64)
+    asked = pa.table({"part": pa.array([0], pa.int32()), "block": pa.array([7], pa.int64()), "words": pa.array([h.tobytes()], pa.binary())})
+    rows = lambda w, c, n: pa.table({"word": pa.array(np.array(w, np.uint64).view(np.int64)), "class": pa.array(c, pa.int32()), "n": pa.array(n, pa.int64())})
+    got = brown._answer(asked, rows([1 << 63, 3], [2, 5], [40, 1])).to_pylist()[0]
+    assert list(got["class"]) == [5, brown.NONE, 2] and np.frombuffer(got["n"], np.int64).tolist() == [1, 0, 40]
+    none = brown._answer(asked, rows([], [], [])).to_pylist()[0]
+    assert list(none["class"]) == [brown.NONE] * 3
