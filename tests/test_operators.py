@@ -157,13 +157,43 @@ def test_trees(spark):
     assert [r.id for r in first.collect()] == [5, 3] and rest.count() == 3
 
 
+TREE = "id bigint, parent_id bigint, pos bigint, label string, url string"
+
+
+def test_deep_and_broken_trees(spark):
+    chain = [(i, i - 1 if i else None, 0, f"n{i}", f"u{i}") for i in range(200)]
+    found = {r.id: r for r in trees.flatten(spark.createDataFrame([*chain, (900, 901, 0, "lost", "x")], TREE)).collect()}
+    assert len(found) == 200 and found[199].depth == 200 and found[199].root == 0 and found[199].labels == [f"n{i}" for i in range(200)]
+    with pytest.raises(ValueError):
+        trees.flatten(spark.createDataFrame([(1, None, 0, "r", None), (2, 4, 0, "a", None), (3, 2, 0, "b", None), (4, 3, 0, "c", None), (5, 4, 0, "d", None)], TREE))
+    assert trees.flatten(spark.createDataFrame([], TREE)).count() == 0
+
+
+def test_neighbours_cross_roots_and_ranges(spark):
+    rows = [(r, None, r, f"r{r}", None) for r in range(5)] + [(100 + i, i % 5, i, f"p{i}", f"u{i}") for i in range(60)] + [(300, 0, 500, "empty", "")]
+    got = {r.url: (r.before, r.after) for r in trees.neighbours(trees.flatten(spark.createDataFrame(rows, TREE))).collect()}
+    order = [f"u{i}" for r in range(5) for i in range(r, 60, 5)]
+    assert got == {u: (b, a) for u, b, a in zip(order, [None, *order], [*order[1:], None], strict=False)}
+
+
+def test_section_ids_pass_by_taken_ones(spark):
+    titles = spark.createDataFrame([(1, i, t) for i, t in enumerate(["x", "x-1", "x", "x", "x-1"])] + [(2, 0, "x")], "page_id bigint, pos int, title string")
+    assert [r.section_id for r in pages.unique_ids(titles).orderBy("page_id", "pos").collect()] == ["x", "x-1", "x-2", "x-3", "x-1-1", "x"]
+
+
 def test_layout(spark):
     box = "doc_id bigint, page int, conf double, x0 double, y0 double, x1 double, y1 double"
     df = spark.createDataFrame([(1, 1, 0.9, 0.0, 0.0, 10.0, 10.0), (1, 1, 0.8, 1.0, 0.0, 11.0, 10.0), (1, 1, 0.7, 8.0, 8.0, 20.0, 20.0)], box)
     assert sorted(r.conf for r in layout.non_maximum_suppression(df).collect()) == [0.7, 0.9]
     caps = spark.createDataFrame([(1, 1, 1.0, 0.0, 0.0, 30.0, 4.0)], box)
-    clipped = {r.conf: (r.y0, r.y1) for r in layout.clip_by_captures(df, caps).collect()}
+    clipped = {r.conf: (r.y0, r.y1) for r in layout.clip_by_captures(df, caps, "conf").collect()}
     assert clipped[0.9] == (4.0, 10.0) and clipped[0.7] == (8.0, 20.0)
+    square = spark.createDataFrame([(2, 1, 0.5, 0.0, 0.0, 100.0, 100.0), (3, 1, 0.4, 5.0, 5.0, 5.0, 9.0)], box)
+    right, most = spark.createDataFrame([(2, 1, 1.0, 90.0, 0.0, 120.0, 100.0)], box), spark.createDataFrame([(2, 1, 1.0, 0.0, 0.0, 100.0, 51.0)], box)
+    assert {r.conf: (r.y0, r.y1) for r in layout.clip_by_captures(square, right, "conf").collect()} == {0.5: (0.0, 100.0), 0.4: (5.0, 9.0)}
+    assert {r.conf for r in layout.clip_by_captures(square, most, "conf").collect()} == {0.4}
+    both = spark.createDataFrame([(2, 1, 2.0, 0.0, 60.0, 100.0, 99.0), (2, 1, 1.0, 0.0, 0.0, 100.0, 50.0)], box)
+    assert {(r.y0, r.y1) for r in layout.clip_by_captures(square.where("conf = 0.5"), both, "conf").collect()} == {(50.0, 60.0)}
     assert layout.outside_tables(df, caps).count() == 1
     rects = spark.createDataFrame([(1, 0.0, 0.0, 5.0, 2.0), (1, 6.0, 0.2, 5.0, 2.0), (1, 0.0, 5.0, 3.0, 2.0)], "group bigint, x double, y double, w double, h double")
     assert sorted((r.y, r.w) for r in layout.merge_lines(rects).collect()) == [(0.0, 11.0), (5.0, 3.0)]
@@ -175,6 +205,9 @@ def test_contents_match(spark):
     out = {r.pos: r for r in toc.match(entries, blocks).collect()}
     assert out[0].similarity == 1.0 and out[1].matched_text == "Safety rules and more" and 0.8 <= out[2].similarity < 1 and not out[3].matched
     assert toc.match_rate(toc.match(entries, blocks)).first().percent == 75.0
+    twice = spark.createDataFrame([(1, 0, "alpha beta", 1, True), (1, 1, "beta", 1, True), (1, 2, "alpha", 1, False)], "doc_id bigint, pos int, clean_text string, page_number int, is_section boolean")
+    words = spark.createDataFrame([(1, 1, 0, "alpha"), (1, 1, 1, "beta")], "doc_id bigint, page int, block_idx int, text string")
+    assert {r.pos: r.matched for r in toc.match(twice, words).collect()} == {0: True, 1: False, 2: False}
     listed = spark.createDataFrame([(1, 1, "cover"), (1, 2, "Contents\nA .... 3"), (1, 3, "B ..... 9"), (1, 4, "text")], "doc_id bigint, page int, text string")
     assert tuple(toc.toc_pages(listed).first()) == (1, 2, 3)
 

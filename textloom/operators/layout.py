@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import column_of
@@ -40,36 +40,34 @@ def non_maximum_suppression(regions: DataFrame, most: float = IOU, by: tuple[str
     return regions.groupBy(*by).applyInPandas(keep, regions.schema)
 
 
-def clip_by_captures(regions: DataFrame, captures: DataFrame, drop: float = DROP_SHARE, least: float = LEAST_HEIGHT) -> DataFrame:
-    """Text regions without what captured ones (figures, tables) cover: gone if more than a share is covered, else cut at
-    the nearer edge, one capture after another, top to bottom; too low ones go."""
-
-    regions_columns = regions.columns
-
-    def clip(key, page: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        taken = taken.sort_values(["y0", "x0"])[_BOX].to_numpy(float) if "y0" in taken.columns else []
-        for row in page.to_dict("records") if "y0" in page.columns else []:
-            box = np.array([row[c] for c in _BOX], float)
-            for cap in taken:
-                area, shared = _areas(box[None])[0], _shared(box, cap[None])[0]
-                if shared <= 0:
-                    continue
-                if area <= 0 or shared / area > drop:
-                    box = None
-                    break
-                if cap[1] <= box[1]:
-                    box[1] = min(cap[3], box[3])
-                else:
-                    box[3] = max(cap[1], box[1])
-                if box[3] - box[1] < least:
-                    box = None
-                    break
-            if box is not None:
-                out.append({**row, **dict(zip(_BOX, box, strict=True))})
-        return pd.DataFrame(out, columns=regions_columns)
-
-    return regions.groupBy("doc_id", "page").cogroup(captures.groupBy("doc_id", "page")).applyInPandas(clip, regions.schema)
+def clip_by_captures(regions: DataFrame, captures: DataFrame, order: str = "nth", drop: float = DROP_SHARE, least: float = LEAST_HEIGHT) -> DataFrame:
+    """Text regions without what captured ones (figures, tables) of their page cover, one after another by `order`.
+
+    What is left of a region goes whole where a capture covers more than a share of the region's first area; a capture
+    that covers it wider than high cuts it, from its top on if it begins lower than the region, else down to its bottom.
+    Empty and low ones go in the end. Pages without captures stay as they are.
+    """
+    place = F.array_sort(F.collect_list(F.struct(F.col(order).alias("nth"), *[F.col(c).cast("double").alias(c) for c in _BOX])))
+    taken = captures.groupBy(F.col("doc_id").alias("_doc"), F.col("page").alias("_page")).agg(place.alias("_taken"))
+    joined = regions.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("page").eqNullSafe(F.col("_page")), "left")
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+
+    def cut(left: Column, cap: Column) -> Column:
+        wide = F.least(F.col("x1"), cap["x1"]) - F.greatest(F.col("x0"), cap["x0"])
+        high = F.least(left["y1"], cap["y1"]) - F.greatest(left["y0"], cap["y0"])
+        apart = left["gone"] | (wide <= 0) | (high <= 0)
+        gone = left["gone"] | ~apart & (wide * high / area > drop)
+        cuts, lower = ~apart & ~gone & (high < wide), cap["y0"] > left["y0"]
+        return F.struct(
+            F.when(cuts & ~lower, F.greatest(left["y0"], cap["y1"])).otherwise(left["y0"]).alias("y0"),
+            F.when(cuts & lower, F.least(left["y1"], cap["y0"])).otherwise(left["y1"]).alias("y1"),
+            gone.alias("gone"),
+        )
+
+    start = F.struct(F.col("y0").cast("double").alias("y0"), F.col("y1").cast("double").alias("y1"), F.lit(False).alias("gone"))
+    folded = joined.where(F.col("_taken").isNull() | (area > 0)).withColumn("_left", F.when(F.col("_taken").isNull(), start).otherwise(F.aggregate("_taken", start, cut)))
+    left = folded.where(F.col("_taken").isNull() | ~F.col("_left.gone") & (F.col("_left.y1") > F.col("_left.y0")) & (F.col("_left.y1") - F.col("_left.y0") >= least))
+    return left.select(*[F.col(f"_left.{c}").alias(c) if c in ("y0", "y1") else c for c in regions.columns])
 
 
 def outside_tables(blocks: DataFrame, tables: DataFrame) -> DataFrame:

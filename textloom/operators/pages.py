@@ -27,10 +27,25 @@ def page_items(pages: DataFrame, most: int = PAGE_MOST) -> DataFrame:
 
 
 def unique_ids(titles: DataFrame) -> DataFrame:
-    """page_id, pos and a section id for each title: of like slugs on a page the second has -1, the third -2."""
-    slugged = titles.withColumn("slug", T.slug(F.col("title")))
-    nth = F.row_number().over(Window.partitionBy("page_id", "slug").orderBy("pos")) - 1
-    return slugged.select("page_id", "pos", F.concat("slug", F.when(nth > 0, F.concat(F.lit("-"), nth.cast("string"))).otherwise("")).alias("section_id"))
+    """page_id, pos and a section id for each title: of like slugs on a page the second has -1, the third -2, or the next
+    number whose id no title before has."""
+
+    def number(page: pd.DataFrame) -> pd.DataFrame:
+        taken: set[str] = set()
+        tried: dict[str, int] = {}
+        page, ids = page.sort_values("pos"), []
+        for slug in page.slug:
+            name, n = slug, tried.get(slug, 0)
+            while name in taken:
+                n += 1
+                name = f"{slug}-{n}"
+            tried[slug] = n
+            taken.add(name)
+            ids.append(name)
+        return pd.DataFrame({"page_id": page.page_id, "pos": page.pos, "section_id": ids})
+
+    slugged = titles.select("page_id", "pos", T.slug(F.col("title")).alias("slug"))
+    return slugged.groupBy("page_id").applyInPandas(number, "page_id bigint, pos int, section_id string")
 
 
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

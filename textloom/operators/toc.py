@@ -42,6 +42,9 @@ def _match(key, entries: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
     out, used = [], set()
     blocks = blocks.sort_values(["page", "block_idx"]).reset_index(drop=True)
     for e in entries.sort_values("pos").itertuples():
+        if not e.is_section:
+            out.append((key[0], e.pos, False, None, None, None, []))
+            continue
         best, near = None, []
         own = blocks[(blocks.page >= e.page_number - WINDOW) & (blocks.page <= e.page_number + WINDOW)] if pd.notna(e.page_number) else blocks
         for b in own.itertuples():
@@ -53,6 +56,7 @@ def _match(key, entries: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
                 break
             if e.key_text and following and f"{b.key_text} {following}".startswith(e.key_text):
                 best = (1.0, b.Index, f"{b.text} {blocks.text[b.Index + 1]}")
+                used.add(b.Index + 1)
                 break
             ratio = SequenceMatcher(None, e.key_text, b.key_text).ratio()
             if ratio >= FUZZY and (best is None or ratio > best[0]):
@@ -72,8 +76,10 @@ def _match(key, entries: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
 
 def match(entries: DataFrame, blocks: DataFrame) -> DataFrame:
     """Each entry's heading: a block that begins with it, or two in a row that do, else the most similar by FUZZY or more;
-    a block serves one entry, in the order of the contents. Else up to three suggestions."""
-    e = entries.select("doc_id", "pos", "page_number", match_key(F.col("clean_text")).alias("key_text"))
+    a block serves one entry (both of two do), in the order of the contents. Else up to three suggestions. Where entries
+    have a column is_section, those it is false for (figures, tables) have neither."""
+    section = F.coalesce("is_section", F.lit(True)) if "is_section" in entries.columns else F.lit(True)
+    e = entries.select("doc_id", "pos", "page_number", match_key(F.col("clean_text")).alias("key_text"), section.alias("is_section"))
     b = blocks.select("doc_id", "page", "block_idx", "text", match_key(F.col("text")).alias("key_text"))
     return e.groupBy("doc_id").cogroup(b.groupBy("doc_id")).applyInPandas(_match, _MATCH)
 

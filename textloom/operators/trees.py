@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 32
+from ..stored import written
 
 
-def flatten(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def flatten(nodes: DataFrame) -> DataFrame:
     """Every node with its depth (roots: 1), path of labels, root and order (a list of positions that sorts in preorder).
 
-    A level is joined at a time, as often as the tree is deep.
+    Each round doubles the known end of every path, so a tree of depth d takes log2(d) joins, each written. Nodes whose
+    ancestors are not all there are left out; a cycle is an error.
     """
-    level = nodes.where(F.col("parent_id").isNull()).select("id", "parent_id", "pos", "label", "url", F.lit(1).alias("depth"), F.array("label").alias("labels"), F.col("id").alias("root"), F.array(F.struct("pos", "id")).alias("order"))
-    out = level
-    for depth in range(2, max_depth + 1):
-        if level.isEmpty():
-            break
-        up = level.select(F.col("id").alias("parent_id"), "labels", "root", "order")
-        level = nodes.join(up, "parent_id").select("id", "parent_id", "pos", "label", "url", F.lit(depth).alias("depth"), F.concat("labels", F.array("label")).alias("labels"), "root", F.concat("order", F.array(F.struct("pos", "id"))).alias("order"))
-        out = out.unionByName(level)
-    return out
+    own = nodes.select("id", "parent_id", "pos", "label", "url", F.array("label").alias("labels"), F.array(F.struct("pos", "id")).alias("order"), F.col("parent_id").alias("above"))
+    now = written(own, "tree")
+    whole, part = now.where("above is null"), now.where("above is not null")
+    while not part.isEmpty():
+        up = whole.unionByName(part).select(F.col("id").alias("above"), F.col("above").alias("next"), F.col("labels").alias("up_labels"), F.col("order").alias("up_order"))
+        longer = part.join(up, "above").select("id", "parent_id", "pos", "label", "url", F.concat("up_labels", "labels").alias("labels"), F.concat("up_order", "order").alias("order"), F.col("next").alias("above"))
+        now = written(longer, "tree")
+        whole, part = whole.unionByName(now.where("above is null")), now.where("above is not null")
+        if not part.where(F.exists("order", lambda x: x["id"] == F.col("above"))).isEmpty():
+            raise ValueError("a node of the tree is among its own ancestors")
+    return whole.select("id", "parent_id", "pos", "label", "url", F.size("labels").alias("depth"), "labels", F.col("order")[0]["id"].alias("root"), "order")
 
 
 def breadcrumbs(flat: DataFrame) -> DataFrame:
@@ -34,9 +37,17 @@ def counts_by_root(flat: DataFrame, excluded: str = "glossary:") -> DataFrame:
 
 
 def neighbours(flat: DataFrame) -> DataFrame:
-    """The documents before and after each in preorder, within its root."""
-    own = Window.partitionBy("root").orderBy("order")
-    return flat.where(F.col("url").isNotNull()).select("id", "url", F.lag("url").over(own).alias("before"), F.lead("url").over(own).alias("after"))
+    """The documents (nodes with a url that isn't empty) before and after each in preorder, over the whole menu.
+
+    Ranges of the order are numbered and written; what crosses their borders comes from one row of each range.
+    """
+    ranges = flat.where(F.col("url") != "").select("id", "url", "order").repartitionByRange("order")
+    dealt = written(ranges.withColumn("part", F.spark_partition_id()), "preorder")
+    ends = dealt.groupBy("part").agg(F.min_by("url", "order").alias("first"), F.max_by("url", "order").alias("last"))
+    borders = ends.select("part", F.lag("last").over(Window.orderBy("part")).alias("_before"), F.lead("first").over(Window.orderBy("part")).alias("_after"))
+    own = Window.partitionBy("part").orderBy("order")
+    near = dealt.withColumn("before", F.lag("url").over(own)).withColumn("after", F.lead("url").over(own))
+    return near.join(F.broadcast(borders), "part").select("id", "url", F.coalesce("before", "_before").alias("before"), F.coalesce("after", "_after").alias("after"))
 
 
 def descendants(flat: DataFrame, node: int) -> DataFrame:

@@ -122,7 +122,7 @@ SQL = {
 SELECT doc_id, abbr, count(*) AS n, any_value(en) AS en FROM f JOIN g USING (abbr) GROUP BY doc_id, abbr""",
     "menu_flatten": _TREE + "SELECT url, array_to_string(labels, ' > ') AS path FROM flat WHERE url IS NOT NULL",
     "section_counts": _TREE + "SELECT root, count(*) FILTER (WHERE url IS NOT NULL AND NOT starts_with(url, 'glossary:')) AS documents FROM flat GROUP BY root",
-    "menu_neighbours": _TREE + "SELECT id, url, lag(url) OVER w AS before, lead(url) OVER w AS after FROM flat WHERE url IS NOT NULL WINDOW w AS (PARTITION BY root ORDER BY ord)",
+    "menu_neighbours": _TREE + "SELECT id, url, lag(url) OVER w AS before, lead(url) OVER w AS after FROM flat WHERE url <> '' WINDOW w AS (ORDER BY ord)",
     "menu_filter_keep_ancestors": _TREE + ", hit AS (SELECT id, ord FROM flat WHERE contains(label, 'page 1')), keep AS (SELECT DISTINCT unnest(list_transform(ord, lambda x: x.id)) AS id FROM hit) SELECT id, label FROM nodes WHERE id IN (SELECT id FROM keep)",
     "menu_target_paths": _TREE + "SELECT id, array_to_string(list_transform(labels, lambda x: replace(x, ' ', '-')), '/') || '/' || replace(label, ' ', '-') || '.html' AS path FROM flat",
     "menu_sections": _TREE + "SELECT id, label FROM nodes WHERE parent_id IS NULL AND id IN (SELECT parent_id FROM nodes)",

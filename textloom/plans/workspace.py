@@ -29,8 +29,9 @@ def regions_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def regions_clipped(spark: SparkSession, d: str) -> DataFrame:
-    boxes = _boxes(spark, d)
-    return layout.clip_by_captures(boxes.where("nth > 2"), boxes.where("nth <= 2"))
+    """Each order is a page; its first two boxes are captures."""
+    boxes = _boxes(spark, d).withColumn("doc_id", F.col("own"))
+    return layout.clip_by_captures(boxes.where("nth > 2"), boxes.where("nth <= 2")).select("own", "nth", "x0", F.round("y0", 6).alias("y0"), "x1", F.round("y1", 6).alias("y1"))
 
 
 def blocks_outside_tables(spark: SparkSession, d: str) -> DataFrame:
@@ -128,23 +129,35 @@ def contents_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def streamed_visits(spark: SparkSession, d: str) -> DataFrame:
-    """events as a stream to its end: visits that the watermark has closed."""
-    import uuid
-
+    """events as a stream to its end: a last event, days after all others, moves the watermark past every visit."""
+    from ..stored import shared_path, written
     from ..streaming import visits
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/textloom-streams-{uuid.uuid4().hex}"
-    path = f"{root.rstrip('/')}/visits-{uuid.uuid4().hex}"
-    source = table(spark, d, "events")
-    stream = spark.readStream.schema(source.schema).parquet(f"{d}/[e]vents.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    query = visits.visits(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start()
+    path = shared_path(spark, "visits")
+    events = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    last = written(events.select(F.lit(None).cast("bigint").alias("user_id"), "ts").agg(F.max("user_id").alias("user_id"), (F.max("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts")), "last-event")
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/[e]vents.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    closing = spark.readStream.schema(last.schema).parquet(last.inputFiles()[0].rsplit("/", 1)[0])
+    query = visits.visits(stream.unionByName(closing)).writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema("user_id bigint, first_ts timestamp, last_ts timestamp, events bigint").parquet(path)
+    found = spark.read.schema("user_id bigint, first_ts timestamp, last_ts timestamp, events bigint").parquet(path)
+    return found.withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz")).withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
 
 
 QUERIES = {f.__name__: f for f in (regions_kept, regions_clipped, blocks_outside_tables, reading_order, overlapping_pairs, dominant_sizes, valid_sessions, page_overlay, pages_after_cancel, translated_counts, structure_profile, sequence_numbers, nearest_figures, memo_search, contents_match_rate, contents_candidates, streamed_visits)}
 _STORED = "stored AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS page, role AS status FROM conversations), ranges AS (SELECT conv_id AS doc_id, greatest(1, CAST(max(turn) AS INTEGER)) AS last FROM conversations GROUP BY conv_id), active AS (SELECT doc_id, CAST(unnest(range(1, last + 1)) AS INTEGER) AS page FROM ranges)"
 SQL = {
+    "streamed_visits": """WITH b AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 120 SECOND THEN 0 ELSE 1 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS visit FROM b) SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events FROM n GROUP BY user_id, visit""",
+    "regions_clipped": f"""WITH {_BOXES}, caps AS (SELECT own, page, list({{'x0': x0, 'y0': CAST(y0 AS DOUBLE), 'x1': x1, 'y1': CAST(y1 AS DOUBLE), 'gone': false, 'area': CAST(0 AS DOUBLE)}} ORDER BY nth, x0, y0, x1, y1) AS cs FROM boxes WHERE nth <= 2 GROUP BY own, page),
+r AS (SELECT b.own, b.nth, b.x0, b.x1, b.y0, b.y1, cs, CASE WHEN cs IS NOT NULL THEN list_reduce(list_prepend({{'x0': b.x0, 'y0': CAST(b.y0 AS DOUBLE), 'x1': b.x1, 'y1': CAST(b.y1 AS DOUBLE), 'gone': false, 'area': CAST((b.x1 - b.x0) * (b.y1 - b.y0) AS DOUBLE)}}, cs), lambda a, c:
+CASE WHEN a.gone OR least(a.x1, c.x1) <= greatest(a.x0, c.x0) OR least(a.y1, c.y1) <= greatest(a.y0, c.y0) THEN a
+WHEN (least(a.x1, c.x1) - greatest(a.x0, c.x0)) * (least(a.y1, c.y1) - greatest(a.y0, c.y0)) / a.area > 0.5 THEN {{'x0': a.x0, 'y0': a.y0, 'x1': a.x1, 'y1': a.y1, 'gone': true, 'area': a.area}}
+WHEN least(a.y1, c.y1) - greatest(a.y0, c.y0) >= least(a.x1, c.x1) - greatest(a.x0, c.x0) THEN a
+WHEN c.y0 > a.y0 THEN {{'x0': a.x0, 'y0': a.y0, 'x1': a.x1, 'y1': least(a.y1, c.y0), 'gone': false, 'area': a.area}}
+ELSE {{'x0': a.x0, 'y0': greatest(a.y0, c.y1), 'x1': a.x1, 'y1': a.y1, 'gone': false, 'area': a.area}} END) END AS f FROM boxes b LEFT JOIN caps USING (own, page) WHERE b.nth > 2)
+SELECT own, nth, x0, round(CASE WHEN cs IS NULL THEN y0 ELSE f.y0 END, 6) AS y0, x1, round(CASE WHEN cs IS NULL THEN y1 ELSE f.y1 END, 6) AS y1 FROM r
+WHERE cs IS NULL OR (x1 - x0) * (y1 - y0) > 0 AND NOT f.gone AND f.y1 > f.y0 AND f.y1 - f.y0 >= 5""",
     "blocks_outside_tables": f"WITH {_BOXES} SELECT own, nth FROM boxes a WHERE nth > 1 AND NOT EXISTS (SELECT 1 FROM boxes t WHERE t.nth = 1 AND t.doc_id = a.doc_id AND t.page = a.page AND a.x0 < t.x1 AND a.x1 > t.x0 AND a.y0 < t.y1 AND a.y1 > t.y0)",
     "reading_order": f"WITH {_BOXES} SELECT own, nth, CASE WHEN x1 - x0 > 60 THEN 'full' WHEN (x0 + x1) / 2 < 50 THEN 'left' ELSE 'right' END AS \"column\" FROM boxes WHERE nth <= 4",
     "overlapping_pairs": f"""WITH {_BOXES}, p AS (SELECT own, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS s, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS t FROM boxes a JOIN boxes b USING (own) WHERE a.nth = 1 AND b.nth = 2)
