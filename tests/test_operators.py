@@ -283,3 +283,20 @@ def test_settings_and_paths(spark):
     assert docx.body_html(body) == '<h1><strong>T</strong></h1><ul><li>x</li><ul><li>y</li></ul></ul><table><tr><td rowspan="2">a</td><td colspan="2">b</td></tr><tr><td>c</td><td>d</td></tr></table>'
     heads, places = spark.createDataFrame([(1, "a", 0.0), (1, "b", 50.0)], "doc_id bigint, id string, offset double"), spark.createDataFrame([(1, 49.0), (1, 60.0)], "doc_id bigint, at double")
     assert {r.at: r.id for r in trees.active_headings(heads, places).collect()} == {49.0: "a", 60.0: "b"}
+
+
+
+def test_nearest_vectors_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_BYTES", 8 * 3 * 40)  # several blocks of both sides
+    monkeypatch.setattr(search, "SLICE", 16)
+    rng = random.Random(1)
+    vectors = {i: [float(rng.randrange(4)) for _ in range(3)] if i % 3 else [1.0, 2.0, 3.0] for i in range(150)}
+    rows = [*vectors.items(), (900, None), (901, [1.0])]
+    df = spark.createDataFrame(rows, "doc_id bigint, embedding array<float>")
+    asked = df.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "query_id")
+    got = {}
+    for r in search.knn(df, asked, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    assert got == {q: sorted(vectors, key=lambda i: (far(vectors[q], vectors[i]), i))[:5] for q in vectors if q % 2 == 0}
+    assert search.knn(df.limit(0), asked, 5).count() == 0 and search.knn(df, asked.limit(0), 5).count() == 0
