@@ -26,7 +26,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _grown(name: str, base: int, n: int) -> np.ndarray:
-    if len(_POWERS.get(name, ())) < n:
+    if name not in _POWERS or len(_POWERS[name]) < n:
         steps = np.full(max(n, CHUNK_BYTES) + 1, base % (1 << 64), dtype=np.uint64)
         steps[0] = 1
         grown = np.multiply.accumulate(steps)
