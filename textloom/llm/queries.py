@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, brown, decontaminate, jaccard_join, line_spread, mixing, repeats, storage, token_counts, token_files, toxicity
+from . import ann, bpe, brown, conversation_repair, decontaminate, jaccard_join, line_spread, merkle, mixing, repeats, storage, token_counts, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,7 +65,26 @@ def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-_QUERIES: list[Query] = [op1_brown_scores, op2_length_histogram, op3_multiprobe_neighbours, op4_pfair_mix, op5_benchmark_matches, op6_spread_lines, op7_toxicity, op8_jaccard_components, op9_token_files, op10_repeated_strings]
+def op11_repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = storage.load(spark, sf_dir, "conversations")
+    return conversation_repair.audited(conversations, conversation_repair.damaged(conversations))
+
+
+def op12_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = storage.load(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.decode(bpe.encode(docs))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = storage.load(spark, sf_dir, "documents")
+    n_chars = F.col("n_chars").cast("decimal(38,0)") + 1
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, merkle.leaf([n_chars if c == "n_chars" else F.col(c) for c in merkle.FIELDS]))
+    rows = merkle.with_proofs(merkle.manifest(docs, tampered))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+_QUERIES: list[Query] = [op1_brown_scores, op2_length_histogram, op3_multiprobe_neighbours, op4_pfair_mix, op5_benchmark_matches, op6_spread_lines, op7_toxicity, op8_jaccard_components, op9_token_files, op10_repeated_strings, op11_repaired_conversations, op12_forced_boundary_bpe, op13_merkle_manifest]
 
 
 def queries() -> dict[str, Query]:
