@@ -10,10 +10,12 @@ a labelled row of either class every score is the share of toxic labels, 0.5 if
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,12 +59,30 @@ class Model:
     softmax: np.ndarray  # DIMENSIONS x 2
     bias: np.ndarray
 
-    def bucket_logits(self) -> list[float]:
+    def bucket_logits(self) -> np.ndarray:
         """What each row of the table adds to the difference of the classes' logits, before the means."""
-        return (self.table @ (self.softmax[:, 1] - self.softmax[:, 0]) * SCALE).tolist()
+        return self.table @ (self.softmax[:, 1] - self.softmax[:, 0]) * SCALE
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
+def _numbered(texts: Iterable[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each text's distinct words by number, the rows of all words' bags one after the other, and their sizes."""
+    seen: dict[str, int] = {}
+    numbers, ends, bags, sizes = array("i"), [0], array("i"), array("i")
+    for text in texts:
+        for word in sorted(distinct_words(text)):
+            number = seen.get(word)
+            if number is None:
+                number = seen[word] = len(seen)
+                bag = sorted(word_buckets(word))
+                bags.extend(bag)
+                sizes.append(len(bag))
+            numbers.append(number)
+        ends.append(len(numbers))
+    flat = np.frombuffer(numbers, np.int32) if numbers else np.zeros(0, np.int32)
+    return [flat[a:b] for a, b in itertools.pairwise(ends)], np.array(bags, np.int32), np.array(sizes, np.int64)
+
+
+def train(texts: Iterable[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     rng = np.random.default_rng(SEED)
     table = (rng.random((BUCKETS, DIMENSIONS), np.float32) - np.float32(0.5)) / DIMENSIONS
     softmax = ((rng.random((DIMENSIONS, 2)) - 0.5) / DIMENSIONS).astype(np.float32)
@@ -71,10 +91,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     bias = np.log(np.clip([1 - share, share], 1e-6, 1)).astype(np.float32)
     if len(set(labels.tolist())) < 2:
         return Model(table * 0, softmax, bias)
-    seen: dict[str, int] = {}
-    docs = [np.array([seen.setdefault(w, len(seen)) for w in sorted(distinct_words(t))], np.int64) for t in texts]
-    bags = [np.array(sorted(word_buckets(w)), np.int64) for w in seen]
-    flat, size = np.concatenate(bags or [np.zeros(0, np.int64)]), np.array([len(b) for b in bags], np.int64)
+    docs, flat, size = _numbered(texts)
     start = np.cumsum(size) - size
     weight = np.where(labels == 1, TOXIC_WEIGHT / share, (1 - TOXIC_WEIGHT) / (1 - share))
     squares, softmax_squares, bias_squares = np.full(BUCKETS, FIRST_SQUARE), np.full(softmax.shape, 1e-4), np.full(2, 1e-4)
@@ -127,15 +144,15 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, learn: Column, per_
 
 
 def fit(documents: DataFrame, labels: DataFrame, learn: Column) -> Model:
-    rows = sorted(labelled_sample(documents, labels, learn).collect())
-    return train([r.text for r in rows], np.array([r.toxic for r in rows], np.int64))
+    rows = sorted(labelled_sample(documents, labels, learn).collect(), reverse=True)
+    toxic = np.array([r.toxic for r in reversed(rows)], np.int64)
+    return train((rows.pop().text for _ in range(len(rows))), toxic)  # a text that is numbered needs no memory
 
 
 def _scores(sent, name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = sent.value
         known: dict[str, float] = {}
-        bias, each = float(model.bias[1] - model.bias[0]), model.bucket_logits()
+        bias, each = sent.value[0], sent.value[1].tolist()
         for batch in batches:
             logits = np.full(batch.num_rows, bias)
             for i, text in enumerate(batch.column("text").to_pylist()):
@@ -161,6 +178,6 @@ def _scores(sent, name: str) -> Callable:
 def with_scores(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """All columns of the documents and the probability of label 1."""
     storage.small_batches(documents.sparkSession)
-    sent = documents.sparkSession.sparkContext.broadcast(model)  # BUCKETS * DIMENSIONS floats
+    sent = documents.sparkSession.sparkContext.broadcast((float(model.bias[1] - model.bias[0]), model.bucket_logits()))  # BUCKETS numbers
     schema = T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())])
     return documents.mapInArrow(_scores(sent, name), schema)
