@@ -5,21 +5,22 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from textloom.llm import bpe, queries
 from textloom.llm.encode import tokenizer_path
 
 PATH = tokenizer_path(bpe.TOKENIZER)
-ENCODER, DECODER = bpe.ForcedBoundaries(PATH), bpe.Decoder(PATH)
+ENCODER, DECODER, WHOLE = bpe.ForcedBoundaries(PATH), bpe.Decoder(PATH), Tokenizer.from_file(PATH)
 PIECES = [*"abtsx1 .,'!<|>\n\t\r\x1c\x85\xa0 é日Σİǆ̸́ﬁ😀가ᄀ", "'s", "'ll", "  ", " \n", "ing", "the", "<|endoftext|>", "<|startoftext|>", "  ", "ΑΣ"]
 
 
 def plain(text):
-    return ENCODER.whole.encode(text or "", add_special_tokens=False).ids
+    return WHOLE.encode(text or "", add_special_tokens=False).ids
 
 
 def plain_text(ids):
-    return ENCODER.whole.decode(ids, skip_special_tokens=False)
+    return WHOLE.decode(ids, skip_special_tokens=False)
 
 
 @settings(max_examples=400, deadline=None)
@@ -42,18 +43,18 @@ def test_any_characters(text):
 
 def test_no_token_spans_a_cut():
     words = ["zqxjkv", "hello", "xXxX", "qqqqwwwwzzzz", "日本語のテキスト", "überstraßenbahn"]
-    mapped = [w for text in words for w, _ in ENCODER.whole.pre_tokenizer.pre_tokenize_str(text)]
+    mapped = [w for text in words for w, _ in WHOLE.pre_tokenizer.pre_tokenize_str(text)]
     pieces, many = ENCODER.cut(mapped)
     assert many.sum() == len(pieces) > len(mapped)  # cuts inside words too
     assert "".join(p.removesuffix(" ") for p in pieces) == "".join(mapped)
-    for token in ENCODER.whole.get_vocab(with_added_tokens=False):
+    for token in WHOLE.get_vocab(with_added_tokens=False):
         codes = ENCODER._bytes(token.removesuffix("</w>"))
         assert ENCODER.together[codes[:-1], codes[1:]].all()
 
 
 def test_windows_and_a_full_memory(monkeypatch):
     monkeypatch.setattr(bpe, "WINDOW", 50)
-    monkeypatch.setattr(bpe, "CACHE_CHARS", 40)
+    monkeypatch.setattr(bpe, "KEPT_STRINGS", 4)
     rng = random.Random(1)
     encoder = bpe.ForcedBoundaries(PATH)
     for text in ["word " * 40, "w" * 400 + " \n" + "ab,c" * 60, "", " " * 120, " ".join(rng.choice(PIECES) for _ in range(300))]:
@@ -83,6 +84,8 @@ def test_tables(spark, documents, rows, empty):
     out = bpe.decode(bpe.encode(docs))
     assert digests(out) == sorted((expected(r[0], r[1]) for r in rows), key=repr)
     assert set(out.columns) == {"doc_id", "source", "n_chars", "n_tokens", "ids", "decoded"}
+    both = bpe.encode(docs, back=True)
+    assert digests(both) == digests(out) and set(both.columns) == set(out.columns)
     assert bpe.decode(bpe.encode(empty)).count() == 0
     blank = spark.createDataFrame([(1, None), (2, "")], "doc_id bigint, text string")
     assert digests(bpe.decode(bpe.encode(blank))) == [expected(1, None), expected(2, "")]

@@ -27,7 +27,7 @@ from . import storage
 from .encode import text_groups, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE_CHARS = 24_000_000  # characters of stretches and fragments that a Python worker remembers; then it starts again
+KEPT_STRINGS, KEPT_CHARS = 300_000, 8_000_000  # stretches and fragments that a Python worker remembers; then it starts again
 WINDOW = 1 << 20  # characters of a text that are in work at a time
 TOGETHER = 5000  # new stretches that the pre-tokenizer gets as one text
 DECODED_IDS = 1 << 16  # ids that are in work at a time
@@ -96,8 +96,8 @@ class ForcedBoundaries:
 
         with open(path, encoding="utf-8") as file:
             rule = json.load(file)
-        self.whole = Tokenizer.from_str(json.dumps(rule | {"truncation": None, "padding": None}))
         model = rule["model"]
+        self.words = Tokenizer.from_str(json.dumps(rule | {"truncation": None, "padding": None, "added_tokens": [], "model": model | {"vocab": {}, "merges": []}}))
         self.suffix = model.get("end_of_word_suffix") or ""
         added = rule.get("added_tokens") or []
         self.special = {t["content"]: t["id"] for t in added}
@@ -139,8 +139,8 @@ class ForcedBoundaries:
         """The words of the library's pre-tokenizer, as byte symbols, and how many each stretch has.
 
         Stretches without any white space are handed over together, with spaces between them, which stay where they are."""
-        split = self.whole.pre_tokenizer.pre_tokenize_str
-        norm = self.whole.normalizer.normalize_str if self.whole.normalizer else str
+        split = self.words.pre_tokenizer.pre_tokenize_str
+        norm = self.words.normalizer.normalize_str if self.words.normalizer else str
         plain = np.fromiter((_ANY_WHITE.search(s) is None and s != "" for s in new), bool, len(new))
         found: list[list[str]] = [[]] * len(new)
         at = np.flatnonzero(plain)
@@ -209,7 +209,7 @@ class ForcedBoundaries:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
-        if self.stretches.chars + self.fragments.chars > CACHE_CHARS:
+        if len(self.stretches.number) + len(self.fragments.number) > KEPT_STRINGS or self.stretches.chars + self.fragments.chars > KEPT_CHARS:
             self._forget()
         parts = [self._parts(t) for t in texts]
         number, new = self.stretches.numbers([s for p in parts for s in p])
@@ -271,7 +271,7 @@ def _with(batch: pa.RecordBatch, first: int, last: int, **more: pa.Array) -> pa.
     return pa.record_batch([*part.columns, *more.values()], names=[*batch.schema.names, *more])
 
 
-def _encoding(path: str, text: str) -> Callable:
+def _encoding(path: str, text: str, back: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(ForcedBoundaries, path)
         for batch in batches:
@@ -286,7 +286,11 @@ def _encoding(path: str, text: str) -> Callable:
                     ids, sizes = encoder.encode(some)
                 at = np.r_[0, np.cumsum(sizes)] * 4
                 packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
-                yield _with(rest, first, last, n_tokens=pa.array(sizes, pa.int64()), ids=packed.cast(pa.binary()))
+                more = {"n_tokens": pa.array(sizes, pa.int64()), "ids": packed.cast(pa.binary())}
+                if back:
+                    decoder, ends = kept(Decoder, path), np.cumsum(sizes)
+                    more["decoded"] = pa.array([decoder.decode(ids[b - n : b]) for b, n in zip(ends, sizes, strict=True)], pa.binary()).cast(pa.string())
+                yield _with(rest, first, last, **more)
 
     return run
 
@@ -303,13 +307,16 @@ def _decoding(path: str, ids: str) -> Callable:
     return run
 
 
-def encode(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """documents with n_tokens and, in place of the text, ids: little-endian unsigned 32-bit integers in one binary value."""
+def encode(documents: DataFrame, tokenizer: str | None = None, back: bool = False) -> DataFrame:
+    """documents with n_tokens and, in place of the text, ids: little-endian unsigned 32-bit integers in one binary value.
+
+    back: with `decoded` too, as decode gives it, in the same pass."""
     storage.small_batches(documents.sparkSession)
-    docs = documents.drop("n_tokens", "ids")
+    added = {"n_tokens": F.lit(0).cast("bigint"), "ids": F.lit(b"")} | ({"decoded": F.lit("")} if back else {})
+    docs = documents.drop(*added)
     left = docs.drop("text")
-    schema = left.select("*", F.lit(0).cast("bigint").alias("n_tokens"), F.lit(b"").alias("ids")).schema
-    return docs.select(*left.columns, "text").mapInArrow(_encoding(tokenizer or tokenizer_path(TOKENIZER), "text"), _nullable(schema))
+    schema = left.select("*", *[c.alias(n) for n, c in added.items()]).schema
+    return docs.select(*left.columns, "text").mapInArrow(_encoding(tokenizer or tokenizer_path(TOKENIZER), "text", back), _nullable(schema))
 
 
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:

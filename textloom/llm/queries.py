@@ -72,7 +72,7 @@ def op11_repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = storage.load(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe.decode(bpe.encode(docs))
+    out = bpe.encode(docs, back=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
