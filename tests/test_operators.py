@@ -147,7 +147,8 @@ def test_trees(spark):
     assert trees.counts_by_root(flat).first().documents == 2
     assert [r.url for r in trees.descendants(flat, 1).collect()] == ["h.html", "a.html", "glossary:x"]
     assert {r.id for r in trees.filtered(nodes, flat, "guide").collect()} == {1, 2, 3, 4} and {r.id for r in trees.filtered(nodes, flat, "intro").collect()} == {1, 2, 3}
-    assert trees.find_by_labels(nodes, ["Root", "Guide", "Intro"]).first().id == 3 and trees.find_by_labels(nodes, ["Root", "No"]).count() == 0
+    paths = spark.createDataFrame([(1, ["Root", "Guide", "Intro"]), (2, ["Root", "No"]), (3, ["Root"]), (4, []), (5, ["Root", "Guide", "Intro", "Deeper"])], "path_id int, labels array<string>")
+    assert {r.path_id: r.id for r in trees.find_by_labels(nodes, paths).collect()} == {1: 3, 3: 1}
     swapped = {r.id: r.pos for r in trees.swapped(nodes, 5, 1).collect()}
     assert (swapped[5], swapped[2]) == (1, 0)
     folders = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c")], "id bigint, parent_id bigint, name string")

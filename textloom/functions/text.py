@@ -185,12 +185,20 @@ def short_url(url: Column) -> Column:
 
 
 def resolve_url(base: Column, link: Column) -> Column:
-    """A relative link against the folder of a page: './' and 'x/../' are taken away."""
+    """A relative link against the folder of a page: '.' goes, '..' takes the folder before it away, at any depth; one
+    that leads above the path's beginning stays. A root or a scheme with its host is never taken away."""
     joined = F.when(F.regexp_like(link, F.lit(r"^(?:[a-z][a-z0-9+.-]*:|/|#)")), link).otherwise(F.concat(F.regexp_replace(base, r"[^/]*$", ""), link))
-    out = F.regexp_replace(joined, r"(?<=/|^)\./", "")
-    for _ in range(8):
-        out = F.regexp_replace(out, r"(?:^|(?<=/))(?!\.\./)[^/:]+/\.\./", "")
-    return out
+    root = F.regexp_extract(joined, r"^((?:[a-z][a-z0-9+.-]*:(?://[^/]*)?)?/?)", 1)
+    parts = F.split(F.substring(joined, F.length(root) + 1, F.length(joined)), "/")
+    none = F.expr("cast(array() as array<string>)")
+
+    def step(kept: Column, part: Column) -> Column:
+        leads_up = (part == "..") & (F.size(kept) > 0) & (F.element_at(kept, -1) != "..")
+        return F.when(part == ".", kept).when(leads_up, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(F.concat(kept, F.array(part)))
+
+    # what ends in '.' or '..' is a folder
+    folder = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    return F.when(F.startswith(joined, F.lit("#")), joined).otherwise(F.concat(root, F.array_join(F.aggregate(folder, none, step), "/")))
 
 
 def is_caption_like(text: Column, longest: int = 150) -> Column:

@@ -48,8 +48,9 @@ def matches(terms: DataFrame, query: str) -> DataFrame:
 def lookup(terms: DataFrame, query: str, shown: int = 3) -> DataFrame:
     """The first matches, an exact abbr before others, each with the number of all."""
     exact = F.when(F.lower("abbr") == query.strip().lower(), 0).otherwise(1)
-    found = matches(terms, query).select("*", F.count("*").over(Window.partitionBy()).alias("total"), exact.alias("_exact"))
-    return found.orderBy("_exact", "pos").limit(shown).drop("_exact")
+    found = matches(terms, query)
+    total = F.broadcast(found.agg(F.count("*").alias("total")))  # one row
+    return found.withColumn("_exact", exact).orderBy("_exact", "pos").limit(shown).drop("_exact").join(total)
 
 
 def in_texts(documents: DataFrame, terms: DataFrame) -> DataFrame:

@@ -21,9 +21,10 @@ def titles(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", T.first_heading(F.col("html")).alias("title"))
 
 
-def page_items(pages: DataFrame, most: int = PAGE_MOST) -> DataFrame:
-    """One item for each page: the title (the url without one) and the beginning of its text."""
-    return pages.select("page_id", "url", F.coalesce(T.first_heading(F.col("html")), F.col("url")).alias("title"), F.substring(T.strip_tags(F.col("html")), 1, most).alias("content"))
+def page_items(pages: DataFrame, most: int | None = PAGE_MOST) -> DataFrame:
+    """One item for each page: the title (the url without one) and the beginning of its text, or with most=None all of it."""
+    text = T.strip_tags(F.col("html"))
+    return pages.select("page_id", "url", F.coalesce(T.first_heading(F.col("html")), F.col("url")).alias("title"), (text if most is None else F.substring(text, 1, most)).alias("content"))
 
 
 def unique_ids(titles: DataFrame) -> DataFrame:

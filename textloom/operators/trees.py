@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..stored import written
@@ -71,14 +73,28 @@ def sections_with_children(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("parent_id").isNull()).join(parents, "id", "left_semi")
 
 
-def find_by_labels(nodes: DataFrame, labels: list[str]) -> DataFrame:
-    """The node at the end of a path of labels, by the first match on each level; none if a label is missing."""
-    found = None
-    for label in labels:
-        level = nodes.where(F.col("label") == label)
-        level = level.where(F.col("parent_id").isNull()) if found is None else level.join(found.select(F.col("id").alias("parent_id")), "parent_id")
-        found = level.orderBy("pos", "id").limit(1)
-    return found
+def find_by_labels(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """path_id and the node (id, url) at the end of each path of labels (path_id, labels); paths that lead nowhere have no row.
+
+    All paths go down together, a level at a time. Of siblings with one label the first counts, so each pair of parent
+    and label is one edge, and paths with a common beginning share its steps: a step joins distinct (parent, label) pairs.
+    What is reached so far is written after each level."""
+    first = Window.partitionBy("parent_id", "label").orderBy("pos", "id")
+    edges = nodes.select("id", "parent_id", "label", "url", F.row_number().over(first).alias("_n")).where("_n = 1")
+    edges = written(edges.select(F.col("parent_id").alias("_from"), F.col("label").alias("_label"), "id", "url"), "edges")
+    key = nodes.schema["id"].dataType
+    at = paths.where(F.size("labels") > 0).select("path_id", "labels", F.lit(None).cast(key).alias("_at"))
+    longest, done = paths.agg(F.max(F.size("labels"))).first()[0] or 0, None
+    for level in range(longest):
+        here = at.withColumn("_next", F.get("labels", F.lit(level)))
+        wanted = here.select(F.col("_at").alias("_from_at"), F.col("_next").alias("_wanted")).distinct()
+        step = wanted.join(edges, F.col("_from_at").eqNullSafe(F.col("_from")) & (F.col("_wanted") == F.col("_label")))
+        moved = here.join(step, F.col("_at").eqNullSafe(F.col("_from_at")) & (F.col("_next") == F.col("_wanted")))
+        moved = written(moved.select("path_id", "labels", F.col("id").alias("_at"), "url"), "paths")
+        ended = moved.where(F.size("labels") == level + 1).select("path_id", F.col("_at").alias("id"), "url")
+        done = ended if done is None else done.unionByName(ended)
+        at = moved.where(F.size("labels") > level + 1).drop("url")
+    return done if done is not None else paths.select("path_id", F.lit(None).cast(key).alias("id"), F.lit(None).cast("string").alias("url")).where("false")
 
 
 def target_paths(flat: DataFrame) -> DataFrame:
@@ -111,18 +127,23 @@ def swapped(nodes: DataFrame, node: int, step: int) -> DataFrame:
 
 
 def parents_by_level(rows: DataFrame) -> DataFrame:
-    """The parent of each row of an outline (doc_id, pos, level): the last row before it of a lower level. Levels 1 to 9."""
+    """The parent of each row of an outline (doc_id, pos, level): the last row before it of a lower level, null without one."""
     own = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col("level") < n, F.col("pos")), ignorenulls=True).over(own) for n in range(1, 10)]
-    listed = rows.withColumn("_last", F.array(*last))
-    return listed.withColumn("parent", F.get("_last", F.col("level") - 1)).drop("_last")
+    return _by_level(rows, "parent", lambda n: F.last(F.when(F.col("level") < n, F.col("pos")), ignorenulls=True).over(own))
 
 
 def until_next_heading(rows: DataFrame) -> DataFrame:
     """For each row of an outline the position where its part ends: the next row of its level or a lower one."""
     own = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    first = [F.first(F.when(F.col("level") <= n, F.col("pos")), ignorenulls=True).over(own) for n in range(1, 10)]
-    return rows.withColumn("_first", F.array(*first)).withColumn("until", F.get("_first", F.col("level") - 1)).drop("_first")
+    return _by_level(rows, "until", lambda n: F.first(F.when(F.col("level") <= n, F.col("pos")), ignorenulls=True).over(own))
+
+
+def _by_level(rows: DataFrame, name: str, found: Callable[[int], Column]) -> DataFrame:
+    """rows with what a window finds for their own level; a window for each level that the rows have."""
+    levels = sorted(r[0] for r in rows.select("level").where("level is not null").distinct().collect())
+    listed = rows.withColumn("_found", F.array(*[found(n) for n in levels]) if levels else F.array(F.lit(None).cast(rows.schema["pos"].dataType)))
+    place = F.array_position(F.array(*[F.lit(n) for n in levels]) if levels else F.array(F.col("level")), F.col("level"))
+    return listed.withColumn(name, F.get("_found", (place - 1).cast("int"))).drop("_found")
 
 
 def split_fixed(nodes: DataFrame, urls: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -137,6 +158,19 @@ def next_order(folders: DataFrame) -> DataFrame:
 
 
 def active_headings(headings: DataFrame, places: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """The last heading (doc_id, id, offset) at or above each scroll position (doc_id, at)."""
-    joined = places.join(headings, "doc_id").where(F.col("offset") <= F.col("at") + threshold)
-    return joined.groupBy("doc_id", "at").agg(F.max_by("id", "offset").alias("id"))
+    """The last heading (doc_id, id, offset) at or above each scroll position (doc_id, at); of equal offsets the larger id.
+
+    An as-of join without pairs: both sides are sorted together by ranges over all tasks, each place takes the last heading
+    before it in its range, or else the last one of the ranges before that the document has. So a long document is in
+    several tasks. Places above all headings have no row, and equal places are one."""
+    marks = headings.where(F.col("offset").isNotNull()).select("doc_id", F.col("offset").cast("double").alias("_at"), F.lit(0).alias("_kind"), "id", F.lit(None).cast(places.schema["at"].dataType).alias("at"))
+    asked = places.where(F.col("at").isNotNull()).select("doc_id", "at").distinct().select("doc_id", (F.col("at") + threshold).cast("double").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(headings.schema["id"].dataType).alias("id"), "at")
+    order = ["_at", "_kind", "id"]
+    dealt = written(marks.unionByName(asked).repartitionByRange("doc_id", *order).withColumn("_part", F.spark_partition_id()), "places")
+    mark = F.when(F.col("_kind") == 0, F.struct("_at", "id"))
+    ends = dealt.groupBy("doc_id", "_part").agg(F.max(mark).alias("_last"))
+    before = Window.partitionBy("doc_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("doc_id", "_part", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    own = Window.partitionBy("doc_id", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.withColumn("_own", F.last(mark, ignorenulls=True).over(own)).where("_kind = 1").join(carried, ["doc_id", "_part"])
+    return found.select("doc_id", "at", F.coalesce("_own", "_carried")["id"].alias("id")).where("id is not null")

@@ -10,12 +10,14 @@ from .tables import table
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
-    """A glossary from the first lines of documents: abbr is the first word, en the rest, ko the language."""
-    line = F.get(F.split("text", "\n"), F.lit(0))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.get(F.split(line, " "), F.lit(0)).alias("abbr"), F.get(F.split(line, " "), F.lit(1)).alias("en"), F.col("lang").alias("ko"))
+    """A glossary of all lines of documents: abbr is the first word, en the rest, ko the language."""
+    lines = table(spark, d, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    words = F.split("line", " ", 2)
+    return lines.select((F.col("doc_id") * (1 << 24) + F.col("n")).alias("pos"), F.get(words, F.lit(0)).alias("abbr"), F.get(words, F.lit(1)).alias("en"), F.col("lang").alias("ko"))
 
 
-_TERMS = "terms AS (SELECT doc_id AS pos, trim(string_split(split_part(text, chr(10), 1), ' ')[1]) AS abbr, string_split(split_part(text, chr(10), 1), ' ')[2] AS en, lang AS ko FROM documents)"
+_TERMS = """lines AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
+terms AS (SELECT doc_id * 16777216 + n AS pos, trim(split_part(line, ' ', 1)) AS abbr, CASE WHEN contains(line, ' ') THEN substring(line, instr(line, ' ') + 1) END AS en, lang AS ko FROM lines)"""
 _ONCE = "once AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY abbr, en ORDER BY pos) AS n FROM terms WHERE coalesce(abbr, '') <> '') WHERE n = 1)"
 _LETTER = "CASE WHEN regexp_matches(upper(substring(abbr, 1, 1)), '^[A-Z]$') THEN upper(substring(abbr, 1, 1)) ELSE '#' END"
 
@@ -103,7 +105,23 @@ def outline_spans(spark: SparkSession, d: str) -> DataFrame:
     return trees.until_next_heading(_outline(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (glossary_import, letter_histogram, glossary_filter, glossary_lookup, abbreviation_multimap, abbreviation_join, menu_flatten, section_counts, menu_neighbours, menu_filter_keep_ancestors, menu_target_paths, menu_sections, next_sibling_order, outline_parents, outline_spans)}
+def menu_by_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Every page by its path of labels, and by one with a language that its host may not have."""
+    nodes = _nodes(spark, d)
+    leaves = trees.flatten(nodes).where("depth = 3").select("id", "labels")
+    other = F.array(F.get("labels", F.lit(0)), F.lit("de"), F.get("labels", F.lit(2)))
+    paths = leaves.select((F.col("id") * 2).alias("path_id"), "labels").unionByName(leaves.select((F.col("id") * 2 + 1).alias("path_id"), other.alias("labels")))
+    return trees.find_by_labels(nodes, paths).select("path_id", "id", "url")
+
+
+def active_headings(spark: SparkSession, d: str) -> DataFrame:
+    """Views as headings and purchases as places of a user's day: the last view at or before each purchase."""
+    events = table(spark, d, "events").select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"))
+    views = events.where("event_type = 'view'").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("id"), F.col("at").alias("offset"))
+    return trees.active_headings(views, events.where("event_type = 'purchase'").select(F.col("user_id").alias("doc_id"), "at"))
+
+
+QUERIES = {f.__name__: f for f in (menu_by_labels, active_headings, glossary_import, letter_histogram, glossary_filter, glossary_lookup, abbreviation_multimap, abbreviation_join, menu_flatten, section_counts, menu_neighbours, menu_filter_keep_ancestors, menu_target_paths, menu_sections, next_sibling_order, outline_parents, outline_spans)}
 _ID = "CAST(('0x' || substring(md5({0}), 1, 14)) AS BIGINT)"
 _NODES = f"""pg AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang FROM pages),
 nodes AS (SELECT DISTINCT {_ID.format("host")} AS id, CAST(NULL AS BIGINT) AS parent_id, CAST(0 AS BIGINT) AS pos, host AS label, CAST(NULL AS VARCHAR) AS url FROM pg
@@ -113,6 +131,10 @@ UNION ALL SELECT n.id, n.url, n.label, list_append(f.labels, n.label), f.root, l
 _TREE = "WITH RECURSIVE " + _NODES + " "
 _OUTLINE = "o AS (SELECT conv_id AS doc_id, turn AS pos, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level FROM conversations)"
 SQL = {
+    "menu_by_labels": _TREE + """, leaves AS (SELECT id, labels FROM flat WHERE len(labels) = 3), paths AS (SELECT id * 2 AS path_id, labels FROM leaves UNION ALL SELECT id * 2 + 1, [labels[1], 'de', labels[3]] FROM leaves),
+named AS (SELECT labels, min_by(id, ord) AS id, min_by(url, ord) AS url FROM flat GROUP BY labels) SELECT path_id, id, url FROM paths JOIN named USING (labels)""",
+    "active_headings": """WITH v AS (SELECT user_id AS doc_id, CAST(epoch_us(ts) AS DOUBLE) AS at_us, max(event_id) AS id FROM events WHERE event_type = 'view' GROUP BY ALL), p AS (SELECT DISTINCT user_id AS doc_id, CAST(epoch_us(ts) AS DOUBLE) AS at_us FROM events WHERE event_type = 'purchase')
+SELECT p.doc_id, p.at_us AS "at", v.id FROM p ASOF JOIN v ON p.doc_id = v.doc_id AND p.at_us >= v.at_us""",
     "glossary_import": f"WITH {_TERMS}, {_ONCE} SELECT pos, abbr, en, ko FROM once",
     "letter_histogram": f"WITH {_TERMS}, {_ONCE}, l AS (SELECT {_LETTER} AS letter, abbr, pos FROM once) SELECT letter, count(*) AS terms, array_to_string((list(abbr ORDER BY pos))[1:3], ', ') AS preview FROM l GROUP BY letter",
     "glossary_filter": f"WITH {_TERMS}, {_ONCE} SELECT pos, abbr, en, ko FROM once WHERE contains(lower(abbr), 'the') OR contains(lower(en), 'the') OR contains(ko, 'The')",

@@ -23,8 +23,8 @@ def page_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    """The beginnings of a page's paragraphs as titles: many are alike."""
-    parts = F.regexp_extract_all("html", F.lit("<p>([A-Za-z]+)"), F.lit(1))
+    """A page's paragraphs as titles, each whole."""
+    parts = F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), F.lit(1))
     return table(spark, d, "pages").select("page_id", F.posexplode(parts).alias("pos", "title"))
 
 
@@ -75,7 +75,7 @@ def injected_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def empty_content_filter(spark: SparkSession, d: str) -> DataFrame:
     """Items to embed: those with content, as title twice and content."""
-    items = pages.page_items(table(spark, d, "pages"), 500).where(F.trim("content") != "")
+    items = pages.page_items(table(spark, d, "pages"), None).where(F.trim("content") != "")
     return items.select("page_id", F.concat_ws("\n", "title", "title", "content").alias("text"))
 
 
@@ -102,7 +102,7 @@ SQL = {
     "html_title": f"SELECT page_id, {_TITLE} AS title FROM pages",
     "html_strip": f"SELECT page_id, {_strip('html')} AS text FROM pages",
     "page_index": _ITEM.format(t=_TITLE, n=5000),
-    "slug_ids": f"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<p>([A-Za-z]+)', 1)) AS title, generate_subscripts(regexp_extract_all(html, '<p>([A-Za-z]+)', 1), 1) - 1 AS pos FROM pages),
+    "slug_ids": f"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1)) AS title, generate_subscripts(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), 1) - 1 AS pos FROM pages),
 s AS (SELECT page_id, pos, {_slug('title')} AS slug FROM t), n AS (SELECT *, row_number() OVER (PARTITION BY page_id, slug ORDER BY pos) - 1 AS nth FROM s)
 SELECT page_id, CAST(pos AS INTEGER) AS pos, slug || CASE WHEN nth > 0 THEN '-' || nth ELSE '' END AS section_id FROM n""",
     "heading_slugs": f"WITH t AS (SELECT page_id, {_TITLE} AS title FROM pages) SELECT page_id, {_slug('title')} AS slug FROM t",
@@ -110,5 +110,5 @@ SELECT page_id, CAST(pos AS INTEGER) AS pos, slug || CASE WHEN nth > 0 THEN '-'
     "escaped_html": "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html FROM pages",
     "url_parts": r"""WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '([^/]+)/?$', 1), '\.html?$', '') AS name, list_filter(list_transform(string_split(regexp_extract(url, '^[a-z]+://([^#?]+)', 1), '/'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM pages)
 SELECT page_id, name, coalesce(parts[1], '') AS doc_category, CAST(len(parts) AS INTEGER) AS depth, CASE WHEN len(parts) >= 3 THEN parts[len(parts) - 1] END AS parent_doc FROM p""",
-    "empty_content_filter": f"WITH i AS ({_ITEM.format(t=_TITLE, n=500)}) SELECT page_id, title || chr(10) || title || chr(10) || content AS text FROM i WHERE trim(content) <> ''",
+    "empty_content_filter": f"WITH i AS ({_ITEM.replace("substring(", "(").replace(", 1, {n})", ")").format(t=_TITLE)}) SELECT page_id, title || chr(10) || title || chr(10) || content AS text FROM i WHERE trim(content) <> ''",
 }

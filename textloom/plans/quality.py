@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import emitters
 from ..operators import validation
 from .tables import table
 
@@ -21,6 +22,23 @@ def forbidden_term_hits(spark: SparkSession, d: str) -> DataFrame:
     return validation.forbidden_terms(_paragraphs(spark, d), "warning", FORBIDDEN).select("doc_id", "paragraph_index", "char_start", "char_end", "detail")
 
 
+def lateral_term_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The same hits by a table function in SQL."""
+    emitters.register(spark)
+    lines = "SELECT d.doc_id, l.nth AS paragraph_index, l.line FROM {docs} d, LATERAL text_lines(d.text) l"
+    terms = ", ".join(f"'{t}'" for t in FORBIDDEN)
+    hits = spark.sql(f"SELECT p.doc_id, p.paragraph_index, h.* FROM ({lines}) p, LATERAL term_hits(p.line, array({terms})) h", docs=table(spark, d, "documents"))
+    return hits.select("doc_id", F.col("paragraph_index").cast("bigint").alias("paragraph_index"), F.col("char_start").cast("bigint").alias("char_start"), F.col("char_end").cast("bigint").alias("char_end"), F.concat("term", F.lit(" > "), F.element_at(F.create_map(*[F.lit(x) for pair in FORBIDDEN.items() for x in pair]), F.col("term"))).alias("detail"))
+
+
+def numbering_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a user as numbered headings: where a number doesn't follow the one before."""
+    emitters.register(spark)
+    number = F.concat_ws(".", (F.col("event_id") % 2 + 1).cast("string"), F.floor(F.col("value") / 4).cast("string"))
+    headings = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), number.alias("number"))
+    return spark.sql("SELECT * FROM numbering_gaps(TABLE({headings}))", headings=headings)
+
+
 def term_preference(spark: SparkSession, d: str) -> DataFrame:
     return validation.preferred_terms(_paragraphs(spark, d), GROUPS).select("doc_id", "grp", "preferred", F.array_join(F.sort_array("others"), ",").alias("others"))
 
@@ -40,7 +58,7 @@ def technical_issues(spark: SparkSession, d: str) -> DataFrame:
     return validation.validate(_paragraphs(spark, d), "technical")
 
 
-QUERIES = {f.__name__: f for f in (forbidden_term_hits, term_preference, long_sentences, document_scores, technical_issues)}
+QUERIES = {f.__name__: f for f in (forbidden_term_hits, lateral_term_hits, numbering_gaps, term_preference, long_sentences, document_scores, technical_issues)}
 _PARAGRAPHS = "p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS paragraph_index FROM documents)"
 _HITS = """s AS (SELECT doc_id, paragraph_index, term, string_split(text, term) AS parts, generate_subscripts(string_split(text, term), 1) AS i FROM p, (VALUES {0}) t(term) WHERE contains(text, term)),
 h AS (SELECT doc_id, paragraph_index, term, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(term) AS BIGINT) AS pos FROM s WHERE i < len(parts))"""
@@ -56,3 +74,7 @@ SELECT doc_id, grp, preferred, array_to_string(list_sort(list_filter(terms, lamb
     "document_scores": f"""WITH {_PARAGRAPHS}, {_HITS.format("('worthless'), ('idiot')")}, {_SENTENCES}, e AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id), g AS (SELECT doc_id, count(*) AS n FROM l WHERE length(sentence) > 200 GROUP BY doc_id)
 SELECT d.doc_id, coalesce(e.n, 0) AS error, CAST(0 AS BIGINT) AS warning, coalesce(g.n, 0) AS suggestion, greatest(0, 100 - 10 * coalesce(e.n, 0) - coalesce(g.n, 0)) AS score FROM documents d LEFT JOIN e USING (doc_id) LEFT JOIN g USING (doc_id)""",
 }
+SQL["lateral_term_hits"] = SQL["forbidden_term_hits"]
+SQL["numbering_gaps"] = """WITH n AS (SELECT user_id AS doc_id, event_id AS pos, event_id % 2 + 1 AS parent, CAST(floor(value / 4) AS BIGINT) AS own FROM events),
+b AS (SELECT *, lag(parent) OVER w AS last_parent, lag(own) OVER w AS last_own FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, pos, parent || '.' || own AS number, last_parent || '.' || last_own AS before FROM b WHERE parent = last_parent AND own <> last_own + 1"""

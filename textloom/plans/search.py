@@ -113,6 +113,40 @@ def recall_mrr_by_mode(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.summary(_evaluated(spark, d))
 
 
+LEAST_SHARE = 0.6  # of a question's words that a hit must hold to be shown
+
+
+def _shown(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Reranked hits that hold LEAST_SHARE of a question's words, with a section (language/source/id) and a url; the
+    sections and urls that are right, those of documents with the question's text: by the whole section where the id is
+    even, else by language and source; a url where three divides it. A question that stands in no document is negative."""
+    docs, bench = items(spark, d), table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), "text")
+    section = F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string"))
+    url = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
+    hits = search.search(docs, None, questions(spark, d), "keyword", K).where(F.col("score") >= LEAST_SHARE)
+    results = hits.select(F.lit("reranked").alias("mode"), F.col("query_id").alias("case_id"), "rank", section.alias("section"), url.alias("url"))
+    wide = search.bm25(docs, questions(spark, d), 50).select(F.col("query_id").alias("case_id"), "doc_id").join(docs.select("doc_id", "content", "lang", "source"), "doc_id").join(bench, "case_id")
+    right = wide.where(F.contains("content", "text")).select("case_id", "doc_id", "lang", "source")
+    prefix = F.when(F.col("doc_id") % 2 == 0, section).otherwise(F.concat_ws("/", "lang", "source"))
+    sections = right.select("case_id", prefix.alias("prefix"))
+    urls = right.where("doc_id % 3 = 0").select("case_id", url.alias("url"))
+    cases = bench.select("case_id").join(right.select("case_id").distinct().withColumn("_found", F.lit(True)), "case_id", "left")
+    cases = cases.select("case_id", F.when(F.col("_found"), "positive").otherwise("negative").alias("category"), F.col("_found").isNull().alias("negative"))
+    return results, sections, urls, cases
+
+
+def expected_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Which shown results are right, by prefixes of several lengths and by urls."""
+    results, sections, urls, _ = _shown(spark, d)
+    return evaluation.matched(results, sections, urls).select("case_id", "rank", "section", "url", "correct")
+
+
+def negative_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Hits and reciprocal ranks, negative cases among them: those are right with nothing to show."""
+    results, sections, urls, cases = _shown(spark, d)
+    return evaluation.score_cases(evaluation.matched(results, sections, urls), cases, K, ["reranked"]).select("case_id", "category", "hit", F.round("rr", 6).alias("rr"))
+
+
 def exclusive_wins(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.exclusive_wins(_evaluated(spark, d), "bm25", "binary")
 
@@ -153,7 +187,15 @@ _EVALUATED = _sql(
 results AS (SELECT mode, case_id, min(CASE WHEN contains(d.text, b.text) THEN rank END) AS first FROM runs JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = case_id GROUP BY mode, case_id),
 scored_cases AS (SELECT m.mode, b.item_id AS case_id, 'length-' || CAST(length(b.text) // 100 AS VARCHAR) AS category, CASE WHEN first IS NULL THEN 0 ELSE 1 END AS hit, coalesce(1 / first, 0.0) AS rr FROM benchmark b CROSS JOIN (VALUES ('bm25'), ('binary')) m(mode) LEFT JOIN results r ON r.mode = m.mode AND r.case_id = b.item_id)""", select="{}")
 
-QUERIES = {f.__name__: f for f in (bm25_batch, bm25_search, corpus_statistics, document_frequencies, naive_search, page_term_count_search, whole_query_search, client_snippets, knn_batch, knn_search, rrf_hybrid, hybrid_reranked, keyword_filtered, filtered_or_all, prefix_dedup_first, decomposed_search, recall_mrr_by_mode, exclusive_wins)}
+_SHOWN = (
+    ITEMS_SQL, QUESTIONS_SQL, _POSTED, _bm25_sql("questions", 3 * K), _bm25_sql("questions", 50, name="_wide"),
+    f"""r AS (SELECT query_id, doc_id, lang, source, rank, list_distinct({_TOKENS.format("q.text")}) AS qt, {_TOKENS.format("title || chr(10) || substring(content, 1, 1600)")} AS pt FROM hits JOIN items USING (doc_id) JOIN questions q USING (query_id)),
+s AS (SELECT *, CASE WHEN len(qt) > 0 THEN round(len(list_filter(qt, lambda x: list_contains(pt, x))) / len(qt), 6) ELSE 0.0 END AS score FROM r),
+shown AS (SELECT query_id AS case_id, n AS rank, lang || '/' || source || '/' || doc_id AS section, 'doc/' || doc_id AS url FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, doc_id) AS n FROM s) WHERE n <= {K} AND score >= {LEAST_SHARE}),
+fits AS (SELECT query_id AS case_id, d.doc_id, CASE WHEN d.doc_id % 2 = 0 THEN lang || '/' || source || '/' || d.doc_id ELSE lang || '/' || source END AS prefix FROM hits_wide h JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = h.query_id WHERE contains(d.text, b.text)),
+marked AS (SELECT *, EXISTS (SELECT 1 FROM fits f WHERE f.case_id = shown.case_id AND starts_with(shown.section, f.prefix)) OR EXISTS (SELECT 1 FROM fits f WHERE f.case_id = shown.case_id AND f.doc_id % 3 = 0 AND 'doc/' || f.doc_id = shown.url) AS correct FROM shown)""")
+
+QUERIES = {f.__name__: f for f in (expected_sections, negative_cases, bm25_batch, bm25_search, corpus_statistics, document_frequencies, naive_search, page_term_count_search, whole_query_search, client_snippets, knn_batch, knn_search, rrf_hybrid, hybrid_reranked, keyword_filtered, filtered_or_all, prefix_dedup_first, decomposed_search, recall_mrr_by_mode, exclusive_wins)}
 _LIST_QUERY = "[" + ", ".join(str(((i * 37) % 17 - 8) / 32) for i in range(64)) + "]::DOUBLE[]"
 SQL = {
     "bm25_batch": _sql(ITEMS_SQL, QUESTIONS_SQL, _POSTED, _bm25_sql("questions", K), select="SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM hits"),
@@ -188,6 +230,10 @@ s AS (SELECT *, CASE WHEN len(qt) > 0 THEN round(len(list_filter(qt, lambda x: l
         _POSTED, _bm25_sql("halves", 6),
         "p AS (SELECT query_id // 2 AS query_id, query_id % 2 AS part, rank, doc_id, content FROM hits JOIN items USING (doc_id)), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, substring(content, 1, 200) ORDER BY part, rank) AS nth FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY part, rank) AS place FROM o WHERE nth = 1)",
         select=f"SELECT query_id, doc_id, part, CAST(place AS INTEGER) AS place FROM n WHERE place <= {K}"),
+    "expected_sections": _sql(*_SHOWN, select="SELECT case_id, CAST(rank AS INTEGER) AS rank, section, url, correct FROM marked"),
+    "negative_cases": _sql(*_SHOWN, """firsts AS (SELECT case_id, min(rank) FILTER (WHERE correct) AS first, count(*) AS n FROM marked GROUP BY case_id),
+c AS (SELECT item_id AS case_id, item_id NOT IN (SELECT case_id FROM fits) AS negative FROM benchmark)""", select="""SELECT c.case_id, CASE WHEN negative THEN 'negative' ELSE 'positive' END AS category, CAST(CASE WHEN negative THEN CASE WHEN n IS NULL THEN 1 ELSE 0 END WHEN first IS NULL THEN 0 ELSE 1 END AS INTEGER) AS hit,
+round(CASE WHEN negative THEN CASE WHEN n IS NULL THEN 1.0 ELSE 0.0 END ELSE coalesce(1 / first, 0.0) END, 6) AS rr FROM c LEFT JOIN firsts USING (case_id)"""),
     "recall_mrr_by_mode": _EVALUATED.format("SELECT mode, category, round(avg(hit), 6) AS recall, round(avg(rr), 6) AS mrr, count(*) AS cases FROM scored_cases GROUP BY GROUPING SETS ((mode, category), (mode))"),
     "exclusive_wins": _EVALUATED.format("SELECT count(*) FILTER (WHERE a = 1 AND b = 0) AS only_first, count(*) FILTER (WHERE a = 0 AND b = 1) AS only_second, count(*) FILTER (WHERE a = 1 AND b = 1) AS both, count(*) FILTER (WHERE a = 0 AND b = 0) AS neither FROM (SELECT case_id, max(CASE WHEN mode = 'bm25' THEN hit END) AS a, max(CASE WHEN mode = 'binary' THEN hit END) AS b FROM scored_cases GROUP BY case_id)"),
 }

@@ -40,14 +40,14 @@ def blocks_outside_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
-    return layout.reading_order(_boxes(spark, d).where("nth <= 4"), 100.0).select("own", "nth", "column")
+    return layout.reading_order(_boxes(spark, d), 100.0).select("own", "nth", "column")
 
 
 def overlapping_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """IoU of each first box of an order with the second."""
+    """IoU of every two boxes of an order."""
     boxes = _boxes(spark, d)
-    side = lambda n: boxes.where(F.col("nth") == n).select("own", F.struct("x0", "y0", "x1", "y1").alias(f"b{n}"))
-    return side(1).join(side(2), "own").select("own", F.round(geometry.iou(F.col("b1"), F.col("b2")), 6).alias("iou"))
+    side = lambda n: boxes.select("own", F.col("nth").alias(f"n{n}"), F.struct("x0", "y0", "x1", "y1").alias(f"b{n}"))
+    return side(1).join(side(2), "own").where("n1 < n2").select("own", "n1", "n2", F.round(geometry.iou(F.col("b1"), F.col("b2")), 6).alias("iou"))
 
 
 def dominant_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -159,9 +159,9 @@ ELSE {{'x0': a.x0, 'y0': greatest(a.y0, c.y1), 'x1': a.x1, 'y1': a.y1, 'gone': f
 SELECT own, nth, x0, round(CASE WHEN cs IS NULL THEN y0 ELSE f.y0 END, 6) AS y0, x1, round(CASE WHEN cs IS NULL THEN y1 ELSE f.y1 END, 6) AS y1 FROM r
 WHERE cs IS NULL OR (x1 - x0) * (y1 - y0) > 0 AND NOT f.gone AND f.y1 > f.y0 AND f.y1 - f.y0 >= 5""",
     "blocks_outside_tables": f"WITH {_BOXES} SELECT own, nth FROM boxes a WHERE nth > 1 AND NOT EXISTS (SELECT 1 FROM boxes t WHERE t.nth = 1 AND t.doc_id = a.doc_id AND t.page = a.page AND a.x0 < t.x1 AND a.x1 > t.x0 AND a.y0 < t.y1 AND a.y1 > t.y0)",
-    "reading_order": f"WITH {_BOXES} SELECT own, nth, CASE WHEN x1 - x0 > 60 THEN 'full' WHEN (x0 + x1) / 2 < 50 THEN 'left' ELSE 'right' END AS \"column\" FROM boxes WHERE nth <= 4",
-    "overlapping_pairs": f"""WITH {_BOXES}, p AS (SELECT own, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS s, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS t FROM boxes a JOIN boxes b USING (own) WHERE a.nth = 1 AND b.nth = 2)
-SELECT own, round(s / (t - s), 6) AS iou FROM p""",
+    "reading_order": f"WITH {_BOXES} SELECT own, nth, CASE WHEN x1 - x0 > 60 THEN 'full' WHEN (x0 + x1) / 2 < 50 THEN 'left' ELSE 'right' END AS \"column\" FROM boxes",
+    "overlapping_pairs": f"""WITH {_BOXES}, p AS (SELECT own, a.nth AS n1, b.nth AS n2, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS s, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS t FROM boxes a JOIN boxes b USING (own) WHERE a.nth < b.nth)
+SELECT own, n1, n2, round(s / (t - s), 6) AS iou FROM p""",
     "dominant_sizes": "SELECT doc_id, CAST(1 AS INTEGER) AS page, size FROM (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, size) AS k FROM (SELECT p_partkey % 100 AS doc_id, CAST(p_size AS DOUBLE) AS size, sum(length(p_name)) AS n FROM part GROUP BY 1, 2)) WHERE k = 1",
     "valid_sessions": "SELECT CAST(o_orderkey AS VARCHAR) AS token, c_name AS username, c_mktsegment AS role FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate + INTERVAL 10 DAY > TIMESTAMP '1997-06-01 00:00:00'",
     "page_overlay": f"WITH {_STORED} SELECT coalesce(s.doc_id, a.doc_id) AS doc_id, coalesce(s.page, a.page) AS page, CASE WHEN a.page IS NOT NULL THEN 'running' ELSE status END AS status FROM stored s FULL JOIN active a ON s.doc_id = a.doc_id AND s.page = a.page",
