@@ -194,3 +194,12 @@ def test_spread_lines_are_those_of_exact_counts(spark):
             want[p, len(split(h)), len(split(h)) - len(kept), "\n".join(kept)] += 1
         assert Counter((r.page_id, r.n_lines, r.n_removed, r.text) for r in got) == want
     assert line_spread.spread_lines(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_scripts_without_spaces_and_five_words(spark):
+    docs = [(1, "他们在北京大学学习计算机科学与技术专业。"), (2, "ก่อนนี้ภาษาไทยไม่มีเว้นวรรคเลยนะ"), (3, "x one two three four six y"), (4, "他们在上海"), (5, "a b c"), (6, "𠀀𠀁𠀂𠀃end"), (7, "日本語é文")]
+    items = [(10, "北京大学学习计算机"), (11, "ภาษาไทยไม่มีเว้นวรรค"), (12, "one two three four five"), (13, "a c"), (14, "𠀁𠀂𠀃"), (15, "é")]
+    got = decontaminate.benchmark_matches(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in got} == {(1, 10, 0), (2, 11, 0), (3, 12, 1), (6, 14, 0), (7, 15, 0)}
+    assert {r.item_id: (r.n_words, r.budget) for r in got} == {10: (9, 1), 11: (20, 4), 12: (5, 1), 14: (3, 0), 15: (1, 0)}
+    assert {r.doc_id: r.first_word for r in got}[1] == 3

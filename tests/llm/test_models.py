@@ -94,11 +94,24 @@ def test_mixture_keeps_rows_and_weights(documents, rows):
     assert len({s for _, _, s in blocks}) == len(blocks)
     last = min(max(s for p, _, s in blocks if p == q) for q in {p for p, _, _ in blocks})
     for t in range(1, last + 1):
-        for part, w in (("src0", 2 / 6), ("src1", 1 / 6), (None, 3 / 6)):
+        for part, w in (("src0", 2 / 6), ("src1", 1 / 6), ("src2", 1 / 6), ("src3", 1 / 6), (None, 1 / 6)):
             assert abs(sum(p == part and s < t for p, _, s in blocks) - t * w) < 1
     order = [m.slot for m in sorted(out, key=lambda m: m.position)]
     assert order == sorted(order)
 
 
+def test_parts_of_all_sources():
+    assert mixing.whole_parts(["b", None, "x", "a"], {"x": 50}, 50) == [("x", 3), ("a", 1), ("b", 1), (None, 1)]
+    assert mixing.whole_parts(["x"], {"x": 4, "y": 2}, 50) == [("x", 2), ("y", 1)]
+    assert mixing.whole_parts([], {}, 50) == []
+
+
+def test_a_column_named_mix_and_quotes_in_sources(spark):
+    docs = spark.createDataFrame([(i, "it's" if i % 2 else None, "x", i) for i in range(50)], "doc_id bigint, source string, mix string, position int")
+    out = mixing.mix(docs)
+    assert sorted(out.columns) == ["doc_id", "mix", "position", "source"] and sorted(r.mix.position for r in out.collect()) == list(range(50))
+    assert mixing.in_mixed_order(docs).columns == docs.columns
+
+
 def test_empty_mixture(empty):
     assert mixing.mix(empty).count() == 0 and mixing.in_mixed_order(empty).columns == empty.columns

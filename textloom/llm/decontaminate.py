@@ -5,8 +5,8 @@ may differ by k = floor(rate * n) words put in, left out or changed. Cut into k
 unchanged in the document (pigeonhole), so exact hits of pieces give all candidates. Around each hit the least edit
 distance of the whole item is found with one bit for each of its words.
 
-Items of fewer than exact_words words have no budget: they match as they are, as a sequence of whole words. Null and empty
-items take no part. Null and empty documents match nothing. Repeated items and repeated documents give rows of their own; null ids stay null.
+In scripts without spaces (Chinese characters, kana, Thai, Lao, Burmese, Khmer) each character is a word. Items so short
+that their budget is none match as they are, as a sequence of whole words. Null and empty items take no part. Null and empty documents match nothing. Repeated items and repeated documents give rows of their own; null ids stay null.
 """
 
 from __future__ import annotations
@@ -24,15 +24,31 @@ from . import storage
 from .text import LOWER, LOWER_RANDOM, Lookup, bounds, chunks, column_bytes, mix, prefix_hashes, range_hashes
 
 RATE = 0.2
-EXACT_WORDS = 6
 #: Words of the benchmark that go to the tasks at once. A larger benchmark is matched in several passes.
 WORDS_AT_ONCE = 2_000_000
 _INSIDE = (LOWER >= 128) | ((LOWER >= 48) & (LOWER <= 57)) | ((LOWER >= 97) & (LOWER <= 122))
 _MATCH = "doc_id bigint, item_id bigint, n_words bigint, budget bigint, distance bigint, first_word bigint"
 
 
+def _unspaced(data: np.ndarray) -> np.ndarray:
+    """Where a character of a script without spaces begins, or the one after it, by the bytes of UTF-8."""
+    after = np.r_[data[1:], np.uint8(0)]
+    three = (data >= 0xE3) & (data <= 0xE9)  # U+3000 to U+9FFF
+    three |= (data == 0xE0) & (after >= 0xB8) & (after <= 0xBB)  # Thai and Lao
+    three |= (data == 0xE1) & ((after >= 0x80) & (after <= 0x82) | (after == 0x9E) | (after == 0x9F))  # Burmese and Khmer
+    four = (data == 0xF0) & (after >= 0xA0) & (after <= 0xB3)  # further Chinese characters
+    return np.unique(np.concatenate([f for at, n in ((three, 3), (four, 4)) for f in (np.flatnonzero(at), np.flatnonzero(at) + n)]))
+
+
 def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start, end, rows = bounds(data, offsets, _INSIDE[data])
+    inside = _INSIDE[data]
+    start, end, rows = bounds(data, offsets, inside)
+    cut = _unspaced(data)
+    cut = cut[(cut > 0) & (cut < len(data))]
+    cut = np.setdiff1d(cut[inside[cut] & inside[cut - 1]], offsets)  # in the middle of a run
+    if len(cut):
+        start, end = np.union1d(start, cut), np.union1d(end, cut)
+        rows = np.searchsorted(start, offsets)
     return mix(range_hashes(prefix_hashes(LOWER_RANDOM[data]), start, end) + (end - start).astype(np.uint64)), rows
 
 
@@ -69,7 +85,7 @@ class Items:
     budgets: list[int]
 
 
-def _items(benchmark: DataFrame, rate: float, exact_words: int) -> Items:
+def _items(benchmark: DataFrame, rate: float) -> Items:
     rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).toArrow()
     data, offsets = column_bytes(rows.column("text"))
     word, at = plain_words(data, offsets)
@@ -79,7 +95,7 @@ def _items(benchmark: DataFrame, rate: float, exact_words: int) -> Items:
         if len(own):
             found.ids.append(item)
             found.words.append(own)
-            found.budgets.append(int(rate * len(own)) if len(own) >= exact_words else 0)
+            found.budgets.append(int(rate * len(own)))
     return found
 
 
@@ -160,7 +176,7 @@ def _matches(sent) -> Callable:
     return run
 
 
-def _passes(benchmark: DataFrame, rate: float, exact_words: int, at_once: int) -> Iterator:
+def _passes(benchmark: DataFrame, rate: float, at_once: int) -> Iterator:
     """The benchmark's items, sent to the tasks in parts of bounded size."""
     spark = benchmark.sparkSession
     storage.small_batches(spark)
@@ -168,13 +184,13 @@ def _passes(benchmark: DataFrame, rate: float, exact_words: int, at_once: int) -
     parts = max(1, -(-int(size) // (2 * at_once)))  # a word has two bytes at least, with what parts it from the next
     for i in range(parts):
         own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) if parts > 1 else benchmark
-        yield spark.sparkContext.broadcast(_items(own, rate, exact_words))
+        yield spark.sparkContext.broadcast(_items(own, rate))
 
 
-def benchmark_matches(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, exact_words: int = EXACT_WORDS, at_once: int = WORDS_AT_ONCE) -> DataFrame:
+def benchmark_matches(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, at_once: int = WORDS_AT_ONCE) -> DataFrame:
     """A row for each document and item that it holds within the item's budget, at the best place."""
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return reduce(DataFrame.unionByName, [docs.mapInArrow(_matches(sent), _MATCH) for sent in _passes(benchmark, rate, exact_words, at_once)])
+    return reduce(DataFrame.unionByName, [docs.mapInArrow(_matches(sent), _MATCH) for sent in _passes(benchmark, rate, at_once)])
 
 
 def _clean(sent) -> Callable:
@@ -190,8 +206,8 @@ def _clean(sent) -> Callable:
     return run
 
 
-def without_matches(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, exact_words: int = EXACT_WORDS, at_once: int = WORDS_AT_ONCE) -> DataFrame:
+def without_matches(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, at_once: int = WORDS_AT_ONCE) -> DataFrame:
     """The documents, with all their columns, that hold no item within its budget."""
-    for sent in _passes(benchmark, rate, exact_words, at_once):
+    for sent in _passes(benchmark, rate, at_once):
         documents = documents.mapInArrow(_clean(sent), documents.schema)
     return documents

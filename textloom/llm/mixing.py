@@ -7,22 +7,27 @@ between its release and its deadline, and after any t slots a source has had t *
 The order repeats itself after as many slots as there are parts, so one such period, found by a fold, places all blocks.
 
 A source that runs out leaves its later slots empty; the others keep theirs, and position counts documents without gaps.
-Each row is placed once. Sources that have no weight of their own, null ones too, share that of `others`. A null doc_id
-counts as the empty text in the order; repeated rows are placed one by one. An empty table gives an empty result.
+Each row is placed once. Every source of the table is a part of its own: those without a weight, null being one of them,
+have equal shares of `others`. Parts are made whole numbers without a common divisor; their sum, the period, must not be
+over MAX_PERIOD. A null doc_id counts as the empty text in the order; repeated rows are placed one by one. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts of the mixture. Their sum, the period, bounds the table of slots.
+#: Parts of the mixture by source, and what all other sources have together.
 WEIGHTS = {"src0": 20, "src1": 10, "src2": 10, "src3": 5, "src4": 5}
 OTHERS = 50
 BLOCK = 16
 SEED = "mix"
-MAX_PERIOD = 1000
-HEX_DIGITS = 3  # of the random key: each source's order is found in 16 ** HEX_DIGITS ranges of it
+MIX = "struct<part: string, block: bigint, release: bigint, deadline: bigint, slot: bigint, position: bigint>"
+MAX_PERIOD = 5000
+RANGE_ROWS = 100_000  # about so many documents are put in order in one range of the random key, 4,096 ranges at least
 
 
 def _ints(values) -> Column:
@@ -49,23 +54,36 @@ def period_slots(spark, parts: list[int]) -> DataFrame:
     return slots.select("slot", "part", F.col("given")[F.col("slot")][F.col("part")].alias("nth"), F.col("given")[F.col("slot")].alias("before"))
 
 
+def whole_parts(sources: list[str | None], weights: dict[str, int], others: int) -> list[tuple[str | None, int]]:
+    """Each source with its part: weighted ones in their order, then the others by name, null last."""
+    rest = sorted((s for s in sources if s is not None and s not in weights)) + [None] * (None in sources)
+    parts = [(s, w * max(1, len(rest))) for s, w in weights.items()] + [(s, others) for s in rest]
+    divisor = math.gcd(*(w for _, w in parts)) or 1
+    return [(s, w // divisor) for s, w in parts]
+
+
 def mix(documents: DataFrame, weights: dict[str, int] | None = None, others: int = OTHERS, block: int = BLOCK, seed: str = SEED, name: str = "mix") -> DataFrame:
     """All columns of the documents (with doc_id and source, and text if there is one) and `name`: a struct of part (the
-    source, or null for others), block, release, deadline, slot and position."""
+    source), block, release, deadline, slot and position."""
     spark = documents.sparkSession
     weights = WEIGHTS if weights is None else weights
-    names, parts = list(weights), [*weights.values(), others]
+    counted = documents.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_PERIOD + 1).collect()  # a row for each source
+    found = whole_parts([r["source"] for r in counted], weights, others)
+    names, parts = [s for s, _ in found], [w for _, w in found]
+    if not parts:
+        return documents.withColumn(name, F.lit(None).cast(MIX))
     period = sum(parts)
-    named = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("source")).cast("int") if names else F.lit(0)
-    part = F.when(F.coalesce(named, F.lit(0)) > 0, named - 1).otherwise(len(names))
+    part = F.when(F.col("source").isNull(), len(names) - 1).otherwise(F.array_position(F.array(*[F.lit(s) for s in names if s is not None]), F.col("source")).cast("int") - 1)
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    docs = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), part.alias("part"), key.alias("key"), F.conv(F.substring(key, 1, HEX_DIGITS), 16, 10).cast("int").alias("range"))
+    digits = 3 + next(i for i in range(8) if 16 ** (3 + i) * RANGE_ROWS >= sum(r["n"] for r in counted))
+    kept = documents.drop(name)
+    docs = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"), part.alias("part"), key.alias("key"), F.conv(F.substring(key, 1, digits), 16, 10).cast("long").alias("range"))
 
-    ranges = docs.groupBy("part", "range").agg(F.count("*").alias("docs"))  # len(parts) * 16 ** HEX_DIGITS rows
+    ranges = docs.groupBy("part", "range").agg(F.count("*").alias("docs"))  # a row for each part and range
     earlier = Window.partitionBy("part").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("part", "range", F.coalesce(F.sum("docs").over(earlier), F.lit(0)).alias("first"))
-    per_part = {r["part"]: r["n"] for r in docs.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row for each part
-    have = F.array(*[F.lit(int(per_part.get(i, 0))).cast("bigint") for i in range(len(parts))])
+    per_source = {r["source"]: r["n"] for r in counted}
+    have = F.array(*[F.lit(int(per_source.get(s, 0))).cast("bigint") for s in names])
 
     tie = [F.xxhash64("row.text")] if "text" in documents.columns else []
     inside = Window.partitionBy("part", "range").orderBy("key", "row.doc_id", *tie)
@@ -74,12 +92,12 @@ def mix(documents: DataFrame, weights: dict[str, int] | None = None, others: int
     share = _ints(parts)[F.col("part")]
     blocks = ranked.select("row", "part", F.floor(at / block).alias("block"), (at % block).alias("place"), share.alias("share"))
     blocks = blocks.withColumn("nth", (F.col("block") % F.col("share")).cast("int"))
-    # one row for each part and turn, MAX_PERIOD at most
+    # a row for each slot, MAX_PERIOD at most
     placed = blocks.join(F.broadcast(period_slots(spark, parts).withColumnRenamed("slot", "period_slot")), ["part", "nth"])
     rounds = F.floor(F.col("block") / F.col("share"))
     ahead = F.transform(have, lambda n, s: F.least(n, block * (rounds * _ints(parts)[s] + F.col("before")[s])))
     position = F.aggregate(ahead, F.lit(0).cast("bigint"), lambda a, b: a + b) + F.col("place")
-    source = F.when(F.col("part") < len(names), F.array(*[F.lit(n) for n in [*names, None]])[F.col("part")])
+    source = F.array(*[F.lit(n).cast("string") for n in names])[F.col("part")]
     return placed.select(
         "row.*",
         F.struct(

@@ -5,24 +5,26 @@ from __future__ import annotations
 
 from . import line_spread, merkle, mixing
 
-_PARTS = [*mixing.WEIGHTS.values(), mixing.OTHERS]
-_K, _H, _B = len(_PARTS), sum(_PARTS), mixing.BLOCK
-
-OP4 = f"""WITH RECURSIVE sched AS (
-SELECT 0 AS t, {[0] * _K} AS given, 0 AS part, false AS placed
+_NAMES, _GIVEN, _B = list(mixing.WEIGHTS), list(mixing.WEIGHTS.values()), mixing.BLOCK
+
+OP4 = f"""WITH RECURSIVE rest AS (SELECT DISTINCT source FROM documents WHERE source IS NULL OR NOT list_contains({_NAMES}, source)),
+raw AS (SELECT unnest({_NAMES}) AS source, unnest({_GIVEN}) * greatest(1, (SELECT count(*) FROM rest)) AS w, unnest(range({len(_NAMES)})) AS ord UNION ALL SELECT source, {mixing.OTHERS}, {len(_NAMES)} - 1 + row_number() OVER (ORDER BY source NULLS LAST) FROM rest),
+numbered AS (SELECT source, w, row_number() OVER (ORDER BY ord) - 1 AS part FROM raw),
+whole AS (SELECT list(w ORDER BY part) AS ws, list_reduce(list(w ORDER BY part), lambda a, b: gcd(a, b)) AS g FROM numbered),
+cfg AS (SELECT list_transform(ws, lambda w: w // g) AS shares, CAST(list_sum(list_transform(ws, lambda w: w // g)) AS BIGINT) AS h, len(ws) AS k FROM whole),
+sched AS (SELECT 0 AS t, (SELECT list_transform(range(0, k), lambda s: 0) FROM cfg) AS given, CAST(0 AS BIGINT) AS part, false AS placed
 UNION ALL
 SELECT t + 1, list_transform(given, lambda n, i: n + CASE WHEN i - 1 = s THEN 1 ELSE 0 END), s, true FROM (
-SELECT t, given, list_min(list_filter(list_transform(range(0, {_K}), lambda s: CASE WHEN given[s + 1] * {_H} // {_PARTS}[s + 1] <= t THEN CAST(ceil((given[s + 1] + 1) * {_H} / {_PARTS}[s + 1]) AS BIGINT) * 1000 + s END), lambda x: x IS NOT NULL)) % 1000 AS s
-FROM sched WHERE t < {_H})),
+SELECT t, given, list_min(list_filter(list_transform(range(0, k), lambda s: CASE WHEN given[s + 1] * h // shares[s + 1] <= t THEN CAST(ceil((given[s + 1] + 1) * h / shares[s + 1]) AS BIGINT) * 100000 + s END), lambda x: x IS NOT NULL)) % 100000 AS s
+FROM sched, cfg WHERE t < h)),
 slots AS (SELECT t - 1 AS slot, part, given[part + 1] - 1 AS nth, list_transform(given, lambda n, i: n - CASE WHEN i - 1 = part THEN 1 ELSE 0 END) AS before FROM sched WHERE placed),
-dealt AS (SELECT doc_id, source, coalesce(list_position({list(mixing.WEIGHTS)}, source) - 1, {_K - 1}) AS part, md5('{mixing.SEED}:' || doc_id) AS k FROM documents),
-named AS (SELECT doc_id, source, CASE WHEN part < 0 THEN {_K - 1} ELSE part END AS part, k FROM dealt),
+named AS (SELECT doc_id, d.source, part, md5('{mixing.SEED}:' || doc_id) AS k FROM documents d JOIN numbered n ON n.source IS NOT DISTINCT FROM d.source),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY k, doc_id) - 1 AS pos FROM named),
-have AS (SELECT list_transform(range(0, {_K}), lambda s: len(list_filter(p, lambda x: x = s))) AS have FROM (SELECT list(part) AS p FROM named)),
-blocks AS (SELECT doc_id, source, part, pos, pos // {_B} AS block, {_PARTS}[part + 1] AS share FROM ranked),
+have AS (SELECT list(n ORDER BY part) AS have FROM (SELECT p.part, count(d.doc_id) AS n FROM numbered p LEFT JOIN named d USING (part) GROUP BY p.part)),
+blocks AS (SELECT doc_id, source, part, pos, pos // {_B} AS block, shares[part + 1] AS share FROM ranked, cfg),
 placed AS (SELECT b.*, s.slot, s.before, b.block // share AS rounds FROM blocks b JOIN slots s ON s.part = b.part AND s.nth = b.block % b.share)
-SELECT doc_id, source, {list(mixing.WEIGHTS)}[part + 1] AS part, block, block * {_H} // share AS release, CAST(ceil((block + 1) * {_H} / share) AS BIGINT) AS deadline, rounds * {_H} + slot AS slot,
-CAST(list_sum(list_transform(range(0, {_K}), lambda s: least(have[s + 1], {_B} * (rounds * {_PARTS}[s + 1] + before[s + 1])))) + pos % {_B} AS BIGINT) AS position FROM placed, have"""
+SELECT doc_id, source, source AS part, block, block * h // share AS release, CAST(ceil((block + 1) * h / share) AS BIGINT) AS deadline, rounds * h + slot AS slot,
+CAST(list_sum(list_transform(range(0, k), lambda s: least(have[s + 1], {_B} * (rounds * shares[s + 1] + before[s + 1])))) + pos % {_B} AS BIGINT) AS position FROM placed, have, cfg"""
 
 OP6 = rf"""WITH t AS (SELECT row_number() OVER () AS row, page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS site,
 regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '[ \t\r\n\f]+', ' ', 'g'),

@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import storage
@@ -24,6 +24,7 @@ from .encode import END_ID, encoder, text_groups, tokenizer_path
 
 DOCS_PER_FILE = 5000
 STRIPE_BYTES = 16 << 20
+FILE_BLOCK = 1024  # files whose sums one window holds
 ROW_GROUP = 1000  # rows of an entry of the row index
 _FILE = "doc_id bigint, start bigint, n_tokens bigint, ids array<int>"
 
@@ -86,10 +87,9 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it in all files), n_tokens and the CRC of the ids, from the files."""
     rows = read_tokens(spark, path).mapInArrow(_digest, "doc_id bigint, start bigint, file int, n_tokens bigint, ids_crc32 bigint")
     rows = storage.materialize(rows, "token-digest")
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("ids")).collect()  # a row for each file
-    before, sums = 0, []
-    for file, ids in sorted(tuple(r) for r in totals):
-        sums.append((file, before))
-        before += ids
-    offsets = spark.createDataFrame(sums, "file int, before bigint")
+    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("ids")).withColumn("block", F.floor(F.col("file") / FILE_BLOCK))
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for FILE_BLOCK files
+    blocks = totals.groupBy("block").agg(F.sum("ids").alias("ids")).select("block", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("block_before"))
+    inside = Window.partitionBy("block").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("file_before", F.coalesce(F.sum("ids").over(inside), F.lit(0))).join(blocks, "block").select("file", (F.col("block_before") + F.col("file_before")).alias("before"))
     return rows.join(offsets, "file").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
