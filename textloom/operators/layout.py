@@ -22,10 +22,12 @@ def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def non_maximum_suppression(regions: DataFrame, most: float = IOU, by: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
-    """Of regions of a page that overlap by more than `most` (IoU) the most confident; ties to the first."""
+    """Of regions of a page that overlap by more than `most` (IoU) the most confident; ties to the lesser box, then to the
+    lesser row by the other columns."""
+    others = [c for c in regions.columns if c not in ("conf", *_BOX)]
 
     def keep(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["conf", *_BOX], ascending=[False] + [True] * 4, kind="stable")
+        page = page.sort_values(["conf", *_BOX, *others], ascending=[False] + [True] * (len(page.columns) - 1))
         boxes, kept = page[_BOX].to_numpy(float), []
         for i in range(len(boxes)):
             if kept:

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "bm25_batch"
-_MODULES = ("usage", "search", "routing", "stores", "conversations", "quality", "pages", "catalog", "workspace", "relational")
+_MODULES = ("usage", "search", "routing", "stores", "conversations", "quality", "pages", "catalog", "workspace", "parts", "relational")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

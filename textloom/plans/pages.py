@@ -98,7 +98,13 @@ _ITEM = f"SELECT page_id, url, coalesce({{t}}, url) AS title, substring({_strip(
 _H1 = _strip("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")
 _TITLE = f"CASE WHEN regexp_matches(html, '(?is)<h1[^>]*>.*?</h1>') THEN {_H1} END"
 _BLOCK = "html|head|body|h1|h2|h3|h4|p|div|section|article|header|footer|nav|table|thead|tbody|tr|ul|ol|li"
+_PACK = r"""c AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS content FROM documents),
+s AS (SELECT doc_id, content, list_transform(string_split_regex(content, '\n\s*\n'), lambda p: {'done': []::VARCHAR[], 'now': p}) AS parts FROM c),
+f AS (SELECT doc_id, content, list_reduce(list_prepend({'done': []::VARCHAR[], 'now': ''}, parts), lambda a, x: CASE WHEN length(a.now) + length(x.now) > 800 AND a.now <> '' THEN {'done': list_append(a.done, trim(a.now)), 'now': x.now}
+WHEN a.now = '' THEN {'done': a.done, 'now': x.now} ELSE {'done': a.done, 'now': a.now || chr(10) || chr(10) || x.now} END) AS r FROM s),
+g AS (SELECT doc_id, CASE WHEN length(content) <= 800 THEN [content] WHEN r.now <> '' THEN list_append(r.done, trim(r.now)) ELSE r.done END AS chunks FROM f)"""
 SQL = {
+    "chunk_pack": f"WITH {_PACK} SELECT doc_id, CAST(generate_subscripts(chunks, 1) - 1 AS INTEGER) AS chunk, unnest(chunks) AS content FROM g",
     "html_title": f"SELECT page_id, {_TITLE} AS title FROM pages",
     "html_strip": f"SELECT page_id, {_strip('html')} AS text FROM pages",
     "page_index": _ITEM.format(t=_TITLE, n=5000),

@@ -159,6 +159,10 @@ ELSE {{'x0': a.x0, 'y0': greatest(a.y0, c.y1), 'x1': a.x1, 'y1': a.y1, 'gone': f
 SELECT own, nth, x0, round(CASE WHEN cs IS NULL THEN y0 ELSE f.y0 END, 6) AS y0, x1, round(CASE WHEN cs IS NULL THEN y1 ELSE f.y1 END, 6) AS y1 FROM r
 WHERE cs IS NULL OR (x1 - x0) * (y1 - y0) > 0 AND NOT f.gone AND f.y1 > f.y0 AND f.y1 - f.y0 >= 5""",
     "blocks_outside_tables": f"WITH {_BOXES} SELECT own, nth FROM boxes a WHERE nth > 1 AND NOT EXISTS (SELECT 1 FROM boxes t WHERE t.nth = 1 AND t.doc_id = a.doc_id AND t.page = a.page AND a.x0 < t.x1 AND a.x1 > t.x0 AND a.y0 < t.y1 AND a.y1 > t.y0)",
+    "regions_kept": f"""WITH {_BOXES}, l AS (SELECT list({{'kept': [boxes][1:0], 'b': boxes}} ORDER BY conf DESC, x0, y0, x1, y1, doc_id, page, nth, own) AS bs FROM boxes GROUP BY doc_id, page),
+f AS (SELECT list_reduce(list_prepend({{'kept': list_transform(bs, lambda x: x.b)[1:0], 'b': bs[1].b}}, bs), lambda a, x: CASE WHEN len(list_filter(a.kept, lambda k: greatest(0, least(k.x1, x.b.x1) - greatest(k.x0, x.b.x0)) * greatest(0, least(k.y1, x.b.y1) - greatest(k.y0, x.b.y0))
+> 0.3 * ((k.x1 - k.x0) * (k.y1 - k.y0) + (x.b.x1 - x.b.x0) * (x.b.y1 - x.b.y0) - greatest(0, least(k.x1, x.b.x1) - greatest(k.x0, x.b.x0)) * greatest(0, least(k.y1, x.b.y1) - greatest(k.y0, x.b.y0))))) > 0 THEN a ELSE {{'kept': list_append(a.kept, x.b), 'b': x.b}} END).kept AS kept FROM l)
+SELECT k.* FROM (SELECT unnest(kept) AS k FROM f)""",
     "reading_order": f"WITH {_BOXES} SELECT own, nth, CASE WHEN x1 - x0 > 60 THEN 'full' WHEN (x0 + x1) / 2 < 50 THEN 'left' ELSE 'right' END AS \"column\" FROM boxes",
     "overlapping_pairs": f"""WITH {_BOXES}, p AS (SELECT own, a.nth AS n1, b.nth AS n2, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS s, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS t FROM boxes a JOIN boxes b USING (own) WHERE a.nth < b.nth)
 SELECT own, n1, n2, round(s / (t - s), 6) AS iou FROM p""",
