@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
-from .text import Lookup, chunks, column_bytes, distinct, words
+from .text import Lookup, chunks, column_bytes, distinct, mix, words
 
 #: A word with at least this share of all training tokens is a unit of the seed: 2 ** 11 words at most, in a corpus of any size.
 UNIT_SHARE = 2**-11
@@ -37,7 +37,8 @@ KNOWN_SHARE = 2**-20
 SUFFIX_UNITS = 512
 CLASSES = 64
 SWEEPS = 8
-WORD_SWEEPS = 2  # over all words, after the seed
+WORD_SWEEPS = 3  # after the seed, in Spark
+MOVING_PARTS = 2  # a sweep moves one of so many parts of the words
 BLOCK_BYTES = 1 << 18
 #: How often a word has a class after it (at), before it (CLASSES + at), or itself (2 * CLASSES). Those of once go as `at` alone.
 ENTRY = np.dtype([("at", "u1"), ("n", "<i8")])
@@ -489,7 +490,12 @@ def best_classes(both: np.ndarray, old: np.ndarray, word: np.ndarray, at: np.nda
     return np.where(gain[all_words, new] > gain[all_words, old] + 1e-6, new, old)
 
 
-def _assigner(sent_both) -> Callable:
+def moves_in(word: np.ndarray, number: int, parts: int) -> np.ndarray:
+    """Whether words may move in a sweep: those of one of so many parts, by their hash, each part in its turn."""
+    return mix(word.view(np.uint64)) % np.uint64(parts) == np.uint64(number % parts)
+
+
+def _assigner(sent_both, number: int, parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = sent_both.value
         tables = [gain_tables(both.T), gain_tables(both)]
@@ -514,18 +520,23 @@ def _assigner(sent_both) -> Callable:
         count = np.bincount(w[as_second], n[as_second], len(word)).astype(np.int64)
         for i in range(0, len(word), 1 << 12):
             a, b = np.searchsorted(w, [i, i + (1 << 12)])
-            best = best_classes(both, old[i : i + (1 << 12)].astype(np.int64), w[a:b] - i, kind[a:b], n[a:b], tables)
+            best = old[i : i + (1 << 12)].astype(np.int64)
+            may = moves_in(word[i : i + (1 << 12)], number, parts)
+            its = np.flatnonzero(may[w[a:b] - i])
+            place = np.cumsum(may) - 1
+            best[may] = best_classes(both, best[may], place[w[a:b][its] - i], kind[a:b][its], n[a:b][its], tables)
             yield pa.record_batch({"word": word[i : i + (1 << 12)], "class": best.astype(np.int32), "n": count[i : i + (1 << 12)]})
 
     return run
 
 
-def sweep(blocks: DataFrame, v: Vocabulary, known: np.ndarray, suffix: np.ndarray, both: np.ndarray) -> DataFrame:
-    """word, class, n: the best class of every training word, by its counts against the classes as they are."""
+def sweep(blocks: DataFrame, v: Vocabulary, known: np.ndarray, suffix: np.ndarray, both: np.ndarray, number: int) -> DataFrame:
+    """word, class, n: for the words that may move in this sweep the best class, by their counts against the classes as they
+    are; for the others the class that they have. All words at once would swing past the best classes."""
     context = blocks.sparkSession.sparkContext.broadcast((v, known, suffix))
     each = blocks.mapInArrow(_context_counter(context), "word bigint, class int, once binary, more binary")
     dealt = each.repartition(storage.tasks(blocks.sparkSession, v.tokens, SWEEP_TOKENS), "word")
-    return dealt.mapInArrow(_assigner(blocks.sparkSession.sparkContext.broadcast(both)), "word bigint, class int, n bigint")
+    return dealt.mapInArrow(_assigner(blocks.sparkSession.sparkContext.broadcast(both), number, MOVING_PARTS), "word bigint, class int, n bigint")
 
 
 @dataclass
@@ -554,8 +565,8 @@ def learn(blocks: DataFrame, v: Vocabulary, counts: DataFrame) -> tuple[Model, D
     of_units = blocks.sparkSession.createDataFrame([(int(w), int(c)) for w, c in zip(v.known[: v.unit_words].view(np.int64), known, strict=False)], "word bigint, own int")
     classes = counts.join(F.broadcast(of_units), "word", "left").select("word", F.coalesce("own", seeds).alias("class"), "n")
     found = None
-    for _ in range(WORD_SWEEPS):
-        moved = sweep(blocks if found is None else found, v, known, suffix, both)
+    for number in range(WORD_SWEEPS):
+        moved = sweep(blocks if found is None else found, v, known, suffix, both, number)
         now = storage.materialize(moved, "brown-classes")
         at_known = now.where((F.col("n") >= max(1, v.tokens * KNOWN_SHARE)) | (F.col("word") == int(END))).toArrow().to_pandas()
         own = known.copy()
