@@ -524,7 +524,8 @@ def _assigner(sent_both, number: int, parts: int) -> Callable:
             may = moves_in(word[i : i + (1 << 12)], number, parts)
             its = np.flatnonzero(may[w[a:b] - i])
             place = np.cumsum(may) - 1
-            best[may] = best_classes(both, best[may], place[w[a:b][its] - i], kind[a:b][its], n[a:b][its], tables)
+            if may.any():
+                best[may] = best_classes(both, best[may], place[w[a:b][its] - i], kind[a:b][its], n[a:b][its], tables)
             yield pa.record_batch({"word": word[i : i + (1 << 12)], "class": best.astype(np.int32), "n": count[i : i + (1 << 12)]})
 
     return run
