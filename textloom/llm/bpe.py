@@ -27,7 +27,7 @@ from . import storage
 from .encode import text_groups, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
-KEPT_STRINGS, KEPT_CHARS = 300_000, 8_000_000  # stretches and fragments that a Python worker remembers; then it starts again
+KEPT_STRINGS, KEPT_CHARS = 1_000_000, 20_000_000  # stretches and fragments that a Python worker remembers; then it starts again
 WINDOW = 1 << 20  # characters of a text that are in work at a time
 TOGETHER = 5000  # new stretches that the pre-tokenizer gets as one text
 DECODED_IDS = 1 << 16  # ids that are in work at a time
