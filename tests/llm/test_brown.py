@@ -153,3 +153,58 @@ def test_answers_stand_in_the_order_of_what_is_asked():
     assert list(got["class"]) == [5, brown.NONE, 2] and np.frombuffer(got["n"], np.int64).tolist() == [1, 0, 40]
     none = brown._answer(asked, rows([], [], [])).to_pylist()[0]
     assert list(none["class"]) == [brown.NONE] * 3
+
+
+def test_scores_are_those_of_a_plain_class_bigram_model(spark, two_kinds, monkeypatch):
+    """The scorer's sums against dictionaries: class transitions, words of their own, and the rest of each class."""
+    monkeypatch.setattr(brown, "UNIT_SHARE", 0.02)
+    train = two_kinds.withColumn("held_out", F.lit(False))
+    counts = brown.word_counts(two_kinds)
+    v = brown.vocabulary(counts)
+    model, classes, found = brown.learn(brown.coded(train, v).cache(), v, counts)
+    place = {r["word"]: r["class"] for r in classes.collect()}
+    hashed = lambda w: int(text.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0].view(np.int64)[0]) if w else 0
+    docs = {r.doc_id: [*tokens(r.text), None] for r in two_kinds.collect()}
+    n = Counter(w for own in docs.values() for w in own)
+    k, total = len(model.transition), sum(n.values())
+    at = {w: place[hashed(w)] for w in n}
+    both, after = Counter(), Counter()
+    for own in docs.values():
+        for a, b in zip([None, *own[:-1]], own):
+            both[at[a], at[b]] += 1
+            after[at[a]] += 1
+    column = Counter()
+    for (_, b), x in both.items():
+        column[b] += x
+    alone = {w for w in n if w is None or n[w] >= max(1, total * 0.02)}
+    rest, types = Counter(), Counter()
+    for w in set(n) - alone:
+        rest[at[w]] += n[w]
+        types[at[w]] += 1
+    units = {c: sum(n[w] + 1 for w in alone if at[w] == c) + rest[c] + 1 for c in range(k)}
+
+    def token(a, b):
+        c, d = at[a], at[b]
+        step = (both[c, d] + k * (column[d] + 1) / (total + k)) / (after[c] + k)
+        inner = (n[b] + 1) / units[d] if b in alone else (rest[d] + 1) / units[d] * (n[b] + 1) / (rest[d] + types[d] + 1)
+        return math.log10(step) + math.log10(inner)
+
+    got = found.mapInArrow(brown._scorer(spark.sparkContext.broadcast(model)), brown._SCORED).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        own = docs[r.doc_id]
+        assert r.score == pytest.approx(sum(token(a, b) for a, b in zip([None, *own[:-1]], own)), abs=1e-6)
+
+
+def test_each_sweep_moves_its_own_part_and_raises_the_likelihood(spark, two_kinds, monkeypatch):
+    monkeypatch.setattr(brown, "UNIT_SHARE", 0.02)
+    seen, plain = [], brown.likelihood
+    monkeypatch.setattr(brown, "likelihood", lambda both: (seen.append(plain(both)), seen[-1])[1])
+    counts = brown.word_counts(two_kinds)
+    v = brown.vocabulary(counts)
+    brown.learn(brown.coded(two_kinds.withColumn("held_out", F.lit(False)), v).cache(), v, counts)
+    pairs = list(zip(seen[::2], seen[1::2]))  # of the next classes, and of those before
+    assert pairs and all(new > old for new, old in pairs[:-1]) and pairs[0][0] > pairs[0][1]
+    word = np.arange(1000, dtype=np.int64)
+    parts = [brown.moves_in(word, i, 2) for i in range(3)]
+    assert (parts[0] ^ parts[1]).all() and (parts[0] == parts[2]).all() and 300 < parts[0].sum() < 700

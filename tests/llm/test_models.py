@@ -74,6 +74,18 @@ def test_few_and_no_vectors(spark):
     assert ann.nearest(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_scores_are_those_of_plain_means_and_softmax(spark):
+    rows, labels = labelled(200)
+    model = toxicity.train([t for _, t, _ in rows], np.array([t for _, _, t in labels]), epochs=2)
+    texts = [rows[3][1], "Some NEW words, words", "grumblefoo", "", "日本 語"]
+    out = toxicity.with_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()
+    for r in out:
+        bags = [model.table[toxicity.word_buckets(w)].astype(float).mean(0) for w in toxicity.distinct_words(r.text)]
+        mean = np.mean(bags, 0) * toxicity.SCALE if bags else np.zeros(toxicity.DIMENSIONS)
+        p = np.exp(mean @ model.softmax + model.bias)
+        assert abs(r.score - p[1] / p.sum()) < 1e-5
+
+
 def test_slots_are_those_of_a_simulated_schedule(spark):
     for parts in ([1], [2, 1], [5, 3, 2], [20, 10, 10, 5, 5, 50], [1] * 7 + [13]):
         period, given, want = sum(parts), [0] * len(parts), []
