@@ -12,7 +12,9 @@ the k + 1 least vec_ids are enough for any answer, so a vector that is very freq
 buckets are dealt out in chunks of CHUNK vectors and CHUNK queries.
 
 Vectors that are null, zero, of another length than most, or hold nulls or non-finite numbers take no part, nor do rows
-with a null vec_id. Repeated rows (equal id and vector) are one. With fewer candidates than k a query gets all of them.
+with a null vec_id. Repeated rows (equal id and vector) are one. Of an id with several vectors each that is a query is
+answered, under the same query_id, and each that is near is a neighbour, so an id may then stand at two ranks. With fewer
+candidates than k a query gets all of them.
 """
 
 from __future__ import annotations
@@ -183,8 +185,8 @@ def nearest(embeddings: DataFrame, is_query, k: int = K, tables: int = TABLES, w
     sent = spark.sparkContext.broadcast(hashing)
     equal = Window.partitionBy("vector").orderBy("vec_id")
     index = vectors.withColumn("n", F.row_number().over(equal)).where(F.col("n") <= k + 1).select("vec_id", "vector")
-    asking = vectors.where(is_query).withColumn("query", F.min("vec_id").over(Window.partitionBy("vector")))
-    asking = storage.materialize(asking, "ann-queries")
+    least = vectors.where(is_query).groupBy("vector").agg(F.min("vec_id").alias("query"))  # equal queries are one, however many
+    asking = storage.materialize(vectors.where(is_query).join(least, "vector"), "ann-queries")
     asked = asking.where(F.col("vec_id") == F.col("query")).select("query", "vector")
 
     buckets = storage.materialize(index.mapInArrow(_buckets(sent), "tab int, grp int, code bigint, vec_id bigint, vector array<double>"), "ann-buckets")
