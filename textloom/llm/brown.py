@@ -382,7 +382,7 @@ def likelihood(both: np.ndarray) -> float:
     return float(_xlogx(both).sum() - _xlogx(both.sum(0)).sum() - _xlogx(both.sum(1)).sum())
 
 
-def _context_counter(sent) -> Callable:
+def _context_counter(sent, number: int, parts: int) -> Callable:
     """word, class, once, more (see ENTRY): how often each class stands before and after a word, in training."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,8 +419,10 @@ def _context_counter(sent) -> Callable:
                     continue
                 before = np.r_[v.end, now[:-1]]
                 same = before == now
-                at = np.r_[now[~same] * 256 + CLASSES + c[before[~same]], before[~same] * 256 + c[now[~same]], now[same] * 256 + 2 * CLASSES]
-                key, n = distinct(at)
+                may = moves_in(np.r_[v.known, b.words], number, parts)  # of the others only their number is told
+                as_second = now * 256 + np.where(may[now], np.where(same, 2 * CLASSES, CLASSES + c[before]), CLASSES)
+                as_first = (before * 256 + c[now])[~same & may[before]]
+                key, n = distinct(np.r_[as_second, as_first])
                 code = key >> 8
                 words.append(np.r_[v.known, b.words][code])
                 olds.append(c[code])
@@ -492,7 +494,7 @@ def best_classes(both: np.ndarray, old: np.ndarray, word: np.ndarray, at: np.nda
 
 def moves_in(word: np.ndarray, number: int, parts: int) -> np.ndarray:
     """Whether words may move in a sweep: those of one of so many parts, by their hash, each part in its turn."""
-    return mix(word.view(np.uint64)) % np.uint64(parts) == np.uint64(number % parts)
+    return mix(np.ascontiguousarray(word).view(np.uint64)) % np.uint64(parts) == np.uint64(number % parts)
 
 
 def _assigner(sent_both, number: int, parts: int) -> Callable:
@@ -535,7 +537,7 @@ def sweep(blocks: DataFrame, v: Vocabulary, known: np.ndarray, suffix: np.ndarra
     """word, class, n: for the words that may move in this sweep the best class, by their counts against the classes as they
     are; for the others the class that they have. All words at once would swing past the best classes."""
     context = blocks.sparkSession.sparkContext.broadcast((v, known, suffix))
-    each = blocks.mapInArrow(_context_counter(context), "word bigint, class int, once binary, more binary")
+    each = blocks.mapInArrow(_context_counter(context, number, MOVING_PARTS), "word bigint, class int, once binary, more binary")
     dealt = each.repartition(storage.tasks(blocks.sparkSession, v.tokens, SWEEP_TOKENS), "word")
     return dealt.mapInArrow(_assigner(blocks.sparkSession.sparkContext.broadcast(both), number, MOVING_PARTS), "word bigint, class int, n bigint")
 
