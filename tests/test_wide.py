@@ -158,3 +158,29 @@ def test_workbooks(spark, book, tmp_path):
     last = frame.where("sheet = 'Many' and row_no = 4501").first().cells
     assert len(last) == 27 and last[:2] == ["4501", "TRUE"] and last[26] == "1125.25"
     assert sheets.workbooks(spark, str(tmp_path)).drop("path").exceptAll(frame.drop("path")).count() == 0
+
+
+def test_an_analyser_and_what_stands_in_for_it(spark):
+    from textloom.plans.search import analyser
+
+    frame = spark.createDataFrame([(1, "Radar-2 sees a PLANE, é!"), (2, None), (3, "")], "id int, text string")
+    nouns = search.analysed(analyser, {"N", "SN"})
+    assert [r.t for r in frame.select("id", nouns(F.col("text")).alias("t")).orderBy("id").collect()] == [["radar", "2", "sees", "a", "plane"], [], []]
+
+    def absent():
+        raise ImportError("no such library")
+
+    plain = search.analysed(absent, {"N"})
+    assert [r.t for r in frame.select("id", plain(F.col("text")).alias("t")).orderBy("id").collect()] == [["radar-2", "sees", "plane,", "é!"], [], []]
+
+
+def test_reports_and_percents(spark):
+    from textloom.operators import toc, usage
+
+    entries = spark.createDataFrame([(1, 0, "One", 1, 3, True), (1, 1, "Fig", 1, None, False), (1, 2, "Two", 2, None, True)], "doc_id int, pos int, clean_text string, heading_level int, page_number int, is_section boolean")
+    matches = spark.createDataFrame([(1, 0, True, 3, 0.9, []), (1, 2, False, None, None, [("Too " * 40, 5, 0.61)])], "doc_id int, pos int, matched boolean, page_num int, similarity double, suggestions array<struct<text:string,page:int,similarity:double>>")
+    lines = [r.line for r in toc.report(entries, matches, "f.pdf").orderBy("line_no").collect()]
+    assert lines == ["[report] f.pdf", "-" * 50, '✓ h1: "One" (p.3) → matched (similarity 0.90)', '- [skipped] "Fig" (figure or table)', '✗ h2: "Two" (p.?) → no match', f'   near: "{("Too " * 40)[:60]}" (p.5, 0.61)', "-" * 50, "2 sections | 1 matched (50.0%) | 1 not"]
+    counts = spark.createDataFrame([("a", 8), ("b", 3), ("c", 0)], "k string, n int")
+    assert {r.k: r.percent for r in usage.percent_of_most(counts).collect()} == {"a": 100, "b": 38, "c": 0}
+    assert {r.percent for r in usage.percent_of_most(counts.withColumn("n", F.lit(0))).collect()} == {0} and usage.percent_of_most(counts.limit(0)).count() == 0

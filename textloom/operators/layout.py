@@ -42,6 +42,11 @@ def non_maximum_suppression(regions: DataFrame, most: float = IOU, by: tuple[str
     return regions.groupBy(*by).applyInPandas(keep, regions.schema)
 
 
+def long_enough(regions: DataFrame, least: int) -> DataFrame:
+    """Regions whose text has `least` characters or more; with 0 all, also those without a text."""
+    return regions.where(F.length("text") >= least) if least > 0 else regions
+
+
 def clip_by_captures(regions: DataFrame, captures: DataFrame, order: str = "nth", drop: float = DROP_SHARE, least: float = LEAST_HEIGHT) -> DataFrame:
     """Text regions without what captured ones (figures, tables) of their page cover, one after another by `order`.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -94,6 +94,32 @@ def report_lines(entries: DataFrame, matches: DataFrame) -> DataFrame:
     return entries.join(matches, ["doc_id", "pos"]).select("doc_id", "pos", mark.alias("line"))
 
 
+def report(entries: DataFrame, matches: DataFrame, name: str, rule: str = "-" * 50) -> DataFrame:
+    """doc_id, line_no and line of each document's report: a head, a line for each entry with its level and page, its
+    suggestions (60 characters of each) below one that has no match, and a foot with how many sections were matched.
+
+    entries: doc_id, pos, clean_text, heading_level, page_number and is_section; matches as `match` gives them."""
+    both = entries.join(matches.select("doc_id", "pos", "matched", "page_num", "similarity", "suggestions"), ["doc_id", "pos"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    quoted = F.concat(F.lit('"'), F.col("clean_text"), F.lit('"'))
+    level = F.concat(F.lit("h"), F.col("heading_level").cast("string"), F.lit(": "), quoted)
+    own = (
+        F.when(~F.col("is_section"), F.concat(F.lit("- [skipped] "), quoted, F.lit(" (figure or table)")))
+        .when(F.col("matched"), F.concat(F.lit("✓ "), level, F.format_string(" (p.%d) → matched (similarity %.2f)", "page_num", "similarity")))
+        .otherwise(F.concat(F.lit("✗ "), level, F.concat(F.lit(" (p."), F.coalesce(F.col("page_number").cast("string"), F.lit("?")), F.lit(") → no match"))))
+    )
+    near = F.transform("suggestions", lambda s: F.concat(F.lit('   near: "'), F.substring(s["text"], 1, 60), F.format_string('" (p.%d, %.2f)', s["page"], s["similarity"])))
+    shown = F.when(F.col("is_section") & ~F.col("matched"), F.coalesce(near, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    body = both.select("doc_id", F.col("pos").cast("bigint").alias("a"), F.posexplode(F.concat(F.array(own), shown)).alias("b", "line"))
+    counts = both.groupBy("doc_id").agg(F.count_if("is_section").alias("n"), F.count_if(F.col("is_section") & F.col("matched")).alias("m"))
+    rate = F.when(F.col("n") > 0, 100 * F.col("m") / F.col("n")).otherwise(0.0)
+    foot = F.concat(F.col("n").cast("string"), F.lit(" sections | "), F.col("m").cast("string"), F.format_string(" matched (%.1f%%)", rate), F.lit(" | "), (F.col("n") - F.col("m")).cast("string"), F.lit(" not"))
+    low, high = F.lit(-(1 << 62)), F.lit(1 << 62)
+    head = counts.select("doc_id", low.alias("a"), F.posexplode(F.array(F.lit(f"[report] {name}"), F.lit(rule))).alias("b", "line"))
+    last = counts.select("doc_id", high.alias("a"), F.posexplode(F.array(F.lit(rule), foot)).alias("b", "line"))
+    lines = head.unionByName(body).unionByName(last)
+    return lines.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("a", "b"))).alias("line_no"), "line")
+
+
 def tag_headings(blocks: DataFrame, headings: DataFrame, least: int = 2) -> DataFrame:
     """Blocks with the level of the heading whose text is theirs (the last of equals); blocks of digits alone go."""
     last = headings.select("doc_id", match_key(F.col("text")).alias("key_text"), "level", "pos").where(F.length("key_text") >= least).groupBy("doc_id", "key_text").agg(F.max_by("level", "pos").alias("level"))

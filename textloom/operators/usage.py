@@ -45,6 +45,13 @@ def daily_counts(events: DataFrame, kind: str) -> DataFrame:
     return events.where(F.col("event_type") == kind).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
 
 
+def percent_of_most(counts: DataFrame, count: str = "n") -> DataFrame:
+    """Counts with `percent`, their share of the largest one in whole percent; 0 where that is 0."""
+    most = F.broadcast(counts.agg(F.max(count).alias("_most")))  # one row
+    share = F.floor(100 * F.col(count) / F.col("_most") + 0.5).cast("int")
+    return counts.join(most).withColumn("percent", F.when(F.col("_most") > 0, share).otherwise(0)).drop("_most")
+
+
 def feedback_summary(feedback: DataFrame) -> DataFrame:
     """positive, negative and the rounded percentage by route, by confidence and over all. feedback: route, confidence,
     feedback ('positive' or 'negative'). Null and empty routes are UNKNOWN, such confidences unknown."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import memo_snippet
+from ..functions.text import count_score, memo_snippet, snippet
 
 MOST_PAGES = 5
 
@@ -52,6 +52,22 @@ def memo_search(highlights: DataFrame, terms: list[str]) -> DataFrame:
     return highlights.where(hit).select("doc_id", "id", "page", memo_snippet(F.col("memo"), F.col("text")).alias("snippet"))
 
 
+def memos_and_pages(highlights: DataFrame, pages: DataFrame, terms: list[str], most: int = 20) -> DataFrame:
+    """One answer of two kinds: the first `most` highlights that hold a term (by doc_id and id), and the `most` best pages.
+
+    highlights: doc_id, id, page, memo, text; pages: doc_id, title, page, text. A page scores 10 for each term in its title
+    and one for each time that a term stands in its text. Gives kind, place in its kind, doc_id, page, id (null for
+    pages), score (null for memos), snippet, and total, how many rows the answer has."""
+    memos = memo_search(highlights, terms).orderBy("doc_id", "id").limit(most)
+    array, text = F.array(*[F.lit(t.lower()) for t in terms]), F.coalesce("text", F.lit(""))
+    score = count_score(F.coalesce("title", F.lit("")), text, array)
+    found = pages.select("doc_id", "page", score.alias("score"), snippet(text, F.lit(terms[0])).alias("snippet")).where("score > 0").orderBy(F.desc("score"), "doc_id", "page").limit(most)
+    place = lambda *order: F.row_number().over(Window.orderBy(*order))  # noqa: E731  - of `most` rows
+    both = memos.select(F.lit("memo").alias("kind"), place("doc_id", "id").alias("place"), "doc_id", "page", "id", F.lit(None).cast("bigint").alias("score"), "snippet").unionByName(
+        found.select(F.lit("page").alias("kind"), place(F.desc("score"), "doc_id", "page").alias("place"), "doc_id", "page", F.lit(None).cast(highlights.schema["id"].dataType).alias("id"), "score", "snippet"))
+    return both.join(F.broadcast(both.agg(F.count("*").alias("total"))))
+
+
 def by_page(highlights: DataFrame) -> DataFrame:
     """doc_id, page and the ids of its highlights in order of creation."""
     return highlights.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id"))), lambda x: x["id"]).alias("ids")).orderBy("doc_id", "page")

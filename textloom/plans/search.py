@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,19 @@ def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(items(spark, d), one, 20).select("doc_id", "score", "rank")
 
 
+def analyser():
+    """Stands in for a morphological analyser: runs of ASCII letters are nouns, runs of digits numbers, all else symbols."""
+    import re
+
+    pattern = re.compile(r"[a-z]+|[0-9]+|[^a-z0-9\s]+", re.I)
+    return lambda text: [(m, "N" if m[0].isascii() and m[0].isalpha() else "SN" if m[0].isdecimal() else "SY") for m in pattern.findall(text)]
+
+
+def bm25_analysed(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 over the forms that an analyser gives, nouns alone."""
+    return search.bm25(items(spark, d), questions(spark, d), K, tokens=search.analysed(analyser, {"N"})).select("query_id", "doc_id", "score", "rank")
+
+
 def corpus_statistics(spark: SparkSession, d: str) -> DataFrame:
     return search.lengths(items(spark, d)).select("n", F.round("avgdl", 6).alias("avgdl"))
 
@@ -195,11 +210,12 @@ shown AS (SELECT query_id AS case_id, n AS rank, lang || '/' || source || '/' ||
 fits AS (SELECT query_id AS case_id, d.doc_id, CASE WHEN d.doc_id % 2 = 0 THEN lang || '/' || source || '/' || d.doc_id ELSE lang || '/' || source END AS prefix FROM hits_wide h JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = h.query_id WHERE contains(d.text, b.text)),
 marked AS (SELECT *, EXISTS (SELECT 1 FROM fits f WHERE f.case_id = shown.case_id AND starts_with(shown.section, f.prefix)) OR EXISTS (SELECT 1 FROM fits f WHERE f.case_id = shown.case_id AND f.doc_id % 3 = 0 AND 'doc/' || f.doc_id = shown.url) AS correct FROM shown)""")
 
-QUERIES = {f.__name__: f for f in (expected_sections, negative_cases, bm25_batch, bm25_search, corpus_statistics, document_frequencies, naive_search, page_term_count_search, whole_query_search, client_snippets, knn_batch, knn_search, rrf_hybrid, hybrid_reranked, keyword_filtered, filtered_or_all, prefix_dedup_first, decomposed_search, recall_mrr_by_mode, exclusive_wins)}
+QUERIES = {f.__name__: f for f in (expected_sections, negative_cases, bm25_analysed, bm25_batch, bm25_search, corpus_statistics, document_frequencies, naive_search, page_term_count_search, whole_query_search, client_snippets, knn_batch, knn_search, rrf_hybrid, hybrid_reranked, keyword_filtered, filtered_or_all, prefix_dedup_first, decomposed_search, recall_mrr_by_mode, exclusive_wins)}
 _LIST_QUERY = "[" + ", ".join(str(((i * 37) % 17 - 8) / 32) for i in range(64)) + "]::DOUBLE[]"
 SQL = {
     "bm25_batch": _sql(ITEMS_SQL, QUESTIONS_SQL, _POSTED, _bm25_sql("questions", K), select="SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM hits"),
     "bm25_search": _sql(ITEMS_SQL, "one AS (SELECT CAST(0 AS BIGINT) AS query_id, 'the reention onthe worthless' AS text)", _POSTED, _bm25_sql("one", 20), select="SELECT doc_id, score, CAST(rank AS INTEGER) AS rank FROM hits"),
+    "bm25_analysed": re.sub(r"list_filter\(string_split_regex\(trim\(lower\((\w+)\)\).*?>= 2\)", r"regexp_extract_all(lower(\1), '[a-z]+')", _sql(ITEMS_SQL, QUESTIONS_SQL, _POSTED, _bm25_sql("questions", K), select="SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM hits")),
     "corpus_statistics": _sql(ITEMS_SQL, _POSTED, select="SELECT n, round(avgdl, 6) AS avgdl FROM stats"),
     "document_frequencies": _sql(ITEMS_SQL, _POSTED, select="SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM posted GROUP BY term"),
     "naive_search": _sql(ITEMS_SQL, select=f"SELECT doc_id, score FROM (SELECT doc_id, {_PRESENT} AS score FROM items) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50"),

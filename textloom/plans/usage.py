@@ -49,6 +49,11 @@ _FEEDBACK = """SELECT CASE WHEN lang = 'es' THEN 'UNKNOWN' ELSE lang END AS rout
 FROM labels JOIN documents USING (doc_id)"""
 
 
+def daily_purchase_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Each day's purchases in percent of those of the day with most."""
+    return usage.percent_of_most(usage.daily_counts(table(spark, d, "events"), "purchase"))
+
+
 def feedback_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
     return usage.feedback_summary(_feedback(spark, d))
 
@@ -82,7 +87,7 @@ _VISITS = """WITH b AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(t
 n AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS visit FROM b)
 SELECT user_id, CAST(visit AS BIGINT) AS visit, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events FROM n GROUP BY user_id, visit"""
 
-QUERIES = {f.__name__: f for f in (daily_distinct_users, distinct_users_by_window, signup_users_by_window, top_views_by_json_key, top_clicks_by_json_key, purchase_totals, daily_purchases, feedback_grouping_sets, daily_feedback_pivot, recent_negative, visits_gap_120s, visits_gap_1d, active_users_as_of)}
+QUERIES = {f.__name__: f for f in (daily_distinct_users, distinct_users_by_window, signup_users_by_window, top_views_by_json_key, top_clicks_by_json_key, purchase_totals, daily_purchases, daily_purchase_shares, feedback_grouping_sets, daily_feedback_pivot, recent_negative, visits_gap_120s, visits_gap_1d, active_users_as_of)}
 _WINDOWS = """SELECT count(DISTINCT CASE WHEN ts >= date_trunc('day', TIMESTAMP '{0}') AND ts < date_trunc('day', TIMESTAMP '{0}') + INTERVAL 1 DAY THEN user_id END) AS today,
 count(DISTINCT CASE WHEN ts >= TIMESTAMP '{0}' - INTERVAL 7 DAY AND ts <= TIMESTAMP '{0}' THEN user_id END) AS week, count(DISTINCT user_id) AS total FROM events"""
 _TOP = "SELECT json_extract_string(props, '$.k') AS value, count(*) AS n FROM events WHERE event_type = '{0}' AND props IS NOT NULL GROUP BY 1 ORDER BY n DESC, value NULLS FIRST LIMIT {1}"
@@ -94,6 +99,7 @@ SQL = {
     "top_clicks_by_json_key": _TOP.format("click", 20),
     "purchase_totals": "SELECT count(*) AS total, count(*) FILTER (WHERE CAST(ts AS DATE) = DATE '2024-01-30') AS today FROM events WHERE event_type = 'purchase'",
     "daily_purchases": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1",
+    "daily_purchase_shares": "WITH c AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT day, n, CAST(floor(100 * n / (SELECT max(n) FROM c) + 0.5) AS INTEGER) AS percent FROM c",
     "feedback_grouping_sets": f"""WITH f AS ({_FEEDBACK}), s AS (SELECT CASE grouping(route, confidence) WHEN 3 THEN 'total' WHEN 1 THEN 'route' ELSE 'confidence' END AS level, route, confidence,
 count(*) FILTER (WHERE quality = 1) AS positive, count(*) FILTER (WHERE quality = 0) AS negative FROM f GROUP BY GROUPING SETS ((route), (confidence), ()))
 SELECT *, CAST(CASE WHEN positive + negative > 0 THEN round_even(100.0 * positive / (positive + negative), 0) ELSE 0 END AS INTEGER) AS rate FROM s""",

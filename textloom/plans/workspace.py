@@ -123,6 +123,27 @@ def contents_match_rate(spark: SparkSession, d: str) -> DataFrame:
     return toc.match_rate(toc.match(*_contents(spark, d)))
 
 
+def memos_and_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as highlights and documents as pages: both kinds in one answer."""
+    marks = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("id"), F.lit(1).alias("page"), F.when(F.col("role") == "user", F.col("text")).alias("memo"), F.col("text"))
+    own = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.lit(1).alias("page"), "text")
+    return workspace.memos_and_pages(marks, own, ["tion", "ther"], 25)
+
+
+def contents_report(spark: SparkSession, d: str) -> DataFrame:
+    """Reports over conversations: turns as entries, those of the assistant matched on the page of their number."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role", "text")
+    entries = turns.select("doc_id", F.col("turn").alias("pos"), F.col("text").alias("clean_text"), (F.col("turn") % 3 + 1).alias("heading_level"), F.col("turn").alias("page_number"), (F.col("role") != "system").alias("is_section"))
+    near = F.when(F.col("turn") % 2 == 0, F.array(F.struct(F.col("text").alias("text"), F.lit(3).alias("page"), F.lit(0.625).alias("similarity")))).otherwise(F.array().cast("array<struct<text:string,page:int,similarity:double>>"))
+    matches = turns.select("doc_id", F.col("turn").alias("pos"), (F.col("role") == "assistant").alias("matched"), F.col("turn").cast("int").alias("page_num"), F.lit(0.875).alias("similarity"), near.alias("suggestions"))
+    return toc.report(entries, matches, "sample.pdf")
+
+
+def long_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as regions: those of forty characters or more."""
+    return layout.long_enough(table(spark, d, "conversations").select("conv_id", "turn", "text"), 40).select("conv_id", "turn")
+
+
 def contents_candidates(spark: SparkSession, d: str) -> DataFrame:
     entries, blocks = _contents(spark, d)
     return toc.candidates(entries, blocks).groupBy("doc_id", "pos").agg(F.count("*").alias("blocks"))
@@ -144,7 +165,7 @@ def streamed_visits(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz")).withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
 
 
-QUERIES = {f.__name__: f for f in (regions_kept, regions_clipped, blocks_outside_tables, reading_order, overlapping_pairs, dominant_sizes, valid_sessions, page_overlay, pages_after_cancel, translated_counts, structure_profile, sequence_numbers, nearest_figures, memo_search, contents_match_rate, contents_candidates, streamed_visits)}
+QUERIES = {f.__name__: f for f in (regions_kept, regions_clipped, blocks_outside_tables, reading_order, overlapping_pairs, dominant_sizes, valid_sessions, page_overlay, pages_after_cancel, translated_counts, structure_profile, sequence_numbers, nearest_figures, memo_search, memos_and_pages, contents_report, long_regions, contents_match_rate, contents_candidates, streamed_visits)}
 _STORED = "stored AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS page, role AS status FROM conversations), ranges AS (SELECT conv_id AS doc_id, greatest(1, CAST(max(turn) AS INTEGER)) AS last FROM conversations GROUP BY conv_id), active AS (SELECT doc_id, CAST(unnest(range(1, last + 1)) AS INTEGER) AS page FROM ranges)"
 SQL = {
     "streamed_visits": """WITH b AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 120 SECOND THEN 0 ELSE 1 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -163,6 +184,19 @@ WHERE cs IS NULL OR (x1 - x0) * (y1 - y0) > 0 AND NOT f.gone AND f.y1 > f.y0 AND
 f AS (SELECT list_reduce(list_prepend({{'kept': list_transform(bs, lambda x: x.b)[1:0], 'b': bs[1].b}}, bs), lambda a, x: CASE WHEN len(list_filter(a.kept, lambda k: greatest(0, least(k.x1, x.b.x1) - greatest(k.x0, x.b.x0)) * greatest(0, least(k.y1, x.b.y1) - greatest(k.y0, x.b.y0))
 > 0.3 * ((k.x1 - k.x0) * (k.y1 - k.y0) + (x.b.x1 - x.b.x0) * (x.b.y1 - x.b.y0) - greatest(0, least(k.x1, x.b.x1) - greatest(k.x0, x.b.x0)) * greatest(0, least(k.y1, x.b.y1) - greatest(k.y0, x.b.y0))))) > 0 THEN a ELSE {{'kept': list_append(a.kept, x.b), 'b': x.b}} END).kept AS kept FROM l)
 SELECT k.* FROM (SELECT unnest(kept) AS k FROM f)""",
+    "memos_and_pages": """WITH m AS (SELECT conv_id AS doc_id, turn AS id, text, role FROM conversations WHERE contains(lower(text), 'tion') OR contains(lower(text), 'ther')),
+mm AS (SELECT 'memo' AS kind, row_number() OVER (ORDER BY doc_id, id) AS place, doc_id, CAST(1 AS INTEGER) AS page, id, CAST(NULL AS BIGINT) AS score, CASE WHEN length(text) > 120 THEN substring(text, 1, 120) || '...' ELSE text END AS snippet FROM m),
+p AS (SELECT doc_id, text, instr(lower(text), 'tion') AS pos, CASE WHEN contains(lower(source), 'tion') THEN 10 ELSE 0 END + CASE WHEN contains(lower(source), 'ther') THEN 10 ELSE 0 END + CAST((length(text) - length(replace(lower(text), 'tion', ''))) // 4 + (length(text) - length(replace(lower(text), 'ther', ''))) // 4 AS BIGINT) AS score FROM documents),
+pp AS (SELECT 'page' AS kind, row_number() OVER (ORDER BY score DESC, doc_id) AS place, doc_id, CAST(1 AS INTEGER) AS page, CAST(NULL AS BIGINT) AS id, score, CASE WHEN pos > 0 THEN (CASE WHEN greatest(1, pos - 60) > 1 THEN '...' ELSE '' END) || substring(text, greatest(1, pos - 60), least(length(text), pos - 1 + 4 + 60) - greatest(1, pos - 60) + 1) || (CASE WHEN least(length(text), pos - 1 + 4 + 60) < length(text) THEN '...' ELSE '' END) ELSE substring(text, 1, 120) END AS snippet FROM p WHERE score > 0),
+b AS (SELECT * FROM mm WHERE place <= 25 UNION ALL SELECT * FROM pp WHERE place <= 25) SELECT kind, CAST(place AS INTEGER) AS place, doc_id, page, id, score, snippet, (SELECT count(*) FROM b) AS total FROM b""",
+    "contents_report": """WITH t AS (SELECT conv_id AS doc_id, turn, role, text, '"' || text || '"' AS q, turn % 3 + 1 AS l FROM conversations),
+b AS (SELECT doc_id, turn AS a, 0 AS b, CASE role WHEN 'system' THEN '- [skipped] ' || q || ' (figure or table)' WHEN 'assistant' THEN '✓ h' || l || ': ' || q || ' (p.' || turn || ') → matched (similarity 0.88)' ELSE '✗ h' || l || ': ' || q || ' (p.' || turn || ') → no match' END AS line FROM t
+UNION ALL SELECT doc_id, turn, 1, '   near: "' || substring(text, 1, 60) || '" (p.3, 0.63)' FROM t WHERE role NOT IN ('system', 'assistant') AND turn % 2 = 0),
+c AS (SELECT doc_id, count(*) FILTER (WHERE role <> 'system') AS n, count(*) FILTER (WHERE role = 'assistant') AS m FROM t GROUP BY doc_id),
+x AS (SELECT * FROM b UNION ALL SELECT doc_id, -1000, 0, '[report] sample.pdf' FROM c UNION ALL SELECT doc_id, -1000, 1, repeat('-', 50) FROM c UNION ALL SELECT doc_id, 1000000, 0, repeat('-', 50) FROM c
+UNION ALL SELECT doc_id, 1000000, 1, n || ' sections | ' || m || ' matched (' || printf('%.1f', CASE WHEN n > 0 THEN 100.0 * m / n ELSE 0 END) || '%) | ' || (n - m) || ' not' FROM c)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a, b) AS INTEGER) AS line_no, line FROM x""",
+    "long_regions": "SELECT conv_id, turn FROM conversations WHERE length(text) >= 40",
     "reading_order": f"WITH {_BOXES} SELECT own, nth, CASE WHEN x1 - x0 > 60 THEN 'full' WHEN (x0 + x1) / 2 < 50 THEN 'left' ELSE 'right' END AS \"column\" FROM boxes",
     "overlapping_pairs": f"""WITH {_BOXES}, p AS (SELECT own, a.nth AS n1, b.nth AS n2, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS s, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS t FROM boxes a JOIN boxes b USING (own) WHERE a.nth < b.nth)
 SELECT own, n1, n2, round(s / (t - s), 6) AS iou FROM p""",
