@@ -27,14 +27,15 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class _Ids(dict):
-    """Numbers its keys in the order they come and lists the new ones."""
+    """Numbers its keys in the order they come, in one count with others, and lists the new ones with what stands before."""
 
-    def __init__(self):
-        self.new: list[str] = []
+    def __init__(self, count: list[int], new: list[str], before: str):
+        self.count, self.new, self.before = count, new, before
 
     def __missing__(self, key):
-        self[key] = n = len(self)
-        self.new.append(key)
+        self[key] = n = self.count[0]
+        self.count[0] += 1
+        self.new.append(self.before + key)
         return n
 
 
@@ -49,13 +50,16 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.words, self.flat, self.used = _Ids(), np.zeros(1 << 16, np.uint32), 0
+        self.count, self.new = [0], []
+        self.at_start, self.after_space = _Ids(self.count, self.new, ""), _Ids(self.count, self.new, " ")
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self) -> None:
-        new, self.words.new = self.words.new, []
-        if not new:
+        if not self.new:
             return
+        new = self.new.copy()
+        self.new.clear()
         flat, length = self._encode_words(new)
         total = len(flat)
         while self.used + total > len(self.flat):
@@ -90,13 +94,13 @@ class Encoder:
 
     def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The number of each part of each text, and how many parts each text has."""
-        if len(self.words) > CACHE_WORDS:
+        if self.count[0] > CACHE_WORDS:
             self._forget()
-        number, found, many = self.words.__getitem__, [], []
+        first, other, found, many = self.at_start.__getitem__, self.after_space.__getitem__, [], []
         for text in texts:
             parts = text.split(" ") if _UNSAFE.search(text) is None else _CUT.split(text)
-            found.append(number(parts[0]))
-            found.extend(map(number, [" " + p for p in parts[1:]]))
+            found.append(first(parts[0]))
+            found.extend(map(other, parts[1:]))
             many.append(len(parts))
         self._learn()
         return np.array(found, np.int64), np.array(many, np.int64)

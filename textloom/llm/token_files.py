@@ -56,7 +56,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str | None = None,
     ordered = docs.repartitionByRange(files, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     encoded = ordered.mapInArrow(_encode(tokenizer or tokenizer_path(), end_id), _FILE)
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(ROW_GROUP), "orc.stripe.size": str(STRIPE_BYTES)}
-    encoded.write.options(**options).orc(path, compression="zstd")
+    encoded.write.options(**options).orc(path, compression="snappy")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
