@@ -15,18 +15,16 @@ from .catalog import _TREE, _nodes
 from .tables import table
 
 
-_KIND, _NAME = F.col("p_size") % 8, F.col("p_name")
-
-
 def _marked() -> Column:
     """A part's name as a caption, a note, a heading, a line of contents or as it is."""
+    kind, name = F.col("p_size") % 8, F.col("p_name")
     n, m = (F.col("p_size") % 12 + 1).cast("string"), (F.col("p_partkey") % 9 + 1).cast("string")
-    made = [F.concat(F.lit("Figure "), n, F.lit("."), m, F.lit(": "), _NAME), F.concat(F.lit("  table "), n, F.lit(") "), _NAME), F.concat(F.lit("[CAUTION] "), _NAME), F.concat(F.lit("note: "), _NAME),
-            F.concat(n, F.lit("."), m, F.lit(". "), _NAME), F.concat(F.lit("("), n, F.lit(") "), _NAME), F.concat(n, F.lit("."), m, F.lit(" "), _NAME, F.lit(" ..... "), m)]
-    out = F.when(_KIND == 0, made[0])
+    made = [F.concat(F.lit("Figure "), n, F.lit("."), m, F.lit(": "), name), F.concat(F.lit("  table "), n, F.lit(") "), name), F.concat(F.lit("[CAUTION] "), name), F.concat(F.lit("note: "), name),
+            F.concat(n, F.lit("."), m, F.lit(". "), name), F.concat(F.lit("("), n, F.lit(") "), name), F.concat(n, F.lit("."), m, F.lit(" "), name, F.lit(" ..... "), m)]
+    out = F.when(kind == 0, made[0])
     for i, text in enumerate(made[1:], 1):
-        out = out.when(_KIND == i, text)
-    return out.otherwise(_NAME)
+        out = out.when(kind == i, text)
+    return out.otherwise(name)
 
 
 _MARKED = """marked AS (SELECT p_partkey, p_size, CASE p_size % 8 WHEN 0 THEN 'Figure ' || n || '.' || m || ': ' || p_name WHEN 1 THEN '  table ' || n || ') ' || p_name WHEN 2 THEN '[CAUTION] ' || p_name WHEN 3 THEN 'note: ' || p_name
