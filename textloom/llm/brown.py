@@ -37,7 +37,7 @@ KNOWN_SHARE = 2**-20
 SUFFIX_UNITS = 512
 CLASSES = 64
 SWEEPS = 8
-WORD_SWEEPS = 3  # after the seed, in Spark
+WORD_SWEEPS = 2  # after the seed, in Spark: each half of the words moves once
 MOVING_PARTS = 2  # a sweep moves one of so many parts of the words
 BLOCK_BYTES = 1 << 18
 #: How often a word has a class after it (at), before it (CLASSES + at), or itself (2 * CLASSES). Those of once go as `at` alone.
