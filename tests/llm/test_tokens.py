@@ -21,6 +21,26 @@ def test_ids_are_those_of_whole_texts(texts):
         at += n
 
 
+def test_words_that_came_twice_stay_known(monkeypatch):
+    monkeypatch.setattr(encode, "CACHE_WORDS", 20)
+    mine, asked = encode.Encoder(encode.tokenizer_path()), []
+    learn = mine._encode_words
+    monkeypatch.setattr(mine, "_encode_words", lambda new: asked.extend(new) or learn(new))
+    for i in range(30):
+        text = "now and then " + " ".join(f"é{i}x{j}" for j in range(9)) + " and then\n on"
+        ids, sizes = mine.encode([text, "", text + " "], 2)
+        want = [[*mine.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in (text, "", text + " ")]
+        assert ids.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+    assert asked.count("now") == asked.count(" and") == 1 and mine.count[0] < 40
+    assert asked.count(" é0x3") == 1
+    asked.clear()
+    assert mine.encode(["o word, word! word... 7word.,. it's, <|endoftext|>. é\u0301, word"])[0].tolist() == mine.tokenizer.encode("o word, word! word... 7word.,. it's, <|endoftext|>. é\u0301, word", add_special_tokens=False).ids
+    assert asked.count(" word") == 1 and not {" word,", " word!", " word..."} & set(asked)
+    few = " ".join("abcdefghijklmnopqrstuvwxyz" * 2)
+    for _ in range(4):
+        assert mine.encode([few])[0].tolist() == mine.tokenizer.encode(few, add_special_tokens=False).ids
+
+
 def expected(rows):
     return [[*ENCODER.tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2] for r in rows]
 
