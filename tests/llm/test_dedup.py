@@ -104,6 +104,19 @@ def test_repeats_are_those_of_all_strings(documents, rows, length, many):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == brute_repeats(rows, length)
 
 
+def test_repeats_in_bytes_that_are_no_utf8(spark):
+    texts = [bytes([255, 200]) + b"same text " * 9, b"other " + bytes([255]) * 3 + b"same text " * 9, bytes([254]), b"same text " * 8 + bytes([200])]
+    docs = spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(texts)], "doc_id bigint, bytes binary").selectExpr("doc_id", "cast(bytes as string) as text")
+    got = repeats.without_repeats(docs, 60, 16).collect()
+    rows = [(i, t.decode("latin-1")) for i, t in enumerate(texts)]
+
+    class Raw(str):
+        def encode(self):
+            return str.encode(self, "latin-1")
+
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == brute_repeats([(i, Raw(t)) for i, t in rows], 60)
+
+
 def test_order_by_doubling():
     rng = np.random.default_rng(1)
     data = rng.integers(0, 2, 600).astype(np.uint8)
