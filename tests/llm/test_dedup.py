@@ -117,6 +117,16 @@ def test_repeats_in_bytes_that_are_no_utf8(spark):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == brute_repeats([(i, Raw(t)) for i, t in rows], 60)
 
 
+@pytest.mark.parametrize("length, many", [(400, 2048), (640, 1)])
+def test_repeats_of_texts_with_equal_sums_of_powers(spark, length, many):
+    a, b = ("".join(x[i.bit_count() % 2] for i in range(256)) for x in ("A~", "~A"))  # Thue-Morse words
+    middle = "".join(random.Random(1).choices("cdefghijklmn", k=128))  # holds the trigger of all strings
+    rows = [(0, a + middle + b), (1, b + middle + a)]
+    for texts in (rows, [*rows, (2, "head " + rows[1][1] + " tail")]):
+        got = repeats.without_repeats(spark.createDataFrame(texts, "doc_id bigint, text string"), length, 32, many).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == brute_repeats(texts, length)
+
+
 def test_order_by_doubling():
     rng = np.random.default_rng(1)
     data = rng.integers(0, 2, 600).astype(np.uint8)
