@@ -4,7 +4,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import search
+from textloom.functions import text as T
+from textloom.operators import search, toc
 from textloom.plans import search as search_plans
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string"
@@ -102,3 +103,28 @@ def test_repeated_rows_are_one_item(spark, folder):
     for name in ("bm25_batch", "bm25_analysed"):
         got = plain(search_plans.QUERIES[name](spark, d).na.fill(-1))
         assert got == oracle(d, search_plans.SQL[name]) and len(got) == 10
+
+
+def test_headings_that_begin_alike_need_no_ratios(monkeypatch):
+    def never(*_):
+        raise AssertionError("a ratio was counted")
+
+    monkeypatch.setattr(toc.SequenceMatcher, "ratio", never)
+    lines = [f"chapter {'abcdefgh'[i % 8] * 3} of the whole {'xyz'[i % 3]}" for i in range(40)]
+    entries = [(i, i // 10 + 1, t, True) for i, t in enumerate(lines)] + [(40, 1, "qqqq", True), (41, 1, "", True)]
+    blocks = [(i // 10 + 1, i % 10, t.upper(), t) for i, t in enumerate(lines)]
+    found = list(toc._matched(entries, blocks))
+    assert [f[:5] for f in found] == [(i, True, t.upper(), i // 10 + 1, 1.0) for i, t in enumerate(lines)] + [(40, False, None, None, None), (41, False, None, None, None)]
+
+
+def test_entries_without_text_have_no_heading(spark):
+    entries = spark.createDataFrame([(1, 0, 1, "Intro"), (1, 1, 1, None), (2, 0, None, "Alone"), (None, 0, 1, "Intro")], "doc_id bigint, pos int, page_number int, clean_text string")
+    blocks = spark.createDataFrame([(1, None, 0, "nowhere"), (1, 1, 0, None), (1, 1, 1, "Introduction"), (None, 1, 0, "Intros"), (3, 1, 0, "x")], "doc_id bigint, page int, block_idx int, text string")
+    got = {(r.doc_id, r.pos): (r.matched, r.matched_text, r.page_num) for r in toc.match(entries, blocks).collect()}
+    assert got == {(1, 0): (True, "Introduction", 1), (1, 1): (False, None, None), (2, 0): (False, None, None), (None, 0): (True, "Intros", 1)}
+
+
+def test_lines_of_contents_keep_their_readings(spark):
+    lines = ["1.2 One .... 7", "  Two  12 ", "a.b ... 3\n", "x 12", "..... 4", "a\nb .. 5", "· ·· 6", "one … 8 9", "y .. 12  34", "", None]
+    got = [(r.c, r.p, r.k) for r in spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string").select("i", T.toc_clean(F.col("t")).alias("c"), T.toc_page(F.col("t")).alias("p"), T.match_key(F.col("t")).alias("k")).orderBy("i").collect()]
+    assert got == [("1.2 One", 7, "1.2 one ...."), ("Two", 12, "two"), ("a.b", 3, "a.b ... 3"), ("x 12", None, "x"), ("", 4, "....."), ("", 5, "a b .."), ("", 6, "· ··"), ("one … 8 9", None, "one … 8"), ("y .. 12", 34, "y .. 12"), ("", None, ""), (None, None, None)]

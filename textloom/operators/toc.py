@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .. import stored
 from ..functions.text import match_key
 
 FUZZY, SUGGESTED, WINDOW, SUGGESTIONS = 0.80, 0.50, 2, 3
 _DOTS = r"(?:\.{3,}|·{3,}|…)\s*\d+"
 _MATCH = "doc_id bigint, pos int, matched boolean, matched_text string, page_num int, similarity double, suggestions array<struct<text:string,page:int,similarity:double>>"
+_NEAR = pa.struct({"text": pa.string(), "page": pa.int32(), "similarity": pa.float64()})
+_MATCHED = pa.schema({"doc_id": pa.int64(), "pos": pa.int32(), "matched": pa.bool_(), "matched_text": pa.string(), "page_num": pa.int32(), "similarity": pa.float64(), "suggestions": pa.list_(_NEAR)})
 
 
 def toc_pages(pages: DataFrame, words: tuple[str, ...] = ("contents", "목차", "차례"), first: int = 10) -> DataFrame:
@@ -38,50 +46,89 @@ def candidates(entries: DataFrame, blocks: DataFrame, window: int = WINDOW) -> D
     return near.join(blocks, ["doc_id", "page"])
 
 
-def _match(key, entries: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-    out, used = [], set()
-    blocks = blocks.sort_values(["page", "block_idx"]).reset_index(drop=True)
-    for e in entries.sort_values("pos").itertuples():
-        if not e.is_section:
-            out.append((key[0], e.pos, False, None, None, None, []))
+def _begun(key: str, own: range, blocks: list[tuple], used: set[int]) -> tuple | None:
+    """The first free block, or two in a row, that the key begins: similarity, places and text."""
+    for i in own:
+        page, _, text, block = blocks[i]
+        if i in used or not block:
             continue
+        if block.startswith(key):
+            return 1.0, (i,), text
+        after = blocks[i + 1] if i + 1 < len(blocks) else None
+        if after and after[3] and page is not None and after[0] == page and len(block) < len(key) and key.startswith(block) and f"{block} {after[3]}".startswith(key):
+            return 1.0, (i, i + 1), f"{text} {after[2]}"
+    return None
+
+
+def _alike(key: str, own: range, blocks: list[tuple], used: set[int], matchers: dict[int, SequenceMatcher]) -> tuple[tuple | None, list[dict]]:
+    """The most similar free block by FUZZY or more, as _begun gives it, and suggestions. A ratio is counted only where
+    its upper bounds (difflib's quick ones) reach what is asked for."""
+    best, near = None, []
+    for i in own:
+        page, _, text, block = blocks[i]
+        if i in used or not block:
+            continue
+        if i not in matchers:
+            matchers[i] = SequenceMatcher(None, "", block)
+        m = matchers[i]
+        m.set_seq1(key)
+        least = best[0] if best else SUGGESTED
+        if m.real_quick_ratio() < least or m.quick_ratio() < least:
+            continue
+        ratio = m.ratio()
+        if ratio >= FUZZY and (best is None or ratio > best[0]):
+            best = ratio, (i,), text
+        elif ratio >= SUGGESTED:
+            near.append({"text": text, "page": page, "similarity": ratio})
+    near.sort(key=lambda s: -s["similarity"])
+    return best, near[:SUGGESTIONS]
+
+
+def _matched(entries: list[tuple], blocks: list[tuple]) -> Iterator[tuple]:
+    """pos, matched, matched_text, page_num, similarity and suggestions of a document's entries (pos, page_number,
+    key_text, is_section); blocks: page, block_idx, text, key_text. An entry that begins a block needs no ratios."""
+    entries.sort(key=lambda e: (e[0] is None, e[0] or 0))
+    blocks.sort(key=lambda b: (b[0] is None, b[0] or 0, b[1] is None, b[1] or 0))
+    pages = [b[0] for b in blocks if b[0] is not None]
+    used, matchers = set(), {}
+    for pos, page, key, section in entries:
         best, near = None, []
-        own = blocks[(blocks.page >= e.page_number - WINDOW) & (blocks.page <= e.page_number + WINDOW)] if pd.notna(e.page_number) else blocks
-        for b in own.itertuples():
-            if b.Index in used or not b.key_text:
-                continue
-            following = blocks.key_text[b.Index + 1] if b.Index + 1 < len(blocks) and blocks.page[b.Index + 1] == b.page else ""
-            if e.key_text and b.key_text.startswith(e.key_text):
-                best = (1.0, b.Index, b.text)
-                break
-            if e.key_text and following and f"{b.key_text} {following}".startswith(e.key_text):
-                best = (1.0, b.Index, f"{b.text} {blocks.text[b.Index + 1]}")
-                used.add(b.Index + 1)
-                break
-            ratio = SequenceMatcher(None, e.key_text, b.key_text).ratio()
-            if ratio >= FUZZY and (best is None or ratio > best[0]):
-                best = (ratio, b.Index, b.text)
-            elif ratio >= SUGGESTED:
-                near.append((b.text, int(b.page), ratio))
+        if section and key:
+            own = range(len(blocks)) if page is None else range(bisect_left(pages, page - WINDOW), bisect_right(pages, page + WINDOW))
+            best = _begun(key, own, blocks, used)
+            if best is None:
+                best, near = _alike(key, own, blocks, used, matchers)
         if best:
-            used.add(best[1])
-            out.append((key[0], e.pos, True, best[2], int(blocks.page[best[1]]), best[0], []))
+            used.update(best[1])
+            yield pos, True, best[2], blocks[best[1][0]][0], best[0], []
         else:
-            near.sort(key=lambda s: -s[2])
-            out.append((key[0], e.pos, False, None, None, None, [{"text": t, "page": p, "similarity": s} for t, p, s in near[:SUGGESTIONS]]))
-    frame = pd.DataFrame(out, columns=["doc_id", "pos", "matched", "matched_text", "page_num", "similarity", "suggestions"])
-    frame["page_num"] = frame.page_num.astype("Int32")
-    return frame
+            yield pos, False, None, None, None, near
+
+
+def _rows(lists: pa.ListArray) -> list[list[tuple]]:
+    values = lists.flatten()
+    rows = list(zip(*(values.field(i).to_pylist() for i in range(values.type.num_fields)), strict=True))
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+    return [rows[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(doc, *row) for doc, e, b in zip(batch.column("doc_id").to_pylist(), _rows(batch.column("entry")), _rows(batch.column("block")), strict=True) for row in _matched(e, b)]
+        columns = list(zip(*found, strict=True)) or [()] * len(_MATCHED)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MATCHED, strict=True)], schema=_MATCHED)
 
 
 def match(entries: DataFrame, blocks: DataFrame) -> DataFrame:
     """Each entry's heading: a block that begins with it, or two in a row that do, else the most similar by FUZZY or more;
     a block serves one entry (both of two do), in the order of the contents. Else up to three suggestions. Where entries
     have a column is_section, those it is false for (figures, tables) have neither."""
+    stored.bounded_batches(entries.sparkSession)
     section = F.coalesce("is_section", F.lit(True)) if "is_section" in entries.columns else F.lit(True)
-    e = entries.select("doc_id", "pos", "page_number", match_key(F.col("clean_text")).alias("key_text"), section.alias("is_section"))
-    b = blocks.select("doc_id", "page", "block_idx", "text", match_key(F.col("text")).alias("key_text"))
-    return e.groupBy("doc_id").cogroup(b.groupBy("doc_id")).applyInPandas(_match, _MATCH)
+    e = entries.select("doc_id", F.struct("pos", "page_number", match_key(F.col("clean_text")).alias("key_text"), section.alias("is_section")).alias("entry"))
+    b = blocks.select("doc_id", F.struct("page", "block_idx", "text", match_key(F.col("text")).alias("key_text")).alias("block"))
+    both = e.unionByName(b, allowMissingColumns=True).groupBy("doc_id").agg(F.collect_list("entry").alias("entry"), F.collect_list("block").alias("block"))
+    return both.where(F.size("entry") > 0).mapInArrow(_match, _MATCH)
 
 
 def match_rate(matches: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ def _contents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
     blocks = lines.select("doc_id", (F.floor(F.col("n") / 10) + 1).cast("int").alias("page"), (F.col("n") % 10).alias("block_idx"), "text")
     entries = lines.select("doc_id", F.col("n").alias("pos"), F.concat("text", F.lit(" ..... "), (F.floor(F.col("n") / 10) + 1).cast("string")).alias("raw"))
-    parsed = entries.select("doc_id", "pos", T.toc_line(F.col("raw")).alias("x")).select("doc_id", "pos", "x.clean_text", "x.page_number")
+    parsed = entries.select("doc_id", "pos", T.toc_clean(F.col("raw")).alias("clean_text"), T.toc_page(F.col("raw")).alias("page_number"))
     return parsed, blocks
 
 
