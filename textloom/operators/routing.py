@@ -55,8 +55,9 @@ def retrieve(leg: Leg, items: DataFrame, queries: DataFrame, deepest: int, score
     queries: query_id, text, k and reranked. A reranked query fetches RERANK_FACTOR times k and is put in the scorer's
     order. Hits that begin alike count once, after the cut; then those that meet the condition stay, or all if none does."""
     fetch = F.col("k") * F.when(F.col("reranked"), RERANK_FACTOR).otherwise(1)
-    hits = leg(queries.select("query_id", "text"), deepest * RERANK_FACTOR).join(queries, "query_id").where(F.col("rank") <= fetch)
-    full = hits.join(items.withColumn("content", F.substring("content", 1, HIT_CHARS)), "doc_id")
+    # hits meet the items first: beside them they are few, and Spark knows their size
+    hits = leg(queries.select("query_id", "text"), deepest * RERANK_FACTOR).join(items.withColumn("content", F.substring("content", 1, HIT_CHARS)), "doc_id")
+    full = hits.join(queries, "query_id").where(F.col("rank") <= fetch)
     new = F.when(F.col("reranked"), F.round(scorer(F.col("text"), F.concat_ws("\n", "title", "content")), 6))
     scored = full.withColumn("_new", new)
     best = Window.partitionBy("query_id").orderBy(F.desc(F.coalesce("_new", F.lit(0.0))), "rank", "doc_id")
