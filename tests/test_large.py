@@ -149,12 +149,11 @@ def crowd(n=500, m=20):
     return docs, asked
 
 
-@pytest.mark.parametrize("name", ["expected_sections", "routed_search", "routed_answers", "agent_search", "recall_mrr_by_mode"])
+@pytest.mark.parametrize("name", ["expected_sections", "routed_search", "routed_answers", "agent_search", "recall_mrr_by_mode", "negative_cases"])
 def test_pairs_of_query_and_document_stay_in_their_tasks(spark, folder, name):
     d = folder(*crowd())
     query = (search_plans.QUERIES | routing_plans.QUERIES)[name]
     got = []
     moved = shuffled_rows(spark, lambda: got.extend(plain(query(spark, d))))
-    print(name, moved)
     assert got == oracle(d, (search_plans.SQL | routing_plans.SQL)[name]) and got
     assert moved < MOST
