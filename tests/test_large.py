@@ -149,7 +149,7 @@ def crowd(n=500, m=20):
     return docs, asked
 
 
-@pytest.mark.parametrize("name", ["expected_sections", "routed_search", "routed_answers", "agent_search", "recall_mrr_by_mode", "negative_cases"])
+@pytest.mark.parametrize("name", ["expected_sections", "routed_search", "routed_answers", "agent_search", "recall_mrr_by_mode", "negative_cases", "exclusive_wins"])
 def test_pairs_of_query_and_document_stay_in_their_tasks(spark, folder, name):
     d = folder(*crowd())
     query = (search_plans.QUERIES | routing_plans.QUERIES)[name]
